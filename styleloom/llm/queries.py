@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import langid, line_dedup, sharding
 from .common import ship, table
 
 
@@ -21,6 +21,8 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over("documents", line_dedup.digests),
+        "op7_language_id": _over("documents", langid.predictions),
+        "op8_sharding": _over("documents", sharding.digests),
     }
 
 
