@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words of each of the two generations of the word cache of a Python worker.
-CACHED_WORDS = 100_000
+#: Distinct words whose ids a Python worker keeps; beyond, it forgets them all.
+CACHED_WORDS = 500_000
 #: Bytes of text that are encoded together.
 AT_ONCE = 1 << 20
 _NEVER = 1 << 62
@@ -176,6 +176,37 @@ def merge_many(words: list[bytes], first: np.ndarray, pairs: Pairs, made: np.nda
     return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+class Index(dict):
+    """Numbers words in the order in which they come; new ones are also noted in ``fresh``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class Ragged:
+    """Rows of different length in one array; rows can be added and gathered."""
+
+    def __init__(self, kind: type):
+        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def add(self, rows: list) -> None:
+        flat = np.fromiter(chain.from_iterable(rows), self.flat.dtype)
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        self.ends = np.concatenate([self.ends, ends + self.ends[-1]])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These rows one after the other, and where each of them ends (with a leading 0)."""
+        start = self.ends[rows]
+        ends = np.concatenate([[0], np.cumsum(self.ends[rows + 1] - start)])
+        return self.flat[np.repeat(start - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
+
+
 class Encoder:
     """Encode and decode as a vocabulary file of the tokenizers library says (byte level, no normalizer)."""
 
@@ -184,9 +215,12 @@ class Encoder:
         ids = file["model"]["vocab"]
         of_char = {c: b for b, c in enumerate(byte_symbols())}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.bytes_of: dict[int, bytes] = {i: bytes(of_char[c] for c in token) for token, i in ids.items() if token not in self.special}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
-        self.decimal = {i: str(i) for i in self.bytes_of}
+        token_bytes = {i: bytes(of_char[c] for c in token) for token, i in ids.items() if token not in self.special}
+        token_bytes |= {i: token.encode() for token, i in self.special.items()}
+        self.size = max(token_bytes) + 1
+        self.bytes_of, self.decimal = Ragged(np.uint8), Ragged(np.uint8)
+        self.bytes_of.add([token_bytes.get(i, b"") for i in range(self.size)])
+        self.decimal.add([b"%d," % i for i in range(self.size)])
         pairs = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
         self.ranks = {ids[a] << 20 | ids[b]: r for r, (a, b) in reversed(list(enumerate(pairs)))}
         self.made = [ids[a + b] for a, b in pairs]
@@ -194,8 +228,10 @@ class Encoder:
         self.pairs, self.made_array, self.first_array = Pairs(self.ranks), np.array(self.made, np.int64), np.array(self.first, np.int64)
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.young: dict[str, list[int]] = {s: [i] for s, i in self.special.items()}
-        self.old: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.ids = Index(), Ragged(np.int32)
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
@@ -203,45 +239,61 @@ class Encoder:
             return self.find(text)
         return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.find(part))]
 
-    def learn(self, words: list[list[str]]) -> None:
-        """Bring the ids of all these words into the young generation; long words by themselves, others together."""
-        if len(self.young) >= CACHED_WORDS:
-            self.old, self.young = self.young, {s: [i] for s, i in self.special.items()}
-        new = set(chain.from_iterable(words)).difference(self.young)
-        known = new.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in known)
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for w in new - known:
-            b = w.encode()
-            by_size.setdefault(max(2, (len(b) - 1).bit_length()), []).append((w, b))
+    def learn(self, words: list[str]) -> None:
+        """Append the ids of these words: long ones merged by themselves, others of about one size together."""
+        found: list[list[int]] = [[]] * len(words)
+        by_size: dict[int, list[int]] = {}
+        coded = [w.encode() for w in words]
+        for k, (w, b) in enumerate(zip(words, coded, strict=True)):
+            if w in self.special:
+                found[k] = [self.special[w]]
+            else:
+                by_size.setdefault(max(2, (len(b) - 1).bit_length()), []).append(k)
         for log, group in by_size.items():
-            step = max(1, (1 << 17) >> log)
+            step = max(1, (1 << 18) >> log)
             for a in range(0, len(group), step):
                 part = group[a : a + step]
                 if len(part) < 8 or log > 7:
-                    ids = [merge([self.first[x] for x in b], self.ranks, self.made) for _, b in part]
+                    ids = [merge([self.first[x] for x in coded[k]], self.ranks, self.made) for k in part]
                 else:
-                    ids = merge_many([b for _, b in part], self.first_array, self.pairs, self.made_array)
-                self.young.update(zip([w for w, _ in part], ids, strict=True))
+                    ids = merge_many([coded[k] for k in part], self.first_array, self.pairs, self.made_array)
+                for k, i in zip(part, ids, strict=True):
+                    found[k] = i
+        self.ids.add(found)
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text ends (with a leading 0); None counts as empty."""
+        if len(self.index) > CACHED_WORDS:
+            self.forget()
+        at, ends, number = [], [0], self.index.__getitem__
+        for t in texts:
+            at.extend(map(number, self.words(t or "")))
+            ends.append(len(at))
+        if self.index.fresh:
+            self.learn(self.index.fresh)
+            self.index.fresh.clear()
+        ids, stops = self.ids.gather(np.array(at, np.int64))
+        return ids, stops[ends]
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text; None counts as empty."""
-        words = [self.words(t or "") for t in texts]
-        self.learn(words)
-        return (list(chain.from_iterable(map(self.young.__getitem__, w))) for w in words)
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0].tolist()
 
-    def count_batch(self, texts: list[str | None]) -> list[int]:
-        words = [self.words(t or "") for t in texts]
-        self.learn(words)
-        return [sum(map(len, map(self.young.__getitem__, w))) for w in words]
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """For each text its ids in decimal, joined by commas."""
+        flat, stops = self.decimal.gather(ids)
+        data, at = flat.tobytes(), stops[ends].tolist()
+        return (data[a : max(a, b - 1)] for a, b in zip(at[:-1], at[1:], strict=True))
 
-    def encode(self, text: str) -> list[int]:
-        return next(self.encode_batch([text]))
+    def decode_batch(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """For each text what its ids stand for; bytes that are not UTF-8 become U+FFFD."""
+        flat, stops = self.bytes_of.gather(ids)
+        data, at = flat.tobytes(), stops[ends].tolist()
+        return (data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True))
 
-    def decode(self, ids: list[int]) -> str:
-        """Bytes that are not UTF-8 become U+FFFD; ids that are not in the vocabulary are left out."""
-        got = list(map(self.bytes_of.get, ids))
-        return b"".join(got if None not in got else [g for g in got if g is not None]).decode("utf-8", "replace")
+    def decode(self, ids: list[int | None]) -> str:
+        """As decode_batch, for one text; ids that are null or not in the vocabulary are left out."""
+        known = np.array([i for i in ids if i is not None and 0 <= i < self.size], np.int64)
+        return next(self.decode_batch(known, np.array([0, len(known)])))
 
 
 _READY: dict[int, Encoder] = {}
@@ -277,8 +329,9 @@ def encoded(docs: DataFrame, keep: Column, text: Column, path: str | None = None
         e = encoder(shared)
         for whole in batches:
             for batch in pieces(whole, "text", AT_ONCE):
-                ids = list(e.encode_batch(batch.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+                ids, ends = e.encode_batch(batch.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "ids"])
 
     return _mapped(docs, keep, text, run, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -310,11 +363,10 @@ def round_trip(docs: DataFrame, keep: Column, text: Column, path: str | None = N
         e = encoder(shared)
         for whole in batches:
             for batch in pieces(whole, "text", AT_ONCE):
-                n, ids_sha, text_sha = [], [], []
-                for ids in e.encode_batch(batch.column("text").to_pylist()):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(e.decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(e.decode(ids).encode()).hexdigest())
+                ids, ends = e.encode_batch(batch.column("text").to_pylist())
+                n = np.diff(ends)
+                ids_sha = [hashlib.sha256(x).hexdigest() for x in e.joined(ids, ends)]
+                text_sha = [hashlib.sha256(x.encode()).hexdigest() for x in e.decode_batch(ids, ends)]
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _mapped(docs, keep, text, run, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -328,7 +380,7 @@ def lengths(docs: DataFrame, keep: Column, text: Column, path: str | None = None
         e = encoder(shared)
         for whole in batches:
             for batch in pieces(whole, "text", AT_ONCE):
-                n = e.count_batch(batch.column("text").to_pylist())
+                n = np.diff(e.encode_batch(batch.column("text").to_pylist())[1])
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64())], ["row", "n_tokens"])
 
     return _mapped(docs, keep, text, run, [T.StructField("n_tokens", T.LongType())])
