@@ -7,15 +7,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, pieces, texts_of, words_of
+from .common import NULL_KEY, U, mix, pieces, texts_of, words_of
 
 SAMPLES = 64
 #: Texts per range of ids, and the most ranges there are.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
+#: Characters of text that are handled together.
+AT_ONCE = 1 << 20
 
 
 def _uniform(terms: np.ndarray, stream: int, samples: int) -> np.ndarray:
@@ -40,7 +43,7 @@ class Sampler:
         self.at_one = self.log_c + self.r * (self.b - 1)
 
     def signature(self, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The hash of the least (term, level) of each sample for a text with these terms and weights."""
+        """Sixteen bits of the least (term, level) of each sample for a text with these terms and weights."""
         a = self.at_one[at]
         more = np.flatnonzero(weight > 1)
         level = np.zeros(0)
@@ -55,7 +58,7 @@ class Sampler:
             where = np.searchsorted(more, least)
             has = (where < len(more)) & (more[np.minimum(where, len(more) - 1)] == least)
             t[has] = level[where[has], np.flatnonzero(has)].astype(np.int64).astype(U)
-        return mix(self.terms[at[least]] + t * U(0x9E3779B97F4A7C15)).astype(np.uint32)
+        return (mix(self.terms[at[least]] + t * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.uint16)
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
@@ -64,7 +67,7 @@ def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     words, _, count = words_of(buf, off)
     terms, at = np.unique(words, return_inverse=True)
     sampler = Sampler(terms, samples)
-    out = np.zeros((len(texts), samples), np.uint32)
+    out = np.zeros((len(texts), samples), np.uint16)
     stop = np.concatenate([[0], np.cumsum(count)]).tolist()
     for i, (a, b) in enumerate(zip(stop[:-1], stop[1:], strict=True)):
         if b > a:
@@ -94,25 +97,59 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
     Ids are cut into ranges at quantiles, so that each task handles texts in order; the first text of
     each range is also dealt to the range before it. Texts are shuffled once.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    n = rows.count()
-    wanted = min(MOST_RANGES, max(1, n // RANGE_ROWS))
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY))
+    rows = docs.select(key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    wanted = min(MOST_RANGES, rows.count() // RANGE_ROWS + 1)
     steps = [k / wanted for k in range(1, wanted)]
-    found = rows.agg(F.percentile_approx("id", steps, 100_000)).first()[0] if steps else None
+    found = rows.agg(F.percentile_approx("key", steps, 100_000)).first()[0] if steps else None
     cuts = np.array(sorted(set(found or [])), np.int64)
 
     @F.pandas_udf("int")
-    def range_of(ids):
-        known = ids.notna()
-        return (np.searchsorted(cuts, ids.fillna(0).astype("int64"), "right") * known).astype("int32")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), "right").astype(np.int32))
 
-    ranged = rows.select(range_of("id").alias("range"), "id", "body")
-    order = F.struct(F.col("id").isNotNull().alias("known"), "id", "body")
-    first = {r["range"]: (r["first"]["id"], r["first"]["h"]) for r in ranged.select("range", "id", F.xxhash64("body").alias("h"), "body").groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull(), "id", "h")).alias("first")).collect()}
+    first = {r[0]: r[1] for r in rows.groupBy(range_of("key")).agg(F.min("key")).collect()}  # one row for each range
     present = sorted(first)
-    before = {r: present[i - 1] for i, r in enumerate(present)}
-    return _in_ranges(ranged, before, len(present), samples)
-
-
-def _in_ranges(ranged: DataFrame, before: dict[int, int], ranges: int, samples: int) -> DataFrame:
-    raise NotImplementedError
+    before = {first[r]: present[i - 1] for i, r in enumerate(present)}
+
+    @F.pandas_udf("array<struct<range:int,tail:boolean>>")
+    def dealt_to(keys: pd.Series) -> pd.Series:
+        own = np.searchsorted(cuts, keys.to_numpy(), "right").tolist()
+        return pd.Series([[(r, False)] + ([(before[k], True)] if k in before else []) for r, k in zip(own, keys.tolist(), strict=True)], dtype=object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for whole in batches:
+            for batch in pieces(whole, "body", AT_ONCE):
+                new = list(zip(*[batch.column(c).to_pylist() for c in ("range", "tail", "key", "body")], strict=True))
+                held += new
+                size += sum(len(x[3]) for x in new)
+                if size >= AT_ONCE:
+                    yield _signed(held, samples)
+                    held, size = held[-1:], 0
+        yield _signed(held, samples)
+
+    dealt = rows.select(F.explode(dealt_to("key")).alias("to"), "key", "body").select("to.range", "to.tail", "key", "body")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "body")
+    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _signed(rows: list[tuple], samples: int) -> pa.RecordBatch:
+    """The results of all rows but the last of each run and the tails: each with the row that follows it."""
+    pairs = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i + 1][0] == rows[i][0]]
+    new = [edited(rows[i][3], rows[i + 1][3]) for i in pairs]
+    signed = signatures([r[3] for r in rows] + new, samples)
+    out: list[tuple] = []
+    for k, i in enumerate(pairs):
+        own, other, following = signed[i], signed[len(rows) + k], signed[i + 1]
+        key = rows[i][2]
+        out.append((None if key == NULL_KEY else key, len(rows[i][3]), hashlib.sha256(new[k].encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, following)))
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """What the query returns for each row of documents."""
+    return fingerprints(docs)

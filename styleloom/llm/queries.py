@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, sharding
+from . import bpe, fingerprints, langid, line_dedup, sharding, token_counts
 from .common import ship, table
 
 
@@ -21,8 +21,11 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over("documents", line_dedup.digests),
+        "op3_bpe": _over("documents", bpe.digests),
+        "op4_fingerprints": _over("documents", fingerprints.digests),
         "op7_language_id": _over("documents", langid.predictions),
         "op8_sharding": _over("documents", sharding.digests),
+        "op9_token_counts": _over("documents", token_counts.report),
     }
 
 
