@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, line_dedup, sharding, token_counts
+from . import bpe, fingerprints, langid, line_dedup, ngram_join, sharding, token_counts
 from .common import ship, table
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": _over("documents", langid.predictions),
         "op8_sharding": _over("documents", sharding.digests),
         "op9_token_counts": _over("documents", token_counts.report),
+        "op10_ngram_jaccard_join": _over("documents", ngram_join.digests),
     }
 
 
