@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, line_dedup, ngram_join, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, langid, line_dedup, ngram_join, sharding, token_counts
 from .common import ship, table
 
 
@@ -18,9 +18,15 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
     return query
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over("documents", line_dedup.digests),
+        "op2_decontaminate": decontamination,
         "op3_bpe": _over("documents", bpe.digests),
         "op4_fingerprints": _over("documents", fingerprints.digests),
         "op7_language_id": _over("documents", langid.predictions),
