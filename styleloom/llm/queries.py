@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, langid, licenses, line_dedup, ngram_join, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, langid, licenses, line_dedup, ngram_join, sharding, suffix_dedup, token_counts
 from .common import ship, table
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": _over("documents", bpe.digests),
         "op4_fingerprints": _over("documents", fingerprints.digests),
         "op5_license_scan": _over("documents", licenses.report),
+        "op6_suffix_dedup": _over("documents", suffix_dedup.digests),
         "op7_language_id": _over("documents", langid.predictions),
         "op8_sharding": _over("documents", sharding.digests),
         "op9_token_counts": _over("documents", token_counts.report),
