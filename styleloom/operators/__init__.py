@@ -1 +1 @@
-""""""
+"""Operators over contexts and selectors."""

@@ -1 +1 @@
-""""""
+"""Plans: graph tables and their expansion."""

@@ -1 +1 @@
-""""""
+"""Scans: markup, stylesheets, scripts, template modules."""
