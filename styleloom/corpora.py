@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.facts import dyn, facts, option
+from .plans.persist import materialized
 from .schema import SELECTORS
 from .sources.stylesheets import parse_selector, segments
 
@@ -22,12 +23,13 @@ def _id(level: int, key: Column) -> Column:
     return F.lit(level * LEVEL) + key.cast("long")
 
 
-def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forest(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     """Regions, nations, customers, orders and line items as contexts, each its own node.
 
     Columns ``ctx_id, node_id, entry_ord, parent_id, parent_key, sibling, prev_sibling_id, tag, repeat,
     raw, facts``. Customers may be overdrawn (an optional class), orders have a priority that excludes the
-    others of its group, line items of over 45 pieces have a class that isn't known.
+    others of its group, line items of over 45 pieces have a class that isn't known. ``keep`` computes it
+    once for a plan that reads it several times.
     """
     region, nation, customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
     nation_of = nation.select("n_nationkey", "n_regionkey")
@@ -60,7 +62,8 @@ def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     family = Window.partitionBy("entry_ord", "parent_id").orderBy("ctx_id")
-    return out.select("*", F.col("ctx_id").alias("node_id"), F.col("parent_id").alias("parent_key"), F.col("ctx_id").alias("sibling"), F.lit(False).alias("raw"), F.lag("ctx_id").over(family).alias("prev_sibling_id"))
+    out = out.select("*", F.col("ctx_id").alias("node_id"), F.col("parent_id").alias("parent_key"), F.col("ctx_id").alias("sibling"), F.lit(False).alias("raw"), F.lag("ctx_id").over(family).alias("prev_sibling_id"))
+    return materialized(out) if keep else out
 
 
 def contexts_of(found: DataFrame) -> DataFrame:

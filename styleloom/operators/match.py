@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.facts import concrete_classes, node_matches
+from ..plans.persist import materialized
 
 #: Rank of a context that every other one counts as an ancestor, after all real ancestors; of a repeated node as its own sibling.
 AMBIENT, LAST = 1_000_000, 2**62
@@ -24,19 +25,26 @@ def class_postings(nodes: DataFrame) -> DataFrame:
 
 
 def segment_matches(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(seg_key..., node_id, kind)`` for the distinct segments ``(seg_id, seg)`` and the nodes that meet them.
+    """``(seg_id, node_id, kind)`` for the distinct segments ``(seg_id, seg)`` and the nodes that meet them.
 
-    A segment with classes finds its candidates by one equi-join on the class; segments without any are
-    compared with the distinct tags and facts of nodes, of which there are few for any number of contexts.
+    A segment with classes finds its candidates by an equi-join on the class, and a candidate counts at the
+    first of its classes only, so nothing has to be made distinct. One with a tag alone joins on the tag.
+    Segments that ask for neither (wildcards, exclusions) meet every node; there are as many distinct ones
+    as kinds of combinators and exclusions.
     """
-    tested = node_matches(F.col("seg"), F.col("tag"), F.col("raw"), F.col("facts"))
-    by_class = segments.select("seg_id", F.explode(F.array_distinct(F.col("seg.classes"))).alias("class"))
-    found = by_class.join(class_postings(nodes), "class").select("seg_id", "node_id").distinct()
-    found = found.join(segments, "seg_id").join(nodes, "node_id")
-    bare = segments.where(F.size("seg.classes") == 0)
-    loose = bare.join(nodes, F.col("raw") | F.col("seg.wildcard") | F.col("seg.tag").isNull() | (F.col("seg.tag") == F.col("tag")))
-    columns = ["seg_id", "node_id", tested.alias("kind")]
-    return found.select(*columns).unionByName(loose.select(*columns)).where("kind IS NOT NULL")
+    kind = node_matches(F.col("seg"), F.col("tag"), F.col("raw"), F.col("facts")).alias("kind")
+    columns = ["seg_id", "node_id", kind]
+    wanted = F.col("seg.classes")
+    by_class = segments.select("seg_id", "seg", F.explode(F.array_distinct(wanted)).alias("class"))
+    known = nodes.where("NOT raw").select("*", concrete_classes(F.col("facts")).alias("known"))
+    found = known.select("*", F.explode("known").alias("class")).join(by_class, "class")
+    found = found.where(F.col("class") == F.get(F.array_intersect(wanted, F.col("known")), F.lit(0))).select(*columns)
+    bare = segments.where(F.size(wanted) == 0).withColumn("seg_tag", F.col("seg.tag"))
+    tagged = bare.where("seg_tag IS NOT NULL AND NOT seg.wildcard")
+    by_tag = nodes.where("NOT raw").join(tagged, F.col("tag") == F.col("seg_tag")).select(*columns)
+    raw = nodes.where("raw").crossJoin(tagged).select(*columns)
+    loose = nodes.where("NOT raw").crossJoin(bare.where("seg_tag IS NULL OR seg.wildcard")).select(*columns)
+    return found.unionByName(by_tag).unionByName(raw).unionByName(loose).where("kind IS NOT NULL")
 
 
 def ancestors(contexts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -109,28 +117,28 @@ def match_keys(selectors: DataFrame, contexts: DataFrame, nodes: DataFrame, dept
     placed = segs.select("sel_id", "n", "pos", F.xxhash64("seg").alias("seg_id"), F.col("seg.combinator").alias("comb"))
     placed = placed.withColumn("comb", F.when(F.col("comb").isin(">", "+", "~"), F.col("comb")).otherwise(F.lit(" ")))
 
-    seg_nodes = placed.join(kinds, "seg_id").select("sel_id", "n", "pos", "comb", "node_id", "kind")
-    keys = seg_nodes.where("pos = n - 1").join(contexts.select("ctx_id", "node_id"), "node_id")
-    keys = keys.select("sel_id", "n", F.col("ctx_id").alias("key_ctx"), F.col("kind").alias("key_kind"), "comb")
+    # who meets which segment, computed once for all steps
+    met = placed.join(kinds, "seg_id").join(contexts.select("ctx_id", "node_id"), "node_id")
+    met = materialized(met.select("sel_id", "n", "pos", "comb", "ctx_id", F.when(F.col("kind") == "dynamic", F.col("node_id").cast("string")).alias("dyn_node")))
+    keys = met.where("pos = n - 1").select("sel_id", "n", F.col("ctx_id").alias("key_ctx"), F.when(F.col("dyn_node").isNull(), "static").otherwise("dynamic").alias("key_kind"), "comb")
 
     empty = F.array().cast("array<bigint>")
     frontier = keys.select("sel_id", "n", "key_ctx", F.col("key_ctx").alias("cur"), "comb", F.lit(False).alias("dyn"), empty.alias("rank"), F.lit(None).cast("string").alias("dyn_node"))
     done = frontier.where("n = 1")
     partial = None
-    edges = related(contexts, nodes, combs, depth) if combs else None
-    here = contexts.select(F.col("ctx_id").alias("rel_id"), F.col("node_id"))
+    edges = related(contexts, nodes, combs, depth).withColumnsRenamed({"ctx_id": "cur", "rank": "r"}) if combs else None
     for step in range(1, longest):
-        left = frontier.where(F.col("n") > step)
-        moved = left.join(edges.withColumnRenamed("ctx_id", "cur").withColumnRenamed("rank", "r"), ["cur", "comb"]).join(here, "rel_id")
-        met = seg_nodes.where(F.col("pos") == F.col("n") - 1 - step).select("sel_id", "node_id", "kind", F.col("comb").alias("next"))
-        moved = moved.join(met, ["sel_id", "node_id"])
-        moved = moved.select(
+        moved = frontier.where(F.col("n") > step).join(edges, ["cur", "comb"])
+        there = met.where(F.col("pos") == F.col("n") - 1 - step).select("sel_id", F.col("ctx_id").alias("rel_id"), F.col("comb").alias("next"), F.col("dyn_node").alias("open"))
+        moved = moved.join(there, ["sel_id", "rel_id"]).select(
             "sel_id", "n", "key_ctx", F.col("rel_id").alias("cur"), F.col("next").alias("comb"),
-            (F.col("dyn") | (F.col("kind") == "dynamic")).alias("dyn"),
+            (F.col("dyn") | F.col("open").isNotNull()).alias("dyn"),
             F.concat("rank", F.array("r")).alias("rank"),
-            F.coalesce("dyn_node", F.when(F.col("kind") == "dynamic", F.col("node_id"))).alias("dyn_node"),
+            F.coalesce("dyn_node", "open").alias("dyn_node"),
         )
         frontier = moved.groupBy("sel_id", "n", "key_ctx", "cur", "comb", "dyn").agg(F.min(F.struct("rank", "dyn_node")).alias("b")).select("sel_id", "n", "key_ctx", "cur", "comb", "dyn", "b.rank", "b.dyn_node")
+        if step + 1 < longest:
+            frontier = materialized(frontier)  # the next step and two results read it
         done = done.unionByName(frontier.where(F.col("n") == step + 1))
         tries = frontier.where(F.col("dyn") & (F.col("n") > step + 1)).select("sel_id", "key_ctx", "dyn_node")
         partial = tries if partial is None else partial.unionByName(tries)

@@ -31,13 +31,15 @@ def _head_end(text: str, block: Block) -> int:
 
 
 def invalidate_selectors(text: str, targets: set[tuple[str, int]]) -> str:
-    """Put the marker before every targeted selector."""
+    """Put the marker before every targeted selector; nothing else moves."""
     spans = []
     for rule in rules(parse_stylesheet(text)):
-        members = split_selectors(rule.plain)
-        marked = [f"{MARKER} {s}" if (s, rule.line) in targets and MARKER not in s else s for s in members]
-        if marked != members:
-            spans.append((rule.start, _head_end(text, rule), ",\n".join(marked)))
+        at = rule.start
+        for s in split_selectors(rule.head):
+            at = text.index(s, at)
+            if (s, rule.line) in targets and MARKER not in s:
+                spans.append((at, at, f"{MARKER} "))
+            at += len(s)
     return _cut(text, spans)
 
 
