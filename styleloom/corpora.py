@@ -94,3 +94,29 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scripts ``(path, content)`` of the pages."""
     pages = table(spark, sf_dir, "pages")
     return pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1).alias("content"))
+
+
+def app_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module file ``(path, content)`` for each nation: a function for each of its customers, with markup that calls others.
+
+    The function of a customer has a class of its market segment, a toggle, a helper's class, and calls the
+    next customer's function of the same nation, the shared button, and a component that nobody defines.
+    """
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.regexp_replace("n_name", "[^A-Za-z0-9]", "")
+    after = F.lead("c_custkey").over(Window.partitionBy("n_name").orderBy("c_custkey"))
+    seg = F.lower("c_mktsegment")
+    markup = F.concat(
+        F.lit('    <div class={["seg-'), seg, F.lit('", @on && "open", tone(@x)]}>'),
+        F.when(F.col("next").isNull(), F.lit("")).otherwise(F.concat(F.lit("<.c"), F.col("next").cast("string"), F.lit(" />"))),
+        F.lit('<Ui.button class="go">{@x}</Ui.button><.nobody><hr /></.nobody></div>'),
+    )
+    body = F.concat(F.lit("  def c"), F.col("c_custkey").cast("string"), F.lit('(assigns) do\n    ~H"""\n'), markup, F.lit('\n    """\n  end\n'))
+    rows = c.withColumn("next", after).withColumn("m", name).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("c_custkey", body.alias("body")))).alias("b"))
+    text = F.concat(F.lit("defmodule ShopWeb."), F.col("m"), F.lit(" do\n  use ShopWeb, :html\n  import ShopWeb.Core\n  alias ShopWeb.Kit, as: Ui\n\n"), F.array_join(F.transform("b", lambda x: x["body"]), "\n"), F.lit("end\n"))
+    found = rows.select(F.concat(F.lit("lib/shop_web/"), F.lower("m"), F.lit(".ex")).alias("path"), text.alias("content"))
+    shared = [
+        ("lib/shop_web/core.ex", 'defmodule ShopWeb.Core do\n  def tone(:a), do: "warm"\n  def tone(_), do: nil\nend\n'),
+        ("lib/shop_web/kit.ex", 'defmodule ShopWeb.Kit do\n  def button(assigns), do: ~H"<button class=\'btn\'>{render_slot(@inner_block)}</button>"\nend\n'),
+    ]
+    return found.unionByName(spark.createDataFrame(shared, "path string, content string"))

@@ -8,15 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpora import contexts_of, forest, nodes_of, page_scripts, part_styles, selector_table, table
+from .corpora import app_modules, contexts_of, forest, nodes_of, page_scripts, part_styles, selector_table, table
 from .functions.facts import class_words, concrete_classes, first_dynamic, holds_classes, node_label, strings, violates_group
 from .operators.match import class_postings, key_results, match_keys, related
-from .operators.report import coverage, summary
-from .operators.rewrite import invalidated_files, invalidated_selectors, keyframes_removed, removed_files, restored_files
+from .operators.report import chains, coverage, diagnostics, first_of_each, in_order, selector_classes_of, summary
+from .operators.rewrite import invalidated_files, keyframes_invalidated, invalidated_selectors, keyframes_removed, removed_files, restored_files
 from .plans.expand import contexts as expanded
 from .plans.expand import cycles, missing_refs
-from .plans.graph import load_graph
+from .plans.graph import flatten_graphs, graph_stats, load_graph, merged_cycles
+from .plans.persist import materialized
+from .plans.registry import functions_of, local_lookup, remote_lookup
+from .plans.resolve import graph_trees
 from .sources.markup import VOID, attribute_rows, node_rows, token_rows
+from .sources.modules import clauses, modules
 from .sources.scripts import class_tokens, evidence_report, script_evidence, script_literals
 from .sources.stylesheets import all_classes, keyframes, prefiltered, selectors, unused_keyframes, vendor_evidence
 
@@ -422,6 +426,153 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_refs(t["entries"], t["items"], t["trees"]).select("ref", F.array_join("path", " > ").alias("path"))
 
 
+@query("a5_graph_stats", "SELECT 2 AS entries, 5 AS trees, 8 AS canonical_nodes, 8 AS contexts, 3 AS deepest_call, 3 AS classes, 1 AS widest_node")
+def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = load_graph(spark, json.dumps(_sample_graph()))
+    ctx = materialized(expanded(t["entries"], t["items"]))
+    return graph_stats(t["entries"], t["trees"], t["items"], ctx, t["nodes"], class_postings(t["nodes"]))
+
+
+@query("s17_graph_items", """SELECT kind, count(*) * (SELECT count(*) FROM nation) AS n FROM (VALUES ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('C'), ('C'), ('C'), ('C'), ('C'), ('S')) t(kind) GROUP BY kind""")
+def items_of_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".json")).alias("path"), F.lit(json.dumps(_sample_graph())).alias("content"))
+    return flatten_graphs(documents).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a11_merged_cycles", """SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS path, min(c_mktsegment) FILTER (c_custkey % 2 = 0) IS NOT NULL AS sited FROM customer GROUP BY 1""")
+def cycles_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("callsite_tag"))
+    return merged_cycles(rows).select(F.get("path", F.lit(0)).alias("path"), F.col("callsite_tag").isNotNull().alias("sited"))
+
+
+@query("g12_chains", f"""{FOREST}
+SELECT id AS ctx_id, r_name || ' → region.in-' || r_name || ' → nation.of-' || n_name || ' → customer.seg-' || c_mktsegment
+  || CASE WHEN c_acctbal < 0 THEN '.overdrawn' ELSE '' END || ' → order.status-' || o_orderstatus || '.prio-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g'))
+  || '.prio-none.waiting → line.flag-' || l_returnflag || '.line-' || l_linestatus AS chain
+FROM li JOIN region ON li.n_regionkey = r_regionkey JOIN nation ON n_nationkey = c_nationkey JOIN (SELECT c_custkey AS ck, c_acctbal FROM c) ON ck = o_custkey WHERE l_quantity > 45""")
+def chains_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest(spark, sf_dir, keep=True)
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("entry_ord"), F.col("r_name").alias("entry_name"))
+    ctx = contexts_of(found).join(names, "entry_ord")
+    keys = found.where("tag = 'line' AND size(facts.dynamic) > 0").select("ctx_id")
+    return chains(keys, ctx, nodes_of(found), depth=8).select("ctx_id", "chain")
+
+
+@query("a8_first_of_each", f"""{FOREST}
+SELECT c_mktsegment AS entry_module, o_orderstatus AS entry_name, min(4000000000000000 + o_orderkey) AS key_ctx FROM o GROUP BY 1, 2""")
+def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select(F.lit(0).alias("sel_id"), F.col("c_mktsegment").alias("entry_module"), F.col("o_orderstatus").alias("entry_name"), F.lit("x").alias("chain"), (F.lit(4 * 10**15) + F.col("o_orderkey")).alias("key_ctx"))
+    return first_of_each(rows).select("entry_module", "entry_name", "key_ctx")
+
+
+@query("j11_unmatched", f"""{STYLES}
+SELECT file, selector FROM first UNION ALL SELECT file, selector FROM second""")
+def unmatched_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").withColumn("sel_id", F.xxhash64("file", "line", "selector"))
+    wanted = selector_classes_of(found)
+    known = class_postings(nodes_of(forest(spark, sf_dir))).select("class").distinct()
+    missing = wanted.join(known, "class", "left_anti").select("sel_id").distinct()
+    return found.join(missing, "sel_id", "left_semi").select("file", "selector")
+
+
+@query("a16_diagnostics", f"""{STYLES}
+SELECT 'no class is in the graph' AS note, count(*) AS n FROM (SELECT selector FROM first UNION ALL SELECT selector FROM second)""")
+def notes_of_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").withColumn("sel_id", F.xxhash64("file", "line", "selector"))
+    found = materialized(found)
+    notes = diagnostics(found, selector_classes_of(found), class_postings(nodes_of(forest(spark, sf_dir))))
+    return notes.groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j10_evidence_join", """SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1""")
+def evidence_of_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = script_evidence(_order_scripts(spark, sf_dir)).where("startswith(token, 'is-')")
+    wanted = table(spark, sf_dir, "orders").select(F.concat(F.lit("is-"), "o_orderstatus").alias("token")).distinct()
+    return wanted.join(told, "token").groupBy(F.substring("token", 4, 1).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o3_in_order", f"""{STYLES} SELECT file, line, count(*) AS n FROM (SELECT file, line FROM first UNION ALL SELECT file, line FROM second) GROUP BY ALL""")
+def ordered_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"))
+    return in_order(rows)
+
+
+@query("k8_invalidate_keyframes", "SELECT 'idle' AS name, count(DISTINCT p_brand) AS n FROM part")
+def frames_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_styles(spark, sf_dir)
+    out = keyframes(keyframes_invalidated(files, unused_keyframes(keyframes(files))))
+    return out.where("kind = 'invalidated'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k9_restore_keyframes", "SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '-', 'g')) || '.css' AS path, CAST(1 AS BIGINT) AS keyframes FROM part GROUP BY ALL")
+def frames_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_styles(spark, sf_dir)
+    return restored_files(keyframes_invalidated(files, unused_keyframes(keyframes(files)))).select("path", F.col("keyframes").cast("long").alias("keyframes"))
+
+
+# --- template modules -------------------------------------------------------------------------------------
+
+#: Customers with the module that corpora.app_modules puts them in.
+MODULES = """
+WITH f AS (SELECT 'ShopWeb.' || regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g') AS module, c_custkey, 'c' || c_custkey AS name, lower(c_mktsegment) AS seg,
+                  lead(c_custkey) OVER (PARTITION BY n_name ORDER BY c_custkey) AS next FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
+@query("s4_modules", f"""{MODULES}
+SELECT DISTINCT module, 'ShopWeb' AS uses, 'ShopWeb.Core' AS imports, 'Ui=ShopWeb.Kit' AS aliases FROM f UNION ALL VALUES ('ShopWeb.Core', '', '', ''), ('ShopWeb.Kit', '', '', '')""")
+def scanned_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modules(app_modules(spark, sf_dir))
+    told = F.array_join(F.transform(F.map_entries("aliases"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("module", F.array_join("uses", ",").alias("uses"), F.array_join("imports", ",").alias("imports"), told.alias("aliases"))
+
+
+@query("s6_functions", f"{MODULES} SELECT module, name, 1 AS arity, CAST(1 AS BIGINT) AS n_clauses, CAST(1 AS BIGINT) AS n_heex FROM f UNION ALL VALUES ('ShopWeb.Core', 'tone', 1, 2, 0), ('ShopWeb.Kit', 'button', 1, 1, 1)")
+def scanned_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions_of(clauses(app_modules(spark, sf_dir))).select("module", "name", "arity", "n_clauses", "n_heex")
+
+
+@query("s8_sigils", f"{MODULES} SELECT count(*) + 1 AS n, count(next) AS n_calls FROM f")
+def scanned_sigils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clauses(app_modules(spark, sf_dir)).where("heex IS NOT NULL")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("heex").contains("<.c"), 1)).alias("n_calls"))
+
+
+@query("j12_local_lookup", f"{MODULES} SELECT module AS caller, 'c' || next AS name, module, 1 AS arity FROM f WHERE next IS NOT NULL UNION ALL SELECT DISTINCT module, 'tone', 'ShopWeb.Core', 1 FROM f")
+def local_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = app_modules(spark, sf_dir)
+    found = clauses(files)
+    own = found.where("heex IS NOT NULL AND name <> 'button'").select(F.col("module").alias("caller"), F.explode(F.regexp_extract_all("heex", F.lit(r"<\.(c\d+|nobody)"), F.lit(1))).alias("name"))
+    tones = found.where("name <> 'button' AND name <> 'tone'").select(F.col("module").alias("caller"), F.lit("tone").alias("name"))
+    return local_lookup(own.unionByName(tones), modules(files), functions_of(found))
+
+
+@query("j13_remote_lookup", f"{MODULES} SELECT DISTINCT module AS caller, 'Ui' AS target, 'button' AS name, 'ShopWeb.Kit' AS module, 1 AS arity FROM f UNION ALL SELECT DISTINCT module, 'Kit', 'button', 'ShopWeb.Kit', 1 FROM f")
+def remote_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = app_modules(spark, sf_dir)
+    found = modules(files)
+    calls = found.where("module NOT IN ('ShopWeb.Core', 'ShopWeb.Kit')").select(F.col("module").alias("caller"), F.explode(F.array(F.lit("Ui"), F.lit("Kit"), F.lit("No"))).alias("target"), F.lit("button").alias("name"))
+    return remote_lookup(calls, found, functions_of(clauses(files)))
+
+
+@query("g3_trees", f"""{MODULES}
+SELECT 'fn:' || module || ':' || name || ':1:0' AS ref, 'seg-' || seg AS static, 'open,warm' AS optional, CASE WHEN next IS NULL THEN '' ELSE 'fn:' || module || ':c' || next || ':1:0' END AS calls FROM f
+UNION ALL VALUES ('fn:ShopWeb.Kit:button:1:0', 'btn', '', '')""")
+def resolved_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_trees(app_modules(spark, sf_dir))
+    root = F.from_json("tree", "array<struct<classes:struct<static:array<string>,optional:array<string>>,children:array<struct<component_refs:array<string>>>>>")[0]
+    own = F.filter(F.flatten(F.transform(F.filter(root["children"], lambda c: c["component_refs"].isNotNull()), lambda c: c["component_refs"])), lambda r: ~r.contains(":button:"))
+    return rows.select("ref", F.array_join(root["classes"]["static"], ",").alias("static"), F.array_join(root["classes"]["optional"], ",").alias("optional"), F.array_join(own, ",").alias("calls"))
+
+
+@query("g13_unresolved", f"{MODULES} SELECT '.nobody' AS tag, 'unresolved' AS reason, count(*) AS n FROM f")
+def unresolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = graph_trees(app_modules(spark, sf_dir)).select(F.explode(F.from_json("unresolved", "array<struct<tag:string,reason:string>>")).alias("u"))
+    return rows.groupBy(F.col("u.tag").alias("tag"), F.col("u.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
