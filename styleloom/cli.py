@@ -64,7 +64,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("coverage", help="report which selectors can match")
     c.add_argument("--css", default="assets/css/app.css")
     c.add_argument("--analysis", default="analysis")
-    c.add_argument("--output", default="css_coverage.json")
+    c.add_argument("--output", default="coverage.json")
     c.add_argument("--js", action="append", default=[])
     c.add_argument("--max-contexts", type=max_contexts, default=MAX_CONTEXTS)
     for flag in ("invalidate-unmatched", "restore-unmatched", "remove-unmatched", "list-unmatched", "list-invalidated", "list-runtime", "stats", "include-node-modules-css"):

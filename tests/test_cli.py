@@ -20,7 +20,7 @@ def test_project(spark, tmp_path, capsys):
     assert main([*root, "coverage", "--css", "app.css"]) == 1
     assert main([*root, "graph"]) == 0
     assert main([*root, "coverage", "--css", "app.css", "--js", "js", "--list-unmatched", "--invalidate-unmatched"]) == 0
-    report = json.loads((tmp_path / "css_coverage.json").read_text())
+    report = json.loads((tmp_path / "coverage.json").read_text())
     assert {r["selector"] for r in report["matched_selectors"]} == {".page .btn", ".small", ".page .big + .small"}
     assert {(r["selector"], r["file"]) for r in report["unmatched_selectors"]} == {(".gone", "app.css"), (".lost", "more.css")}
     assert [r["selector"] for r in report["runtime_matched_selectors"]] == [".from-script"]
