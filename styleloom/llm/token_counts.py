@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import lengths
+from .common import checkpointed
 
 #: Lengths whose sums are formed together; only one row for each such block meets in one task.
 BLOCK = 1024
@@ -64,4 +65,4 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """What the query returns: the histogram of all documents with its suffix sums."""
-    return suffix_sums(histogram(docs))
+    return suffix_sums(checkpointed(histogram(docs)))  # two branches read it, and it is small
