@@ -24,13 +24,14 @@ def class_postings(nodes: DataFrame) -> DataFrame:
     return nodes.where("NOT raw").select(F.explode(concrete_classes(F.col("facts"))).alias("class"), "node_id").distinct()
 
 
-def segment_matches(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+def segment_matches(segments: DataFrame, nodes: DataFrame, by_tag: bool = True, loose: bool = True) -> DataFrame:
     """``(seg_id, node_id, kind)`` for the distinct segments ``(seg_id, seg)`` and the nodes that meet them.
 
     A segment with classes finds its candidates by an equi-join on the class, and a candidate counts at the
     first of its classes only, so nothing has to be made distinct. One with a tag alone joins on the tag.
     Segments that ask for neither (wildcards, exclusions) meet every node; there are as many distinct ones
-    as kinds of combinators and exclusions.
+    as kinds of combinators and exclusions. ``by_tag`` and ``loose`` tell whether there are segments of these
+    two kinds, so that a plan without them has no branch for them.
     """
     kind = node_matches(F.col("seg"), F.col("tag"), F.col("raw"), F.col("facts")).alias("kind")
     columns = ["seg_id", "node_id", kind]
@@ -40,11 +41,13 @@ def segment_matches(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     found = known.select("*", F.explode("known").alias("class")).join(by_class, "class")
     found = found.where(F.col("class") == F.get(F.array_intersect(wanted, F.col("known")), F.lit(0))).select(*columns)
     bare = segments.where(F.size(wanted) == 0).withColumn("seg_tag", F.col("seg.tag"))
-    tagged = bare.where("seg_tag IS NOT NULL AND NOT seg.wildcard")
-    by_tag = nodes.where("NOT raw").join(tagged, F.col("tag") == F.col("seg_tag")).select(*columns)
-    raw = nodes.where("raw").crossJoin(tagged).select(*columns)
-    loose = nodes.where("NOT raw").crossJoin(bare.where("seg_tag IS NULL OR seg.wildcard")).select(*columns)
-    return found.unionByName(by_tag).unionByName(raw).unionByName(loose).where("kind IS NOT NULL")
+    if by_tag:
+        tagged = bare.where("seg_tag IS NOT NULL AND NOT seg.wildcard")
+        found = found.unionByName(nodes.where("NOT raw").join(tagged, F.col("tag") == F.col("seg_tag")).select(*columns))
+        found = found.unionByName(nodes.where("raw").crossJoin(tagged).select(*columns))
+    if loose:
+        found = found.unionByName(nodes.where("NOT raw").crossJoin(bare.where("seg_tag IS NULL OR seg.wildcard")).select(*columns))
+    return found.where("kind IS NOT NULL")
 
 
 def ancestors(contexts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -109,11 +112,13 @@ def match_keys(selectors: DataFrame, contexts: DataFrame, nodes: DataFrame, dept
     goes on depends on nothing else, so it grows with the contexts, not with the chains.
     """
     segs = selectors.select("sel_id", F.size("segments").alias("n"), F.posexplode("segments").alias("pos", "seg"))
-    shape = segs.groupBy("pos", "n").agg(F.collect_set("seg.combinator").alias("combs")).collect()  # a row for each length and position
+    bare = F.size("seg.classes") == 0
+    tagged = F.col("seg.tag").isNotNull() & ~F.col("seg.wildcard")
+    shape = segs.groupBy("pos", "n").agg(F.collect_set("seg.combinator").alias("combs"), F.bool_or(bare & tagged).alias("tagged"), F.bool_or(bare & ~tagged).alias("loose")).collect()  # a row for each length and position
     longest = max((r["n"] for r in shape), default=0)
     combs = {c if c in (">", "+", "~") else " " for r in shape if r["pos"] > 0 for c in (r["combs"] or [" "])}
     distinct = segs.select(F.xxhash64("seg").alias("seg_id"), "seg").dropDuplicates(["seg_id"])
-    kinds = segment_matches(distinct, nodes)
+    kinds = segment_matches(distinct, nodes, any(r["tagged"] for r in shape), any(r["loose"] for r in shape))
     placed = segs.select("sel_id", "n", "pos", F.xxhash64("seg").alias("seg_id"), F.col("seg.combinator").alias("comb"))
     placed = placed.withColumn("comb", F.when(F.col("comb").isin(">", "+", "~"), F.col("comb")).otherwise(F.lit(" ")))
 
