@@ -3,10 +3,9 @@ import random
 
 import pytest
 from fixtures import CYCLE, FACTS, PAGE, SIBLINGS, call, dyn, el, graph, raw, slot
-from pyspark.sql import functions as F
 
-from styleloom.operators.match import class_postings, key_results, match_keys
-from styleloom.operators.report import coverage, diagnostics, match_details, selector_classes_of, summary
+from styleloom.operators.match import class_postings, match_keys
+from styleloom.operators.report import coverage, diagnostics, match_details, selector_classes_of
 from styleloom.plans.expand import check_limit, contexts, cycles, missing_refs
 from styleloom.plans.graph import graph_stats, load_graph
 from styleloom.schema import SELECTORS

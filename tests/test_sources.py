@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from styleloom.functions.expressions import analyze, facts_of
 from styleloom.operators.rewrite import invalidate_keyframes, invalidate_selectors, invalidated_files, remove_keyframes, remove_selectors, restore_keyframes, restore_selectors, restored_files
 from styleloom.plans.graph import load_graph, merged_cycles
@@ -145,4 +143,3 @@ def test_rewrites(spark):
 def test_cycles_merge(spark):
     df = spark.createDataFrame([(["a", "b"], None, "t"), (["a", "b"], ".x", None)], "path array<string>, callsite_tag string, type string")
     assert [tuple(r) for r in merged_cycles(df).collect()] == [(["a", "b"], ".x", "t")]
-    assert F is not None
