@@ -12,8 +12,8 @@ STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return ``(doc_id, n_lines, n_dropped, kept, row)`` for each row; ``row`` is the whole input row as a struct.
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Return ``(n_lines, n_dropped, kept, row)`` for each row; ``row`` holds the columns ``keep`` of the input (all but the text).
 
     A key is a line without the six ASCII spaces at its ends and with A-Z lower-cased. Keys of at least
     ``min_chars`` code points that at least ``min_docs`` distinct doc_ids hold lose all their lines but
@@ -28,7 +28,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
     one line is ever gathered. Texts move once, to meet the dropped positions of their document.
     """
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in (keep or [c for c in docs.columns if c != text])]).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY)).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("body"),
     )
@@ -47,7 +47,6 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
     stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     kept = F.when(F.size("gone") == 0, F.col("body")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("all", i)), "\n"))
     return whole.select(
-        F.col(f"row.`{doc_id}`").alias("doc_id"),
         F.size("all").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_dropped"),
         kept.alias("kept"),
@@ -57,7 +56,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
 
 def digests(docs: DataFrame) -> DataFrame:
     """What the query returns: counts and the hash of the kept text."""
-    return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return line_dedup(docs, keep=["doc_id"]).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def deduped(docs: DataFrame, **options) -> DataFrame:
