@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_KEY, U, checkpointed, pieces, powers, rolled, mix, texts_of
+from .common import NULL_KEY, U, mix, pieces, powers, rolled, texts_of
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # GRAM-byte strings of a window
 #: Levels of names after which 3**levels bytes or more are told apart: more than a window.
 LEVELS = 5
-#: Bytes that one suffix array is built over, and occurrences beyond which a hash has its windows grouped one by one.
+#: Bytes that one suffix array is built over, and distinct contexts beyond which a hash has its windows grouped one by one.
 TOGETHER, HOT = 1 << 20, 10_000
 #: A place is doc_id * 2**40 + offset.
 OFFSETS = 1 << 40
@@ -37,25 +37,23 @@ def least_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return (np.zeros(0, U),) + (np.zeros(0, np.int64),) * 3
     c = rolled(buf)
     h = mix((c[GRAM:] - c[:-GRAM]) * powers(len(c))[1][: len(c) - GRAM])
-    low, at = h, np.zeros(len(h), np.uint8)  # the least hash of 1, 2, 4, ... strings and how far on it stands
-    size = 1
-    while size < SPAN:
-        step = min(size, SPAN - size)
-        later = low[step:]
-        take = later < low[:-step]
-        at = np.where(take, at[step:] + np.uint8(step), at[:-step])
-        low = np.where(take, later, low[:-step])
-        size += step
+    # sliding minima of the upper half of the hash with the place below it: of equal ones the leftmost
+    packed = np.full(-(-len(h) // SPAN) * SPAN, 2**64 - 1, U)
+    packed[: len(h)] = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U)
+    tiles = packed.reshape(-1, SPAN)
+    ahead = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = np.minimum.accumulate(tiles, axis=1).ravel()
+    least = np.minimum(ahead[:n], behind[SPAN - 1 : SPAN - 1 + n]) & U(0xFFFFFFFF)
     inside = np.zeros(n, bool)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         if b - a >= LENGTH:
             inside[a : b - LENGTH + 1] = True
     start = np.flatnonzero(inside)
-    place = start + at[start]
+    place = least[start].astype(np.int64)
     new = np.ones(len(start), bool)
     new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    return low[start[first]], start[first], np.diff(np.append(first, len(start))), np.searchsorted(off, start[first], "right") - 1
+    return h[place[first]], start[first], np.diff(np.append(first, len(start))), np.searchsorted(off, start[first], "right") - 1
 
 
 def suffix_order(s: np.ndarray, levels: int) -> np.ndarray:
@@ -142,50 +140,108 @@ def first_windows(contexts: list[bytes], keys: np.ndarray, starts: np.ndarray) -
     return list(zip(key[at].tolist(), start[at].tolist(), np.diff(np.append(at, len(key))).tolist(), strict=True))
 
 
+#: Of a hash among the rows that are dealt together: it stands there once; it is the first of several; it is another of them.
+ALONE, FIRST, OTHER = range(3)
+
+
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            buf, off = texts_of(batch.column("text"))
+    """(x, h, key, run, state) of each run of windows; ``x`` is where the row goes: its hash, or anywhere if it is known to occur again."""
+    for batch in batches:
+        parts = []
+        for piece in pieces(batch, "text"):
+            buf, off = texts_of(piece.column("text"))
             h, start, count, text = least_grams(buf, off)
-            keys = batch.column("key").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys), pa.array((start - off[text]) << 8 | count)], ["h", "key", "run"])
+            parts.append((h.view(np.int64), piece.column("key").to_numpy()[text], (start - off[text]) << 8 | count))
+        h, key, run = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+        _, first, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        state = np.where(n[at] == 1, ALONE, OTHER)
+        state[first[n > 1]] = FIRST
+        x = np.where(state == OTHER, mix((key * 31 + run).astype(U)).view(np.int64), h)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(h), pa.array(key), pa.array(run), pa.array(state.astype(np.int8))], ["x", "h", "key", "run", "state"])
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by x: those whose hash occurs again. One row is held at most, until the next hash comes."""
+    held = [np.zeros(0, np.int64)] * 4
+    told: int | None = None  # the last hash, if it is known to occur again
+    for batch in batches:
+        new = [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "key", "run", "state")]
+        other = new[3] == OTHER
+        out = [[a[other] for a in new]]
+        rows = [np.concatenate([a, b[~other]]) for a, b in zip(held, new, strict=True)]
+        h, state = rows[0], rows[3]
+        if len(h):
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(start, len(h)))
+            again = (size > 1) | (np.add.reduceat((state == FIRST).astype(np.int64), start) > 0) | (h[start] == told if told is not None else False)
+            keep = np.repeat(again, size)
+            out.append([a[keep] for a in rows])
+            held, told = ([a[:0] for a in rows], int(h[-1])) if again[-1] else ([a[-1:] for a in rows], None)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["h", "key", "run"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, hot, key, start, context) of each run of windows that goes with a hash that occurs again."""
+    """(h, key, start, context) of each run of windows that goes with a hash that occurs again; of equal contexts in a batch the first."""
     for whole in batches:
-        for batch in pieces(whole, "text"):
-            out: list[tuple] = []
-            texts = batch.column("text").cast(pa.large_binary())
-            for key, text, runs in zip(batch.column("key").to_pylist(), texts, batch.column("runs"), strict=True):
-                if not runs.is_valid:
-                    continue
-                data, parts = memoryview(text.as_buffer()), runs.values
-                h, run, hot = (parts.field(i).to_numpy(zero_copy_only=False).tolist() for i in range(3))
-                for x, r, b in zip(h, run, hot, strict=True):
-                    a = r >> 8
-                    out.append((x, b, key, a, bytes(data[a : a + (r & 255) + LENGTH - 1])))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["h", "hot", "key", "start", "context"])
+        least: dict[tuple[int, bytes], tuple[int, int]] = {}
+        texts = whole.column("text").cast(pa.large_binary())
+        for key, text, runs in zip(whole.column("key").to_pylist(), texts, whole.column("runs"), strict=True):
+            if not runs.is_valid:
+                continue
+            data, parts = text.as_py(), runs.values
+            for h, run in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist(), strict=True):
+                a = run >> 8
+                context = h, data[a : a + (run & 255) + LENGTH - 1]
+                place = key, a
+                if least.setdefault(context, place) > place:
+                    least[context] = place
+        columns = [[c[0] for c in least], [p[0] for p in least.values()], [p[1] for p in least.values()], [c[1] for c in least]]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["h", "key", "start", "context"])
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From distinct contexts sorted by h: the runs of windows that are the first of their content."""
+    """From contexts sorted by h: the runs of windows (key, start, n) that are the first of their content.
+
+    The windows of a hash with over HOT distinct contexts are given out one by one with their content, for
+    the least place of each to be found by grouping.
+    """
+    schema = pa.schema([("window", pa.binary()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+
+    def ready(groups: list[dict[bytes, tuple[int, int]]]) -> pa.RecordBatch:
+        contexts = [c for g in groups for c in g]
+        places = np.array([p for g in groups for p in g.values()], np.int64).reshape(-1, 2)
+        runs = first_windows(contexts, places[:, 0], places[:, 1]) if contexts else []
+        return pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.binary()), *[pa.array([r[i] for r in runs], pa.int64()) for i in range(3)]], schema=schema)
 
-    def ready(rows: list[tuple]) -> pa.RecordBatch:
-        runs = first_windows([r[3] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)) if rows else []
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(3)], ["key", "start", "n"])
+    def single(rows: list[tuple]) -> pa.RecordBatch:
+        cut = [(c[i : i + LENGTH], key, start + i) for c, (key, start) in rows for i in range(len(c) - LENGTH + 1)]
+        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([1] * len(cut), pa.int64())], schema=schema)
 
-    held: list[tuple] = []
-    size = 0
+    done: list[dict[bytes, tuple[int, int]]] = []
+    own: dict[bytes, tuple[int, int]] = {}
+    size, now, hot = 0, None, False
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("h", "key", "start", "context")], strict=True):
-            if size >= TOGETHER and row[0] != held[-1][0]:
-                yield ready(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    yield ready(held)
+        for h, key, start, context in zip(*[batch.column(c).to_pylist() for c in ("h", "key", "start", "context")], strict=True):
+            if h != now:
+                if not hot:
+                    done.append(own)
+                if size >= TOGETHER:
+                    yield ready(done)
+                    done, size = [], 0
+                own, now, hot = {}, h, False
+            place = key, start
+            if own.setdefault(context, place) is place:
+                size += len(context)
+            elif place < own[context]:
+                own[context] = place
+            if len(own) > HOT or hot and len(own) >= 256:
+                yield single(list(own.items()))
+                own, hot = {}, True
+        if hot:
+            yield single(list(own.items()))
+            own = {}
+    yield ready([*done, own]) if not hot else ready(done)
 
 
 def removed_mask(n: int, runs: np.ndarray, firsts: list[tuple[int, int]]) -> np.ndarray:
@@ -232,32 +288,26 @@ def repeats(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "
     Null text counts as empty, and a text below LENGTH bytes keeps all. Null doc_id: the smallest. Rows of
     one doc_id count as one text at one place: they don't remove each other. Empty table: no row.
 
-    Shuffled are the hashes (one in 40 bytes or so), the texts once by doc_id, and the distinct contexts of
-    hashes that occur again. The count of a hash combines before its exchange; the join on it may be split.
-    A hash with over HOT occurrences has the windows of its contexts grouped one by one, so that no bucket
-    is too large for a task.
+    Shuffled are the hashes (one in 40 bytes or so, of one hash a single row for each batch of texts), the
+    texts once by doc_id, and the contexts of hashes that occur again (of equal ones a single row for each
+    batch). A hash with over HOT distinct contexts has its windows grouped one by one, so that no bucket is
+    too large for a task.
     """
     rows = docs.select(keep.alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    texts = rows.select("key", "text")
-    dealt = texts.mapInArrow(_dealt, "h long, key long, run long")
-    again = dealt.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = dealt.join(again, "h").groupBy("key").agg(F.collect_list(F.struct("h", "run", (F.col("n") > HOT).alias("hot"))).alias("runs"))
-    runs = checkpointed(runs)
-
-    joined = rows.join(runs, "key", "left")
-    found = joined.select("key", "text", "runs").mapInArrow(_contexts, "h long, hot boolean, key long, start long, context binary")
-    place = F.col("key").cast("decimal(38,0)") * F.lit(OFFSETS) + F.col("start")
-    contexts = found.groupBy("h", "hot", "context").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
-    start = F.pmod("place", F.lit(OFFSETS).cast("decimal(38,0)"))
-    contexts = contexts.select("h", "hot", "context", ((F.col("place") - start) / F.lit(OFFSETS)).cast("long").alias("key"), start.cast("long").alias("start"))
-    usual = contexts.where("NOT hot").select("h", "key", "start", "context").repartition("h").sortWithinPartitions("h")
-    firsts = usual.mapInArrow(_firsts, "key long, start long, n long")
-    windows = F.transform(F.sequence(F.lit(0), F.octet_length("context") - LENGTH), lambda i: F.struct(i.alias("i"), F.substring("context", i + 1, LENGTH).alias("window")))
-    hot = contexts.where("hot").select("key", "start", F.explode(windows).alias("w"))
-    place = F.col("key").cast("decimal(38,0)") * F.lit(OFFSETS) + F.col("start") + F.col("w.i")
-    hot = hot.groupBy("w.window").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
-    hot = hot.select(((F.col("place") - start) / F.lit(OFFSETS)).cast("long").alias("key"), start.cast("long").alias("start"), F.lit(1).cast("long").alias("n"))
-    firsts = firsts.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
+    dealt = rows.select("key", "text").mapInArrow(_dealt, "x long, h long, key long, run long, state byte")
+    again = dealt.repartition("x").sortWithinPartitions("x").mapInArrow(_again, "h long, key long, run long")
+    runs = again.groupBy("key").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
+
+    joined = rows.join(runs, "key", "left")  # read twice, with the same columns: its exchanges are shared
+    found = joined.select("row", "key", "text", "runs").mapInArrow(_contexts, "h long, key long, start long, context binary")
+    firsts = found.repartition("h").sortWithinPartitions("h").mapInArrow(_firsts, "window binary, key long, start long, n long")
+    # of a window by itself the least place; runs are told apart by their own place
+    alone = F.col("window").isNull()
+    place = (F.col("key").cast("decimal(38,0)") * F.lit(OFFSETS) + F.col("start")).cast("decimal(38,0)")
+    firsts = firsts.groupBy("window", F.when(alone, F.col("key")).alias("k"), F.when(alone, F.col("start")).alias("s"), "n").agg(F.min(F.when(~alone, place)).alias("place"))
+    offset = F.pmod("place", F.lit(OFFSETS).cast("decimal(38,0)"))
+    firsts = firsts.select(F.coalesce("k", ((F.col("place") - offset) / F.lit(OFFSETS)).cast("long")).alias("key"), F.coalesce("s", offset.cast("long")).alias("start"), "n")
+    firsts = firsts.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
 
     spelled = joined.join(firsts, "key", "left").select("row", "text", "runs", "firsts")
     fields = [T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("edges", T.ArrayType(T.LongType()))]
