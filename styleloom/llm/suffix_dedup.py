@@ -145,7 +145,7 @@ ALONE, FIRST, OTHER = range(3)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, h, key, run, state) of each run of windows; ``x`` is where the row goes: its hash, or anywhere if it is known to occur again."""
+    """(h, key, run) of each run of windows; ``run`` holds where it starts, how many windows it has, and the state of its hash."""
     for batch in batches:
         parts = []
         for piece in pieces(batch, "text"):
@@ -156,16 +156,16 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         state = np.where(n[at] == 1, ALONE, OTHER)
         state[first[n > 1]] = FIRST
-        x = np.where(state == OTHER, mix((key * 31 + run).astype(U)).view(np.int64), h)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(h), pa.array(key), pa.array(run), pa.array(state.astype(np.int8))], ["x", "h", "key", "run", "state"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(run << 2 | state)], ["h", "key", "run"])
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by x: those whose hash occurs again. One row is held at most, until the next hash comes."""
+    """From rows sorted by hash: those whose hash occurs again. One row is held at most, until the next hash comes."""
     held = [np.zeros(0, np.int64)] * 4
     told: int | None = None  # the last hash, if it is known to occur again
     for batch in batches:
-        new = [batch.column(c).to_numpy().astype(np.int64) for c in ("h", "key", "run", "state")]
+        h, key, run = (batch.column(c).to_numpy() for c in ("h", "key", "run"))
+        new = [h, key, run >> 2, run & 3]
         other = new[3] == OTHER
         out = [[a[other] for a in new]]
         rows = [np.concatenate([a, b[~other]]) for a, b in zip(held, new, strict=True)]
@@ -181,12 +181,15 @@ def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, key, start, context) of each run of windows that goes with a hash that occurs again; of equal contexts in a batch the first."""
+    """(h, key, start, context) of each run of windows that goes with a hash that occurs again; of equal contexts in a batch the first.
+
+    Copies of a text in a smaller doc_id are never the first place of a window, so they give none.
+    """
     for whole in batches:
         least: dict[tuple[int, bytes], tuple[int, int]] = {}
         texts = whole.column("text").cast(pa.large_binary())
-        for key, text, runs in zip(whole.column("key").to_pylist(), texts, whole.column("runs"), strict=True):
-            if not runs.is_valid:
+        for key, text, runs, copy in zip(whole.column("key").to_pylist(), texts, whole.column("runs"), whole.column("copy").to_pylist(), strict=True):
+            if copy or not runs.is_valid:
                 continue
             data, parts = text.as_py(), runs.values
             for h, run in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist(), strict=True):
@@ -290,16 +293,21 @@ def repeats(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "
 
     Shuffled are the hashes (one in 40 bytes or so, of one hash a single row for each batch of texts), the
     texts once by doc_id, and the contexts of hashes that occur again (of equal ones a single row for each
-    batch). A hash with over HOT distinct contexts has its windows grouped one by one, so that no bucket is
+    batch, of whole copies none). A hash with over HOT distinct contexts has its windows grouped one by one, so that no bucket is
     too large for a task.
     """
     rows = docs.select(keep.alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    dealt = rows.select("key", "text").mapInArrow(_dealt, "x long, h long, key long, run long, state byte")
-    again = dealt.repartition("x").sortWithinPartitions("x").mapInArrow(_again, "h long, key long, run long")
+    dealt = rows.select("key", "text").mapInArrow(_dealt, "h long, key long, run long")
+    anywhere = F.when(F.col("run").bitwiseAND(3) == OTHER, F.xxhash64("key", "run")).otherwise(F.col("h"))
+    again = dealt.repartition(anywhere).sortWithinPartitions("h").mapInArrow(_again, "h long, key long, run long")
     runs = again.groupBy("key").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
 
-    joined = rows.join(runs, "key", "left")  # read twice, with the same columns: its exchanges are shared
-    found = joined.select("row", "key", "text", "runs").mapInArrow(_contexts, "h long, key long, start long, context binary")
+    same = rows.select("key", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    held = same.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    copies = same.join(held, ["a", "b"]).where("key > least").groupBy("key").agg(F.lit(True).alias("copy"))
+
+    joined = rows.join(runs, "key", "left").join(copies, "key", "left")  # read twice, with the same columns: its exchanges are shared
+    found = joined.select("row", "key", "text", "runs", "copy").mapInArrow(_contexts, "h long, key long, start long, context binary")
     firsts = found.repartition("h").sortWithinPartitions("h").mapInArrow(_firsts, "window binary, key long, start long, n long")
     # of a window by itself the least place; runs are told apart by their own place
     alone = F.col("window").isNull()
@@ -309,7 +317,7 @@ def repeats(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "
     firsts = firsts.select(F.coalesce("k", ((F.col("place") - offset) / F.lit(OFFSETS)).cast("long")).alias("key"), F.coalesce("s", offset.cast("long")).alias("start"), "n")
     firsts = firsts.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
 
-    spelled = joined.join(firsts, "key", "left").select("row", "text", "runs", "firsts")
+    spelled = joined.join(firsts, "key", "left").select("row", "text", "runs", "copy", "firsts")
     fields = [T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("edges", T.ArrayType(T.LongType()))]
     return spelled.mapInArrow(_spelled, T.StructType(fields))
 
