@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .common import NULL_KEY
 
 STRIPPED = " \t\n\x0b\x0c\r"
+#: Parts that the lines of one key are joined in.
+SALTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,7 +26,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
     no row. Input columns of any name are kept apart inside ``row``.
 
     Only hashes of lines are shuffled for the count and the join. The count combines before its
-    exchange, and the join on the hash may be split where a line is very common; no group of rows of
+    exchange, and the join on the hash is salted, so that the rows of a very common line are dealt out; no group of rows of
     one line is ever gathered. Texts move once, to meet the dropped positions of their document.
     """
     base = docs.select(
@@ -39,7 +41,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id:
     lines = lines.select("id", "same", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
     common = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(common.select("h1", "h2", "keeper"), ["h1", "h2"]).where("id <> keeper")
+    # the lines of one key are joined in SALTS parts, and AQE may split these further
+    common = common.select("h1", "h2", "keeper", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    gone = lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(common, ["h1", "h2", "salt"]).where("id <> keeper")
     gone = gone.groupBy("id", "same").agg(F.collect_set("pos").alias("gone"))
 
     whole = base.withColumn("same", F.xxhash64("body")).join(gone.hint("shuffle_hash"), ["id", "same"], "left")
