@@ -229,6 +229,8 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h != now:
                 if not hot:
                     done.append(own)
+                elif own:
+                    yield single(list(own.items()))
                 if size >= TOGETHER:
                     yield ready(done)
                     done, size = [], 0

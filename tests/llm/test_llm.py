@@ -287,6 +287,20 @@ def test_first_windows_hot_and_not(monkeypatch, hot):
     assert sorted(firsts + list(single.values())) == sorted(min(p) for p in want.values())
 
 
+def test_first_windows_hot_then_another_hash(monkeypatch):
+    """The last contexts of a hot hash are given out too where another hash follows in the same batch."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rng = random.Random(2)
+    made = [bytes(rng.randrange(97, 123) for _ in range(100 + i)) for i in range(12)]
+    rows = [(7, i, 5 * i, c) for i, c in enumerate(made[:8])] + [(8, i, 3, c) for i, c in enumerate(made[8:10], 20)] + [(9, i, 0, c) for i, c in enumerate(made[10:], 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary())], ["h", "key", "start", "context"])
+    got = []
+    for b in suffix_dedup._firsts(iter([batch])):
+        for _, key, start, n in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+            got += [(key, start + i) for i in range(n)]
+    assert sorted(got) == sorted((key, start + a) for _, key, start, c in rows for a in range(len(c) - 99))
+
+
 def test_language_id(spark, nothing):
     rng = random.Random(6)
     sounds = {"aa": ["ka", "lo", "mi", "ra"], "bb": ["sch", "eit", "ung", "ver"], "cc": ["é", "eau", "tion", "ou"]}
