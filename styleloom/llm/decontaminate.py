@@ -56,12 +56,13 @@ class Tokens:
         self.start, self.end, self.code, self.kind, self.bounds = start, end, code, kind, bounds
 
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, np.ndarray]:
-    """The plain tokens (numbers and units are slots), the template tokens (runs of names too), the folded bytes.
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, Tokens, np.ndarray]:
+    """The plain tokens (numbers and units are slots), two readings of template tokens (runs of names too), the folded bytes.
 
     A token is a run of letters or a number (digits, with a point or comma between digits). Case is folded
-    for ASCII and Latin-1. A name is a capitalised token that neither begins the text nor follows the end
-    of a sentence or line; names that follow each other make one slot.
+    for ASCII and Latin-1. A name is a capitalised token; names that follow each other make one slot. One
+    that begins the text or follows the end of a sentence or line may be any word: in the first reading it
+    is literal, in the second a name, which begins a slot of its own.
     """
     low = LOWER[buf]
     n = len(buf)
@@ -98,17 +99,20 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, np.ndarray
     before = np.where(start > 0, solid[np.maximum(start - 1, 0)], -1) if len(start) else start
     text_of = np.searchsorted(off, start, "right") - 1
     begins = before < off[text_of]
-    name = upper & ~number & ~begins & ~_STOP[buf[np.maximum(before, 0)]]
+    opens = begins | _STOP[buf[np.maximum(before, 0)]]
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, LITERAL))
     plain = Tokens(start, end, np.where(kinds == LITERAL, code, SLOT[kinds]), kinds, bounds)
-    kinds = np.where(name, NAME, kinds)
-    keep = np.ones(len(start), bool)
-    keep[1:] = ~(name[1:] & name[:-1]) | first[1:]
-    at = np.flatnonzero(keep)
-    last = np.append(at[1:], len(start)) - 1
-    kinds = kinds[at]
-    template = Tokens(start[at], end[last] if len(at) else end, np.where(kinds == LITERAL, code[at], SLOT[kinds]), kinds, np.searchsorted(at, bounds))
-    return plain, template, low
+
+    def template(name: np.ndarray, apart: np.ndarray) -> Tokens:
+        keep = np.ones(len(start), bool)
+        keep[1:] = ~(name[1:] & name[:-1]) | apart[1:]
+        at = np.flatnonzero(keep)
+        last = np.append(at[1:], len(start)) - 1
+        own = np.where(name, NAME, kinds)[at]
+        return Tokens(start[at], end[last] if len(at) else end, np.where(own == LITERAL, code[at], SLOT[own]), own, np.searchsorted(at, bounds))
+
+    capital = upper & ~number
+    return plain, template(capital & ~opens, first), template(capital, first | opens), low
 
 
 def windows(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +135,14 @@ def windows(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """The windows of all items, plain and as templates, by hash."""
+    """The windows of all items, plain and as templates in both readings, by hash."""
 
     def __init__(self, items: list[tuple], k: int = WINDOW):
         self.ids = [i for i, _ in items]
         buf, off = texts_of(pa.array([t for _, t in items], pa.large_string()))
-        plain, template, low = tokens(buf, off)
+        *streams, low = tokens(buf, off)
         self.streams = []
-        for t in (plain, template):
+        for t in streams:
             own = [Tokens(t.start[a:b], t.end[a:b], t.code[a:b], t.kind[a:b], np.array([0, b - a])) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
             values = [[low[a:b].tobytes() for a, b in zip(o.start.tolist(), o.end.tolist(), strict=True)] for o in own]
             found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))

@@ -422,6 +422,22 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    ship(spark)
+    items = [(1, "Anna has 4 red pens. Ben has 7 blue pens. Carla has 9. Who has the most?"), (2, "Dora sold 12 old green lamps")]
+    rows = [
+        (1, "Zoe has 5 red pens. Tom has 8 blue pens. Lena has 2. Who has the most?"),
+        (2, "So it began. Mary Ann sold 31 old green lamps."),
+        (3, "Zoe has 5 red pens. Zoe has 8 blue pens. Zoe has 2. Who has the most?"),
+        (4, "zoe has 5 red books. Tom has 8 blue books."),
+        (5, items[0][1]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaked_pairs(df, bench).collect())
+    assert got == [(1, 1, "re-parameterised"), (2, 2, "re-parameterised"), (5, 1, "verbatim")]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
