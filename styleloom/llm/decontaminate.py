@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U, mix, pieces, rolled, span_hash, texts_of
+from .common import BYTE_CODE, LOWER, U, mix, pieces, rolled, span_hash, texts_of
 
 #: Tokens of a window, and the share of an item's tokens that a document must hold to leak it.
 WINDOW, COVERAGE = 8, 0.5
@@ -37,6 +37,9 @@ _JOINT = np.zeros(256, bool)
 _JOINT[[0x2C, 0x2E]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 13]] = True
+#: Signs that tell numbers apart which stand on both sides of them.
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in "+-*/=^<>%"]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"()[]-*#|>"]] = True
 
@@ -50,19 +53,27 @@ _UNIT = _unit_hashes()
 
 
 class Tokens:
-    """The tokens of some texts: where each stands, its hash as a template, its kind, and the bounds of the texts."""
+    """The tokens of some texts: where each stands, its hash as a template, its kind, the bounds of the texts, and
+    its hash where a token of the window stands before it."""
 
-    def __init__(self, start: np.ndarray, end: np.ndarray, code: np.ndarray, kind: np.ndarray, bounds: np.ndarray):
+    def __init__(self, start: np.ndarray, end: np.ndarray, code: np.ndarray, kind: np.ndarray, bounds: np.ndarray, inner: np.ndarray | None = None):
         self.start, self.end, self.code, self.kind, self.bounds = start, end, code, kind, bounds
+        self.inner = code if inner is None else inner
 
+    def part(self, a: int, b: int) -> Tokens:
+        """The tokens from a to b, as one text."""
+        return Tokens(self.start[a:b], self.end[a:b], self.code[a:b], self.kind[a:b], np.array([0, b - a]), self.inner[a:b])
 
-def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, Tokens, np.ndarray]:
-    """The plain tokens (numbers and units are slots), two readings of template tokens (runs of names too), the folded bytes.
+
+def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, Tokens, Tokens, np.ndarray]:
+    """The verbatim tokens (no slots), the plain ones (numbers and units are slots), two readings of template tokens
+    (runs of names too), the folded bytes.
 
     A token is a run of letters or a number (digits, with a point or comma between digits). Case is folded
     for ASCII and Latin-1. A name is a capitalised token; names that follow each other make one slot. One
     that begins the text or follows the end of a sentence or line may be any word: in the first reading it
-    is literal, in the second a name, which begins a slot of its own.
+    is literal, in the second a name, which begins a slot of its own. Verbatim numbers that follow each
+    other go with the signs of arithmetic between them.
     """
     low = LOWER[buf]
     n = len(buf)
@@ -111,18 +122,23 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[Tokens, Tokens, Tokens, np
         own = np.where(name, NAME, kinds)[at]
         return Tokens(start[at], end[last] if len(at) else end, np.where(own == LITERAL, code[at], SLOT[own]), own, np.searchsorted(at, bounds))
 
+    signs = np.concatenate([np.zeros(1, U), np.cumsum(np.where(_SIGN[buf], BYTE_CODE[buf], U(0)), dtype=U)])
+    inner = code.copy()
+    follows = 1 + np.flatnonzero(number[1:] & number[:-1] & ~first[1:])
+    inner[follows] = mix(code[follows] + signs[start[follows]] - signs[end[follows - 1]])
+    verbatim = Tokens(start, end, code, np.zeros(len(start), np.int64), bounds, inner)
     capital = upper & ~number
-    return plain, template(capital & ~opens, first), template(capital, first | opens), low
+    return verbatim, plain, template(capital & ~opens, first), template(capital, first | opens), low
 
 
 def windows(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of each window of k tokens in one text of which half at least are literal."""
+    """First token and hash of each window of k tokens in one text; with slots, half at least are literal."""
     n = len(t.code) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
     h = np.full(n, U(k))
     for i in range(k):
-        h = (h + t.code[i : i + n]) * U(0xD6E8FEB86659FD93 + 2 * i)
+        h = (h + (t.inner if i else t.code)[i : i + n]) * U(0xD6E8FEB86659FD93 + 2 * i)
         h ^= h >> U(32)
     literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
     ok = 2 * (literal[k:] - literal[:-k]) >= k
@@ -135,7 +151,7 @@ def windows(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """The windows of all items, plain and as templates in both readings, by hash."""
+    """The windows of all items, verbatim, plain and as templates in both readings, by hash."""
 
     def __init__(self, items: list[tuple], k: int = WINDOW):
         self.ids = [i for i, _ in items]
@@ -143,7 +159,7 @@ class Benchmark:
         *streams, low = tokens(buf, off)
         self.streams = []
         for t in streams:
-            own = [Tokens(t.start[a:b], t.end[a:b], t.code[a:b], t.kind[a:b], np.array([0, b - a])) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
+            own = [t.part(a, b) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
             values = [[low[a:b].tobytes() for a, b in zip(o.start.tolist(), o.end.tolist(), strict=True)] for o in own]
             found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
             for item, o in enumerate(own):

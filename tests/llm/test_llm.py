@@ -438,6 +438,24 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert got == [(1, 1, "re-parameterised"), (2, 2, "re-parameterised"), (5, 1, "verbatim")]
 
 
+def test_decontamination_of_items_dense_in_numbers(spark):
+    ship(spark)
+    items = [(1, "What comes next: 2, 4, 8, 16, 32, 64?"), (2, "Compute 12 + 35 - 48 * 9 + 7"), (3, "17 + 4 = 21"), (4, "1 + 2 + 3 + 4")]
+    rows = [
+        (1, f"It said 5. {items[0][1]} 128 is right."),
+        (2, f"Task 3. {items[1][1]} = ?"),
+        (3, "What comes next: 3, 5, 9, 17, 33, 65?"),
+        (4, "Compute 12 - 35 + 48 / 9 - 7"),
+        (5, "1, 2, 3, 4, 5"),
+        (6, "Sum 0, 1 + 2 + 3 + 4"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.leaked_pairs(df, bench).collect())
+    assert got == [(1, 1, "verbatim"), (2, 2, "verbatim"), (6, 4, "verbatim")]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
