@@ -6,18 +6,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shingle, and the share of a template's shingles that a window must contain.
-SHINGLE, CONTAINED = 3, 0.9
+SHINGLE, CONTAINED = 3, 0.8
 #: A template is found by its bands with at least this probability where the containment is just reached.
 RECALL = 0.9999
 #: MinHash values in a band.
 ROWS = 1
 
-#: Short notices by which texts state a license. Other templates are a parameter.
+#: Short notices by which texts state a license. standard() adds to them; other templates are a parameter.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0": "the GNU General Public License, version 3",
@@ -33,6 +34,35 @@ TEMPLATES = {
     "proprietary": "All rights reserved",
 }
 
+_GNU = "the GNU {0}General Public License as published by the Free Software Foundation; {1}version {2}"
+_HEADER = "This program is free software; you can redistribute it and/or modify it under the terms of " + _GNU + " of the License, or (at your option) any later version"
+_NAMES = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "AGPL-3.0": ("Affero ", "3")}
+_TEXTS = Path(__file__).resolve().parent / "license_texts"
+#: What a full text must hold too, where licenses that have no template here share most of it (AGPL-3.0, LGPL-2.0, MIT-0).
+_MUST = {"GPL-3.0": "Version 3, 29 June 2007", "LGPL-2.1": "Version 2.1, February 1999", "MIT": "The above copyright notice and this permission notice shall be included"}
+
+
+def standard() -> list[tuple[str, str, str]]:
+    """(license, form, words it must hold too) of the notices, titles, standard headers, SPDX lines and full texts."""
+    forms = [(name, text, "") for name, text in TEMPLATES.items()]
+    for name, (family, version) in _NAMES.items():
+        forms += [(name, f"GNU {family}General Public License {v}", "") for v in (f"version {version}", f"v{version}", f"v{version}.0")]
+        forms += [(name, _GNU.format(family, either, version), "") for either in ("", "either ")]
+        forms.append((name, _HEADER.format(family, "either ", version), ""))
+    forms += [
+        ("Apache-2.0", "Apache License Version 2.0", ""),
+        ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', ""),
+        ("MPL-2.0", "Mozilla Public License Version 2.0", ""),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ""),
+    ]
+    full = {f.stem: f.read_text(encoding="utf-8") for f in sorted(_TEXTS.glob("*.txt"))}
+    forms += [(name, text, _MUST.get(name, "")) for name, text in full.items()]
+    spdx = {*full, *_NAMES, "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"}
+    for name in sorted(spdx):
+        ways = [name, f"{name}-only", f"{name}-or-later"] if name in _NAMES else [name]
+        forms += [(name, f"SPDX-License-Identifier: {way}", "") for way in ways]
+    return forms
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for a row."""
@@ -40,8 +70,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; a hyphen or a point between two of them belongs to the word."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*)"), F.lit(1))
+    """Lower-cased runs of letters and digits; a hyphen or a point between two of them belongs to the word, but in an SPDX key."""
+    text = F.replace(F.lower(text), F.lit("spdx-license-identifier"), F.lit("spdx license identifier"))
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*)"), F.lit(1))
 
 
 def shingles(parts: Column, k: int) -> Column:
@@ -73,39 +104,49 @@ def minhash(window: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(seed * ROWS + r)))) for r in range(ROWS)])
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int = SHINGLE, contained: float = CONTAINED, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, str]] | None = None, k: int = SHINGLE, contained: float = CONTAINED, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return ``(doc_id, license, containment, position, n_windows)`` for each document and template found in it.
 
     A template is found where a window contains at least the share ``contained`` of its shingles of ``k``
-    words; containment is the best of them, position the first word of the first such window.
+    words; containment is the best of them, position the first word of the first such window. A license may
+    have several templates, each with words of which the window must hold a shingle too. Where templates of
+    two licenses are confusable (one holds that share of the other), the window must hold a shingle that
+    only the one has.
 
     Null or empty text, or one of fewer than k words, holds nothing. Rows of one doc_id, null too, count
     together. Empty table: no row. Templates of fewer than k words raise ValueError.
 
     Templates are grouped by length, in powers of two. For each group the windows overlap so that any place
-    of a template lies in one; windows without any shingle of a template cannot match and are passed over
-    before their MinHash values are formed. Nothing is grouped but the matches.
+    of a template lies in one. A match lacks a known number of shingles at most, so it holds one of any
+    larger choice of them; windows without one are passed over before their MinHash values are formed.
+    Nothing is grouped but the matches.
     """
     spark = docs.sparkSession
-    rows = sorted((templates if templates is not None else TEMPLATES).items())
-    known = spark.createDataFrame(rows, "license string, text string").select("license", words(F.col("text")).alias("parts"))
-    known = [(r["license"], r["n"], r["sh"]) for r in known.select("license", F.size("parts").alias("n"), shingles(F.col("parts"), k).alias("sh")).collect()]
-    if any(n < k for _, n, _ in known):
+    given = TEMPLATES if templates is None else templates
+    forms = [(name, form, "") for name, form in sorted(given.items())] if isinstance(given, dict) else list(given)
+    known = spark.createDataFrame([(i, *form) for i, form in enumerate(forms)], "id int, license string, text string, must string")
+    known = known.select("id", "license", words(F.col("text")).alias("parts"), shingles(words(F.col("must")), k).alias("must"))
+    known = known.select("id", "license", F.size("parts").alias("n"), shingles(F.col("parts"), k).alias("sh"), "must").collect()
+    if any(r["n"] < k for r in known):
         raise ValueError(f"a template has fewer than {k} words")
-    groups: dict[int, list[tuple]] = {}
-    for name, n, sh in known:
-        groups.setdefault(1 << (n - 1).bit_length(), []).append((name, n, sorted(set(sh))))
-    plans = {g: plan(max(n for _, n, _ in own), min(n for _, n, _ in own), k, contained, recall) for g, own in groups.items()}
-    table = [(name, g, sh) for g, own in groups.items() for name, _, sh in own]
-    table = spark.createDataFrame(table, "license string, g int, template array<long>")
-    every = sorted({h for own in groups.values() for _, _, sh in own for h in sh})
+    sets = {r["id"]: set(r["sh"]) for r in known}
+    table, groups, chosen = [], {}, {}
+    for r in known:
+        own, g = sets[r["id"]], 1 << (r["n"] - 1).bit_length()
+        groups.setdefault(g, []).append(r["n"])
+        chosen.setdefault(g, set()).update(sorted(own)[: len(own) - math.ceil(contained * len(own) - 1e-9) + 1])
+        near = [own - sets[o["id"]] for o in known if o["license"] != r["license"] and len(own & sets[o["id"]]) >= contained * len(own) - 1e-9]
+        table.append((r["license"], g, sorted(own), [sorted(x) for x in [*near, set(r["must"])] if x]))
+    plans = {g: plan(max(own), min(own), k, contained, recall) for g, own in groups.items()}
+    table = spark.createDataFrame(table, "license string, g int, template array<long>, telling array<array<long>>")
+    every = sorted(set().union(*chosen.values()))
 
     def windows(sh: Column) -> Column:
         made = []
         for g, p in plans.items():
             starts = F.sequence(F.lit(0), F.size(sh) - 1, F.lit(p.stride))
-            made.append(F.transform(starts, _window(sh, g, p.width - k + 1)))
-        return F.filter(F.concat(*made), lambda w: F.exists(w["win"], lambda h: h.isin(every)))
+            made.append(F.filter(F.transform(starts, _window(sh, g, p.width - k + 1)), _holds(sorted(chosen[g]))))
+        return F.concat(*made)
 
     none = F.array().cast("array<struct<g:int,at:int,win:array<bigint>>>")
     found = let(words(F.coalesce(F.col(f"`{text}`"), F.lit(""))), lambda parts: let(shingles(parts, k), lambda sh: F.when(F.exists(sh, lambda h: h.isin(every)), windows(sh)).otherwise(none)))
@@ -115,10 +156,10 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, k: int =
         bands = [F.when(F.col("g") == g, F.array(*[minhash(F.col(win), s) for s in range(p.bands)])) for g, p in plans.items()]
         return F.coalesce(*bands)
 
-    keyed = table.select("license", "g", "template", F.explode(F.array_distinct(banded(table, "template"))).alias("band"))
-    met = cut.select("doc_id", "g", "at", "win", F.explode(F.array_distinct(banded(cut, "win"))).alias("band")).join(keyed, ["g", "band"])
-    met = met.select("doc_id", "at", "win", "license", "template", (F.size(F.array_intersect("template", "win")) / F.size("template")).alias("containment"))
-    met = met.where(F.col("containment") >= contained)
+    keyed = table.select("license", "g", "template", "telling", F.explode(F.array_distinct(banded(table, "template"))).alias("band"))
+    met = cut.select("doc_id", "g", "at", "win", F.explode(F.array_distinct(banded(cut, "win"))).alias("band")).join(F.broadcast(keyed), ["g", "band"])
+    met = met.select("doc_id", "at", "win", "license", "telling", (F.size(F.array_intersect("template", "win")) / F.size("template")).alias("containment"))
+    met = met.where(F.col("containment") >= contained).where(F.forall("telling", lambda t: F.arrays_overlap(t, F.col("win"))))
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("position"), F.count_distinct("at").alias("n_windows"))
 
 
@@ -126,6 +167,10 @@ def _window(sh: Column, g: int, width: int) -> Callable[[Column], Column]:
     return lambda i: F.struct(F.lit(g).alias("g"), i.alias("at"), F.slice(sh, i + 1, width).alias("win"))
 
 
+def _holds(chosen: list[int]) -> Callable[[Column], Column]:
+    return lambda w: F.exists(w["win"], lambda h: h.isin(chosen))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """What the query returns: the licenses that documents state."""
-    return licenses(docs)
+    return licenses(docs, standard())

@@ -398,6 +398,28 @@ def test_licenses(spark, docs, nothing):
         licenses.licenses(df, {"short": "two words"})
 
 
+def test_licenses_by_headers_and_full_texts(spark):
+    gnu = "This file is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    full = {f.stem: f.read_text() for f in licenses._TEXTS.glob("*.txt")}
+    mit = full["MIT"].replace("FITNESS FOR A PARTICULAR", "FITNESS FOR ANY").split("conditions:")
+    rows = {
+        1: (gnu.format("", "3"), {"GPL-3.0"}), 2: (gnu.format("", "2"), {"GPL-2.0"}), 3: (gnu.format("Lesser ", "2.1"), {"LGPL-2.1"}),
+        4: (gnu.format("Lesser ", "3"), {"LGPL-3.0"}), 5: (gnu.format("Affero ", "3"), {"AGPL-3.0"}),
+        6: ("see the GNU GENERAL PUBLIC LICENSE Version 3", {"GPL-3.0"}),
+        7: ("// SPDX-License-Identifier: GPL-2.0-only\nint x;", {"GPL-2.0"}),
+        8: (f"{mit[0]}conditions:{mit[1]}", {"MIT"}),
+        9: (full["ISC"], {"ISC"}), 10: (full["0BSD"], {"0BSD"}), 11: (full["Unlicense"], {"Unlicense"}),
+        12: (full["BSD-2-Clause"], {"BSD", "BSD-2-Clause"}), 13: (full["BSD-3-Clause"], {"BSD", "BSD-3-Clause"}),
+        14: ("word " * 700 + full["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE\n", "\n").replace("covered work", "covered thing"), {"GPL-3.0"}),
+        15: ("Free software is published by many; the general public may read version 3 of it.", set()),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string").repartition(4)
+    got = collections.defaultdict(set)
+    for r in licenses.report(df).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert {i: got[i] for i in rows} == {i: want for i, (_, want) in rows.items()}
+
+
 def test_decontamination(spark, docs, nothing):
     ship(spark)
     items = [
