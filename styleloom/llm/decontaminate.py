@@ -16,6 +16,8 @@ from .common import BYTE_CODE, LOWER, U, mix, pieces, rolled, span_hash, texts_o
 
 #: Tokens of a window, and the share of an item's tokens that a document must hold to leak it.
 WINDOW, COVERAGE = 8, 0.5
+#: Tokens of an item in a row by which a document leaks it, whatever their share.
+RUN = 20
 #: Shorter items are no evidence of a leak and are left out.
 LEAST = 4
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark is joined block by block.
@@ -175,7 +177,7 @@ class Benchmark:
                 tables[size] = seen, hashes, dict(by_hash)
             self.streams.append((own, values, tables))
 
-    def leaks(self, buf: np.ndarray, off: np.ndarray, coverage: float = COVERAGE) -> dict[int, list[tuple]]:
+    def leaks(self, buf: np.ndarray, off: np.ndarray, coverage: float = COVERAGE, run: int = RUN) -> dict[int, list[tuple]]:
         """For each text that leaks items: (item id, share of its tokens, whether slots hold other values)."""
         *streams, low = tokens(buf, off)
         shares: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -190,13 +192,14 @@ class Benchmark:
                     for item, i in by_hash[x]:
                         covered[text, item][size, j - i].add(i)
             for (text, item), by_shift in covered.items():
-                held, changed = set(), False
+                held, changed, longest = set(), False, 0
                 for (size, shift), starts in by_shift.items():
                     kept, other = _consistent(own[item], values[item], size, starts, t, shift, low)
                     held |= kept
                     changed |= other
+                    longest = max(longest, _longest(kept))
                 share = len(held) / len(own[item].code)
-                if share >= coverage and share > shares.get((text, item), (0.0,))[0]:
+                if (share >= coverage or longest >= run) and share > shares.get((text, item), (0.0,))[0]:
                     shares[text, item] = share, changed
         out: dict[int, list[tuple]] = defaultdict(list)
         for (text, item), (share, changed) in sorted(shares.items()):
@@ -225,6 +228,13 @@ def _consistent(item: Tokens, values: list[bytes], size: int, starts: set[int],
     return kept, not other.isdisjoint(kept)
 
 
+def _longest(places: set[int]) -> int:
+    """The length of the longest run of places."""
+    at = np.sort(np.fromiter(places, np.int64, len(places)))
+    ends = np.flatnonzero(np.diff(at) != 1)
+    return int(np.diff(np.concatenate([[-1], ends, [len(at) - 1]])).max())
+
+
 def leaks(docs: DataFrame, items: list[tuple], keep: Column, text: Column) -> DataFrame:
     """Return ``(row, leaks)`` for each row: which of these items the text holds. ``row`` is the struct ``keep``.
 

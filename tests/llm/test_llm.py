@@ -478,6 +478,17 @@ def test_decontamination_of_items_dense_in_numbers(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5]
 
 
+def test_decontamination_of_long_items_by_a_run(spark):
+    ship(spark)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("kalomirateu") for _ in range(6)) for _ in range(100)]
+    rows = [(1, "so " + " ".join(words[30:75])), (2, " ".join(words[30:50])), (3, " ".join(words[30:49])), (4, " and ".join([" ".join(words[:15]), " ".join(words[40:55])]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted((r["doc_id"], round(r["share"], 2), r["kind"]) for r in decontaminate.leaked_pairs(df, bench).collect()) == [(1, 0.45, "verbatim"), (2, 0.2, "verbatim")]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4]
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
