@@ -368,6 +368,22 @@ def test_sharding(docs, rows, nothing):
     assert sharding.digests(nothing).count() == 0
 
 
+def test_sharding_tells_long_strings_apart(spark, monkeypatch):
+    ship(spark)
+    names = [f"common-crawl-{i}" for i in range(4)] + [None]
+    df = spark.createDataFrame([(i, "t", names[i % 5]) for i in range(200)], "doc_id long, text string, source string")
+    for sample in (8192, 2):
+        monkeypatch.setattr(sharding, "SAMPLE", sample, raising=False)
+        got = sharding.shard_rows(df, shards=5, dims=("source",)).collect()
+        assert {r["shard"]: {x["row"]["source"] for x in got if x["shard"] == r["shard"]} for r in got} == {0: {None}, **{i + 1: {n} for i, n in enumerate(names[:4])}}
+        assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(5) for i in range(40)]
+    monkeypatch.setattr(sharding, "HEAVY", 1)
+    many = spark.createDataFrame([(i, "t", f"common-crawl-{i:04}") for i in range(1000)], "doc_id long, text string, source string")
+    monkeypatch.setattr(sharding, "SAMPLE", 200)
+    sizes = collections.Counter(r["hilbert"] for r in sharding.shard_rows(many, dims=("source",)).collect())
+    assert len(sizes) == 16 and max(sizes.values()) < 150
+
+
 def test_hilbert_curve():
     import itertools
 
