@@ -15,17 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import kept_ready, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct words whose ids a Python worker keeps; beyond, it forgets them all.
-CACHED_WORDS = 500_000
-#: Bytes of text that are encoded together.
-AT_ONCE = 1 << 20
+#: Bytes that the words whose ids a Python worker keeps may take, and what one takes besides its characters; beyond, it forgets all.
+CACHED_BYTES, WORD_BYTES = 48 << 20, 200
+#: Bytes of text that are encoded together, and characters of a longer text whose words are found together.
+AT_ONCE, LONG = 1 << 19, 1 << 18
 _NEVER = 1 << 62
 
 #: The word pattern of the byte-level vocabularies, with white space named by its property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+#: A space that begins a word whatever stands farther off, so that texts can be cut before it.
+_SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 def byte_symbols() -> list[str]:
@@ -189,16 +191,19 @@ class Index(dict):
 
 
 class Ragged:
-    """Rows of different length in one array; rows can be added and gathered."""
+    """Rows of different length in one array, which doubles when it is full; rows can be added and gathered."""
 
     def __init__(self, kind: type):
-        self.flat, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+        self.flat, self.ends, self.rows = np.zeros(1024, kind), np.zeros(1024, np.int64), 0
 
     def add(self, rows: list) -> None:
         flat = np.fromiter(chain.from_iterable(rows), self.flat.dtype)
         ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
-        self.ends = np.concatenate([self.ends, ends + self.ends[-1]])
-        self.flat = np.concatenate([self.flat, flat])
+        used, stop = int(self.ends[self.rows]), self.rows + len(rows)
+        self.flat, self.ends = _room(self.flat, used + len(flat)), _room(self.ends, stop + 1)
+        self.flat[used : used + len(flat)] = flat
+        self.ends[self.rows + 1 : stop + 1] = ends + used
+        self.rows = stop
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """These rows one after the other, and where each of them ends (with a leading 0)."""
@@ -207,6 +212,10 @@ class Ragged:
         return self.flat[np.repeat(start - ends[:-1], np.diff(ends)) + np.arange(ends[-1])], ends
 
 
+def _room(a: np.ndarray, size: int) -> np.ndarray:
+    return a if size <= len(a) else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)])
+
+
 class Encoder:
     """Encode and decode as a vocabulary file of the tokenizers library says (byte level, no normalizer)."""
 
@@ -231,7 +240,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index, self.ids = Index(), Ragged(np.int32)
+        self.index, self.ids, self.held = Index(), Ragged(np.int32), 0
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special tokens are words of their own."""
@@ -239,6 +248,14 @@ class Encoder:
             return self.find(text)
         return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.find(part))]
 
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of about LONG characters, cut where a word begins."""
+        a = 0
+        while len(text) - a > LONG and (cut := _SAFE.search(text, a + LONG)):
+            yield text[a : cut.start()]
+            a = cut.start()
+        yield text[a:]
+
     def learn(self, words: list[str]) -> None:
         """Append the ids of these words: long ones merged by themselves, others of about one size together."""
         found: list[list[int]] = [[]] * len(words)
@@ -263,14 +280,16 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends (with a leading 0); None counts as empty."""
-        if len(self.index) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
             self.forget()
         at, ends, number = [], [0], self.index.__getitem__
         for t in texts:
-            at.extend(map(number, self.words(t or "")))
+            for part in self.parts(t or ""):
+                at.extend(map(number, self.words(part)))
             ends.append(len(at))
         if self.index.fresh:
             self.learn(self.index.fresh)
+            self.held += sum(map(len, self.index.fresh)) + WORD_BYTES * len(self.index.fresh)
             self.index.fresh.clear()
         ids, stops = self.ids.gather(np.array(at, np.int64))
         return ids, stops[ends]
@@ -296,16 +315,9 @@ class Encoder:
         return next(self.decode_batch(known, np.array([0, len(known)])))
 
 
-_READY: dict[int, Encoder] = {}
-
-
 def encoder(shared: Broadcast) -> Encoder:
     """The encoder of this Python worker for a broadcast vocabulary; made once for a worker."""
-    key = hash(shared.value)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Encoder(shared.value)
-    return _READY[key]
+    return kept_ready(("bpe", hash(shared.value)), lambda: Encoder(shared.value))
 
 
 def share(spark: SparkSession, path: str | None = None) -> Broadcast:

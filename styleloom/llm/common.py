@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: what a Python worker holds at once besides the piece that it works on.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that their Python workers can import it."""
+    """Send this package to the executors once per context, so that their Python workers can import it.
+
+    Arrow batches are bounded by their bytes where the session doesn't set that itself: ten thousand
+    texts, the default, are no bound of memory.
+    """
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_styleloom_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    out = Path(tempfile.mkdtemp()) / "styleloom_pkg.zip"
+    top = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    out = Path(top) / "styleloom_pkg.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
@@ -35,15 +51,48 @@ def ship(spark: SparkSession) -> None:
     sc._styleloom_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a local one, which only a local master can use."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "styleloom-checkpoints")
+    return top
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir`` (an own folder only where it is unset)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "styleloom-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, but as a Parquet table, whose size Spark knows when it chooses how to join it."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept_ready(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this Python worker has made for ``key``; it holds one such thing only, so that operators don't add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Alternate large-star and small-star over ``edges(u, v)`` (longs) until nothing moves.
 
@@ -76,7 +125,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,16 +139,18 @@ _POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to n; computed once for a size and kept."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, PIECE + 1)
-        made = []
-        for base in (BASE, BASE_INV):
-            x = np.full(size, base, U)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
+    """BASE**i and BASE**-i for i up to n; those of a piece are computed once and kept."""
+    if _POWERS and len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n + 1, PIECE + 1)
+    made = []
+    for base in (BASE, BASE_INV):
+        x = np.full(size, base, U)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size == PIECE + 1:
         _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+    return made[0], made[1]
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=U))

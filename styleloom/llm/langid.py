@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of
+from .common import checkpointed, kept_ready, pieces, texts_of
 
-#: Labelled rows that the trees are fitted on, for each language, and languages that are learned.
-ROWS_PER_LANGUAGE, LANGUAGES = 400, 64
+#: Labelled rows that the trees are fitted on, for each language.
+ROWS_PER_LANGUAGE = 400
+#: Strings that the trees of all languages may hold together: some 200 MB in a worker. More are an error.
+MOST_STRINGS = 1 << 24
+#: Up to so many labels their counts are broadcast; more are joined by a shuffle.
+FEW_LABELS = 100_000
+#: Bytes of a longer text that are scored at once.
+SLICE = 1 << 18
 ORDER = 3
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,86 +92,121 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
 
+class Tree:
+    """The contexts of one language: for each order the strings (context and byte) that it has seen, with the bits of
+    the byte, and the contexts with the bits of an escape.
+
+    The estimate of a byte after a context is n / (N + D) where the context has seen it n times among N bytes of D
+    kinds, else the escape D / (N + D) times the estimate after the context without its oldest byte; a context that
+    was not seen costs nothing, and below the empty context all 256 bytes are equal. No byte is excluded after an
+    escape, so the estimates of a context add up to one at most: code lengths are exact for this formula, not minimal.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.orders = []
+        for order in range(ORDER, -1, -1):
+            strings, at = np.unique(codes & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, counts)
+            contexts, of = np.unique(strings >> np.uint32(8), return_inverse=True)
+            kinds = np.bincount(of)
+            whole = np.bincount(of, n) + kinds
+            self.orders.append((strings, np.log2(whole[of] / n).astype(np.float32), contexts, np.log2(whole / kinds).astype(np.float32)))
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        """The bits of the last byte of each of these four-byte strings after the others."""
+        out = np.zeros(len(codes) + 1, np.float32)
+        todo = np.arange(len(codes))
+        for order, (strings, bits, contexts, escapes) in zip(range(ORDER, -1, -1), self.orders, strict=True):
+            own = codes[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, seen = _found(strings, own)
+            out[todo[seen]] += bits[at[seen]]
+            todo, own = todo[~seen], own[~seen] >> np.uint32(8)
+            at, seen = _found(contexts, own)
+            out[todo[seen]] += escapes[at[seen]]
+        out[todo] += 8
+        return out
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Model:
-    """Counts of four-byte strings for each language; ``tables`` turns them into code lengths."""
-
-    def __init__(self, langs: list[str], codes: np.ndarray, counts: np.ndarray):
-        self.langs, self.codes, self.counts = langs, codes, counts
-        self.key = hashlib.sha256(repr(langs).encode() + codes.tobytes() + counts.tobytes()).hexdigest()
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """For each three-byte context its row, for each byte its column, the bits of that byte for each language, and the row width.
-
-        The estimate of a byte after a context is n / (N + D) where the context has seen it n times among
-        N bytes of D kinds, else the escape D / (N + D) times the estimate after the context without its
-        oldest byte; below the empty context all 256 bytes are equal. A context that no language has seen
-        shares the row of its longest suffix that some language has seen.
-        """
-        n_lang = len(self.langs)
-        codes = self.codes.astype(np.int64)
-        last = codes & 0xFF
-        seen = np.unique(last)
-        column = np.full(256, len(seen), np.int64)
-        column[seen] = np.arange(len(seen))
-        width = len(seen) + 1  # the last column: a byte never seen
-        grouped = [np.unique((codes >> 8) & ((1 << (8 * order)) - 1), return_inverse=True) for order in range(ORDER + 1)]
-        base = np.concatenate([[0], np.cumsum([len(ids) for ids, _ in grouped])])
-        bits = np.zeros((int(base[-1]), width, n_lang), np.float32)
-        for k in range(n_lang):
-            above, parents = np.full((1, width), 1 / 256, np.float32), np.zeros(1, np.int64)
-            for order, (ids, at) in enumerate(grouped):
-                n = np.bincount(at * width + column[last], self.counts[k], len(ids) * width).astype(np.float32).reshape(len(ids), width)
-                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True).astype(np.float32)
-                up = above[np.searchsorted(parents, ids & ((1 << (8 * max(0, order - 1))) - 1))]
-                whole = np.maximum(total + kinds, 1)
-                above, parents = np.where(n > 0, n / whole, np.where(total > 0, kinds / whole, 1) * up), ids
-                bits[base[order] : base[order + 1], :, k] = -np.log2(above)
-        one = np.zeros(256, np.uint32)
-        one[grouped[1][0]] = base[1] + np.arange(len(grouped[1][0]))
-        two = one[np.arange(1 << 16) & 0xFF]
-        two[grouped[2][0]] = base[2] + np.arange(len(grouped[2][0]))
-        row = np.tile(two.astype(np.uint16 if base[-1] < 1 << 16 else np.uint32), 256)
-        row[grouped[3][0]] = base[3] + np.arange(len(grouped[3][0]))
-        return row, column, bits.reshape(-1, n_lang), width
-
-
-_READY: dict[str, tuple] = {}
+    """For each language the four-byte strings of its sample and how often each stands there."""
+
+    def __init__(self, langs: list[str], strings: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs, self.strings = langs, strings
+        self.key = hashlib.sha256(repr(langs).encode() + b"".join(c.tobytes() + n.tobytes() for c, n in strings)).hexdigest()
+
+    @cached_property
+    def trees(self) -> list[Tree]:
+        return [Tree(c, n) for c, n in self.strings]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "trees"}
+
+
+def _sliced(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """The codes of one text, SLICE bytes at a time; no slice ends within a capital of two bytes."""
+    last = np.full(ORDER, 0x20, np.uint8)
+    a = 0
+    while a < len(buf):
+        b = min(a + SLICE, len(buf))
+        b += b < len(buf) and buf[b - 1] == 0xC3
+        part, _ = folded(buf[a:b], np.array([0, b - a]))
+        between = part[:1] if last[-1] != 0x20 and _FOLD[buf[a]] == 0x20 else part[:0]
+        x = np.concatenate([last, between, part[ORDER:]])
+        yield _contexts(x, np.array([0, len(x)]))[0]
+        last = x[-ORDER:]
+        a = b
 
 
 def code_lengths(model: Model, column: pa.Array) -> np.ndarray:
     """Bits of each text under each language."""
-    if model.key not in _READY:
-        _READY.clear()
-        _READY[model.key] = model.tables()
-    row, col, bits, width = _READY[model.key]
-    codes, bounds = _contexts(*folded(*texts_of(column)))
-    at = row[codes >> np.uint32(8)].astype(np.int64) * width + col[codes & np.uint32(0xFF)]
-    each = np.concatenate([bits[at], np.zeros((1, bits.shape[1]), np.float32)])
-    out = np.add.reduceat(each, bounds[:-1], axis=0, dtype=np.float64) if len(bounds) > 1 else np.zeros((0, bits.shape[1]))
-    out[np.diff(bounds) == 0] = 0
+    buf, off = texts_of(column)
+    if len(off) == 2 and len(buf) > SLICE:
+        return sum(_lengths(model, codes, np.array([0, len(codes)])) for codes in _sliced(buf))
+    return _lengths(model, *_contexts(*folded(buf, off)))
+
+
+def _lengths(model: Model, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(bounds) - 1, len(model.langs)))
+    full = np.diff(bounds) > 0
+    if full.any():
+        distinct, at = np.unique(codes, return_inverse=True)
+        for k, tree in enumerate(model.trees):
+            out[full, k] = np.add.reduceat(tree.bits(distinct)[at], bounds[:-1][full], dtype=np.float64)
     return out
 
 
-def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fit on ``(id, lang, text)``: about ``rows_per_language`` rows of each of the ``languages`` most frequent labels.
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+    """Fit on ``(id, lang, text)``: about ``rows_per_language`` rows of every label.
 
-    The sample is bounded by these two parameters: rows are chosen by a hash of id, whole texts are
-    counted on the executors, and the driver gets one number for each distinct four-byte string.
+    The sample is bounded by this parameter: rows are chosen by a hash of id, whole texts are counted on
+    the executors, and the driver gets one number for each label and distinct four-byte string. Over
+    MOST_STRINGS of them raise ValueError: fewer rows of each label, or fewer labels, have to be asked for.
     Rows with null label or text are left out. No row: a model without languages.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not rows:
-        return Model([], np.zeros(0, np.uint32), np.zeros((0, 0)))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows_per_language / r["count"]))) for r in rows], F.lit(-1.0))
-    sample = labelled.where(F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(2**63)) <= share).select("lang", "text")
-    got = sample.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    lang, code, n = (got.column(i).to_numpy() for i in range(3))
+    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    if rows.count() <= FEW_LABELS:
+        rows = F.broadcast(rows)
+    share = F.shiftrightunsigned(F.xxhash64("id"), 1) / F.lit(float(2**63)) * F.col("rows")
+    sample = labelled.join(rows, "lang").where(share <= rows_per_language).select("lang", "text")
+    got = checkpointed(sample.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    if (size := got.count()) > MOST_STRINGS:
+        raise ValueError(f"the trees would hold {size} strings, over the limit of {MOST_STRINGS}")
+    table = got.orderBy("lang", "code").toArrow()
+    lang, code, n = (table.column(i).to_numpy() for i in range(3))
     langs = sorted(set(lang.tolist()))
-    codes, at = np.unique(code, return_inverse=True)
-    counts = np.zeros((len(langs), len(codes)))
-    counts[np.searchsorted(np.array(langs, object), lang), at] = n
-    return Model(langs, codes.astype(np.uint32), counts)
+    own = [lang == x for x in langs]
+    return Model(langs, [(code[k].astype(np.uint32), n[k].astype(np.int64)) for k in own])
+
+
+def has_letter(model: Model, texts: pa.Array) -> np.ndarray:
+    """Whether each text gets a language: it has a letter, and some language was learned."""
+    return np.array([bool(model.langs and (t := x.as_py()) and _LETTER.search(t)) for x in texts], bool)
 
 
 def predict(docs: DataFrame, model: Model, keep: Column, text: Column) -> DataFrame:
@@ -174,14 +216,14 @@ def predict(docs: DataFrame, model: Model, keep: Column, text: Column) -> DataFr
     were as likely before, from 0 to 1. Text that is null or has no letter, and every text if nothing was
     learned, gives ``und`` with score 0; ties go to the first label in order. Empty table: no row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = kept_ready(("langid", key), lambda: shared.value)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", SLICE):
                 texts = batch.column("text")
-                letters = np.array([bool(model.langs and x and _LETTER.search(x)) for x in texts.to_pylist()], bool)
+                letters = has_letter(model, texts)
                 names, score = np.full(len(letters), UNDETERMINED, object), np.zeros(len(letters))
                 if letters.any():
                     bits = code_lengths(model, texts)
@@ -211,6 +253,18 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows whose text is in a language (not ``und``), unchanged."""
-    out = predict(docs, learned(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text"))
-    return out.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """The rows whose text is in a language (not ``und``), unchanged: those that ``predict`` gives a learned label."""
+    model = learned(docs)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = kept_ready(("langid", key), lambda: shared.value)
+        for whole in batches:
+            for batch in pieces(whole, "text", SLICE):
+                letters = has_letter(model, batch.column("text"))
+                if letters.any():
+                    bits = code_lengths(model, batch.column("text"))
+                    names = np.array(model.langs, object)[bits.argmin(1)]
+                    yield batch.filter(pa.array(letters & (names != UNDETERMINED)))
+
+    return docs.mapInArrow(run, docs.schema)
