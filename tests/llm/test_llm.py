@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -327,7 +328,7 @@ def test_language_code_lengths_are_exact():
     train = b"   abracadabra abra"
     codes = [int.from_bytes(train[i : i + 4], "big") for i in range(len(train) - 3)]
     u, n = np.unique(codes, return_counts=True)
-    model = langid.Model(["q"], u.astype(np.uint32), n[None, :].astype(float))
+    model = langid.Model(["q"], [(u.astype(np.uint32), n)])
 
     def p(context, byte):
         if context is None:
@@ -350,6 +351,28 @@ def test_language_code_lengths_are_exact():
     assert abs(langid.code_lengths(model, pa.array([text, ""]))[0, 0] - want) < 1e-3
 
 
+def test_language_of_long_texts_is_scored_in_slices(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab É\n1ñÃ") for _ in range(3000))
+    codes = np.unique(np.concatenate([langid._contexts(*langid.folded(*langid.texts_of(pa.array([text[:500]]))))[0]]))
+    model = langid.Model(["q", "r"], [(codes, np.ones(len(codes), np.int64)), (codes[::2], np.full(len(codes[::2]), 3))])
+    whole = langid.code_lengths(model, pa.array([text]))
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert np.allclose(langid.code_lengths(model, pa.array([text])), whole)
+
+
+def test_language_id_learns_every_label(spark, monkeypatch):
+    """More labels than any limit there ever was, with their counts joined by a shuffle."""
+    monkeypatch.setattr(langid, "FEW_LABELS", 10)
+    ship(spark)
+    df = spark.createDataFrame([(i, f"w{chr(0x100 + i % 80)}" * 9 + " x", f"l{i % 80}") for i in range(800)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 80}" for r in langid.predictions(df).collect())
+    monkeypatch.setattr(langid, "MOST_STRINGS", 10)
+    with pytest.raises(ValueError):
+        langid.predictions(df)
+
+
 def test_sharding(docs, rows, nothing):
     got = sharding.digests(docs).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
@@ -505,13 +528,120 @@ def test_decontamination_of_long_items_by_a_run(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4]
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def brute_leaks(docs, items):
+    """Every window of every item against every window of every text, by the tokens themselves."""
+    def streams(x):
+        *own, _ = decontaminate.tokens(*decontaminate.texts_of(pa.array([x], pa.large_string())))
+        raw = x.encode().lower()
+        return [(t, [raw[a:b] for a, b in zip(t.start, t.end, strict=True)], t.kind.tolist(), t.inner.tolist()) for t in own]
+
+    def windows(own, size):
+        t, value, kind, inner = own
+        for a in range(len(value) - size + 1):
+            kinds = kind[a : a + size]
+            if 2 * kinds.count(0) >= size:
+                yield a, tuple(value[a + o] if k == 0 and o == 0 else inner[a + o] if k == 0 else k for o, k in enumerate(kinds)), [(k, value[a + o]) if k else None for o, k in enumerate(kinds)]
+
+    parsed = {i: streams(x) for i, x in items.items() if x}
+    out = {}
+    for d, x in docs.items():
+        if not x:
+            continue
+        own = streams(x)
+        for i, its in parsed.items():
+            best, run = 0.0, 0
+            for k in range(4):
+                n = len(its[k][1])
+                size = min(n, 8)
+                if not n or size < 4 and (k or len(own[k][1]) != n):
+                    continue
+                places = collections.defaultdict(list)
+                mine = collections.defaultdict(list)
+                for a, key, slots in windows(own[k], size):
+                    mine[key].append((a, slots))
+                for a, key, slots in windows(its[k], size):
+                    for at, found in mine.get(key, ()):
+                        places[at - a].append((a, slots, found))
+                held = set()
+                for windows_ in places.values():
+                    pairs = {a + o: (s, f) for a, s_, f_ in windows_ for o, (s, f) in enumerate(zip(s_, f_, strict=True)) if s}
+                    to, back, wrong = {}, {}, set()
+                    for p in sorted(pairs):
+                        s, f = pairs[p]
+                        if to.setdefault(s, f) != f or back.setdefault(f, s) != s:
+                            wrong.add(p)
+                    kept = {p for a, *_ in windows_ if not wrong & set(range(a, a + size)) for p in range(a, a + size)}
+                    held |= kept
+                    run = max(run, max((len(list(g)) for _, g in itertools.groupby(enumerate(sorted(kept)), lambda e: e[1] - e[0])), default=0))
+                best = max(best, len(held) / n)
+            if best >= 0.5 or run >= 20:
+                out[d, i] = round(best, 6)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items rich in numbers, units and names, verbatim, re-parameterised and nearly: the pairs of brute force, and most of what was planted."""
+    ship(spark)
+    rng = random.Random(8)
+    people, places = ["Anna", "Ben", "Carla", "Dora", "Emil", "Fred", "Gina"], ["Paris", "Rome", "Oslo", "Lima", "Cairo", "Quito"]
+    units = ["km", "kg", "hours", "miles", "litres", "euros"]
+    words = ["".join(rng.choice("kalomirateu") for _ in range(5)) for _ in range(60)]
+    shapes = [
+        lambda r: f"when {r('p')} drives {r('n')} {r('u')} from {r('c')} to {r('c')} and then walks {r('n')} {r('u')} back, how far does {r('p')} go each day",
+        lambda r: f"a shop sells {r('n')} {r('u')} of rice for {r('n')} coins and {r('n')} {r('u')} of beans for {r('n')} coins, what is the price of both",
+        lambda r: f"the friends {r('p')}, {r('p')} and {r('p')} share {r('n')} apples so that nobody gets more than {r('n')} of them",
+        lambda r: f"{r('n')} + {r('n')} = {r('n')}, {r('n')} + {r('n')} = {r('n')}",
+        lambda r: " ".join(rng.choice(words) for _ in range(rng.randrange(9, 40))),
+    ]
+
+    def filled(shape, given=None):
+        at = iter(given or ())
+        used = []
+
+        def value(kind):
+            x = next(at, None) if given else None
+            x = x or (str(rng.randrange(2, 9999)) if kind == "n" else rng.choice({"p": people, "c": places, "u": units}[kind]))
+            used.append(x)
+            return x
+
+        return shape(value), used
+
+    items, docs, planted = {}, {}, set()
+    for i in range(60):
+        shape = shapes[i % 5]
+        items[i] = filled(shape)[0]
+    items |= {100: items[0], 101: None, 102: "", 103: "tiny item", 104: "one"}
+    for d in range(240):
+        i = d % 60
+        before, after = (" ".join(rng.choice(words) for _ in range(rng.randrange(3, 30))) for _ in range(2))
+        if d < 60:
+            docs[d] = f"{before} {items[i]} {after}"
+            planted.add((d, i))
+        elif d < 120 and i % 5 in (0, 1, 2):
+            docs[d] = f"{before} {filled(shapes[i % 5])[0]} {after}"
+        elif d < 180:
+            part = items[i].split(" ")
+            docs[d] = f"{before} {' '.join(part[: len(part) // 2 + rng.randrange(-3, 4)])} {after}"
+        else:
+            docs[d] = f"{before} {after}"
+    docs |= {500: None, 501: "", 502: "Tiny ITEM!", 503: "a tiny item", 504: "one two", 505: docs[3]}
+    df = spark.createDataFrame([(d, x, 1) for d, x in docs.items()], "doc_id long, text string, a int").repartition(4)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["share"], 6) for r in decontaminate.leaked_pairs(df, bench).collect()}
+    assert got == brute_leaks(docs, items)
+    assert planted <= set(got) and (502, 103) in got and (503, 103) not in got and {(0, 100), (505, 3)} <= set(got)
+    stay = sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect())
+    assert stay == sorted(set(docs) - {d for d, _ in got}) and {500, 501} < set(stay)
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
     ship(spark)
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
-    items = [(i, f"question number one about topic {c} and the answer to topic {c} is always the same thing") for i, c in enumerate("pqrstu")]
-    df = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert {(i, i) for i, _ in items} <= got
+    item = "the quick brown fox jumps over the lazy dog and rests"
+    df = spark.createDataFrame([(None, item), (None, "other words"), (7, item), (7, item), (7, "nothing of it"), (8, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (4, item), (4, item)], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaked_pairs(df, bench).collect()), key=str)
+    assert got == sorted([(d, i) for d in (None, 7, 7) for i in (None, 4, 4)], key=str)
+    assert sorted((r["text"] or "") for r in decontaminate.clean(df, bench).collect()) == ["", "nothing of it", "other words"]
 
 
 def test_pipeline(spark, tmp_path):
