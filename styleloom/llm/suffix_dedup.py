@@ -4,7 +4,7 @@ A window is a string of LENGTH bytes. Each window is dealt by its content: it go
 GRAM-byte strings, so that equal windows always meet. Where such a hash occurs once in the corpus, its windows
 cannot repeat. The others meet in buckets, whose suffixes are sorted by the difference cover modulo three: sampled
 triples are sorted and named, the names are sorted by recursion, the remaining suffixes are merged in, and adjacent
-suffixes are compared over a window.
+suffixes are compared over a window. The windows of a hash that occurs very often are dealt one by one.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_KEY, U, mix, pieces, powers, rolled, texts_of
+from .common import NULL_KEY, U, mix, pieces, powers, rolled, span_hash, stored, texts_of
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # GRAM-byte strings of a window
 #: Levels of names after which 3**levels bytes or more are told apart: more than a window.
 LEVELS = 5
-#: Bytes that one suffix array is built over, and distinct contexts beyond which a hash has its windows grouped one by one.
-TOGETHER, HOT = 1 << 20, 10_000
-#: A place is doc_id * 2**40 + offset.
-OFFSETS = 1 << 40
+#: Bytes that one suffix array is built over, and occurrences beyond which the windows of a hash are dealt by their own hashes.
+TOGETHER, HOT = 1 << 20, 4096
+#: Contexts that a task remembers, so as not to deal equal ones again.
+REMEMBERED = 100_000
 
 
 def least_grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +106,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_windows(contexts: list[bytes], keys: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of windows (key, start, length) that are the first among these contexts, by key and start."""
+def first_windows(contexts: list[bytes], places: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of windows (key, sub, start, length) that are the first among these contexts, by their places (key, sub, start)."""
+    documents = sorted({p[:2] for p in places})
+    number = {d: i for i, d in enumerate(documents)}
+    keys, starts = np.array([number[p[:2]] for p in places], np.int64), np.array([p[2] for p in places], np.int64)
     sizes = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"\0".join(contexts) + b"\0" * 8, np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -137,122 +140,159 @@ def first_windows(contexts: list[bytes], keys: np.ndarray, starts: np.ndarray) -
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)
     at = np.flatnonzero(new)
-    return list(zip(key[at].tolist(), start[at].tolist(), np.diff(np.append(at, len(key))).tolist(), strict=True))
+    return [(*documents[k], s, n) for k, s, n in zip(key[at].tolist(), start[at].tolist(), np.diff(np.append(at, len(key))).tolist(), strict=True)]
 
 
 #: Of a hash among the rows that are dealt together: it stands there once; it is the first of several; it is another of them.
 ALONE, FIRST, OTHER = range(3)
 
 
+#: Bits of a run: its state, how many windows it has, where it starts; for FIRST also how often the hash stands there.
+STATE, COUNT, START = 2, 8, 32
+MOST = (1 << 63 - STATE - COUNT - START) - 1
+#: In the place of a run: the hash occurs more than HOT times.
+MARK = -1
+
+
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, key, run) of each run of windows; ``run`` holds where it starts, how many windows it has, and the state of its hash."""
+    """(h, key, sub, run) of each run of windows; ``run`` holds where it starts, how many windows it has, and the state of its hash."""
     for batch in batches:
         parts = []
         for piece in pieces(batch, "text"):
             buf, off = texts_of(piece.column("text"))
             h, start, count, text = least_grams(buf, off)
-            parts.append((h.view(np.int64), piece.column("key").to_numpy()[text], (start - off[text]) << 8 | count))
-        h, key, run = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+            parts.append((h.view(np.int64), piece.column("key").to_numpy()[text], piece.column("sub").to_numpy()[text], (start - off[text]) << COUNT | count))
+        h, key, sub, run = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(4))
         _, first, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         state = np.where(n[at] == 1, ALONE, OTHER)
         state[first[n > 1]] = FIRST
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(run << 2 | state)], ["h", "key", "run"])
+        run = run << STATE | state
+        run[first[n > 1]] |= np.minimum(n[n > 1], MOST) << STATE + COUNT + START
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(sub), pa.array(run)], ["h", "key", "sub", "run"])
 
 
 def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by hash: those whose hash occurs again. One row is held at most, until the next hash comes."""
-    held = [np.zeros(0, np.int64)] * 4
-    told: int | None = None  # the last hash, if it is known to occur again
+    """From rows sorted by hash: those whose hash occurs again, with a row MARK for a hash that occurs more than HOT times.
+
+    One row is held at most, until the next hash comes.
+    """
+    held = [np.zeros(0, np.int64)] * 5
+    told: int | None = None  # the last hash, if it is known to occur again, how often so far, and whether it is marked
+    so_far, marked = 0, False
     for batch in batches:
-        h, key, run = (batch.column(c).to_numpy() for c in ("h", "key", "run"))
-        new = [h, key, run >> 2, run & 3]
-        other = new[3] == OTHER
-        out = [[a[other] for a in new]]
+        h, key, sub, run = (batch.column(c).to_numpy() for c in ("h", "key", "sub", "run"))
+        state = run & 3
+        new = [h, key, sub, run >> STATE & (1 << COUNT + START) - 1, np.where(state == FIRST, run >> STATE + COUNT + START, 1)]
+        other = state == OTHER
+        out = [[a[other] for a in new[:4]]]
         rows = [np.concatenate([a, b[~other]]) for a, b in zip(held, new, strict=True)]
-        h, state = rows[0], rows[3]
+        h, times = rows[0], rows[4]
         if len(h):
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(start, len(h)))
-            again = (size > 1) | (np.add.reduceat((state == FIRST).astype(np.int64), start) > 0) | (h[start] == told if told is not None else False)
+            total = np.add.reduceat(times, start)
+            goes_on = told is not None and int(h[0]) == told
+            if goes_on:
+                total[0] += so_far
+            hot = total > HOT
+            fresh = hot.copy()
+            fresh[0] &= not (goes_on and marked)
+            mark = h[start[fresh]]
+            out.append([mark, np.zeros_like(mark), np.zeros_like(mark), np.full_like(mark, MARK)])
+            again = total > 1
             keep = np.repeat(again, size)
-            out.append([a[keep] for a in rows])
-            held, told = ([a[:0] for a in rows], int(h[-1])) if again[-1] else ([a[-1:] for a in rows], None)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["h", "key", "run"])
+            out.append([a[keep] for a in rows[:4]])
+            if again[-1]:
+                held, told, so_far, marked = [a[:0] for a in rows], int(h[-1]), int(total[-1]), bool(hot[-1])
+            else:
+                held, told = [a[-1:] for a in rows], None
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], ["h", "key", "sub", "run"])
+
+
+_PLACE = [("key", pa.int64()), ("sub", pa.int64()), ("start", pa.int64())]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, key, start, context) of each run of windows that goes with a hash that occurs again; of equal contexts in a batch the first.
+    """(h, other, key, sub, start, context) of each run of windows that goes with a hash that occurs again.
 
-    Copies of a text in a smaller doc_id are never the first place of a window, so they give none.
+    The windows of a hash that occurs more than HOT times come one by one, without a context: ``h`` and
+    ``other`` are then hashes of the window itself. Equal contexts and windows come once for a task that
+    remembers them, and again at a smaller place. Copies of a text in an earlier document are never the
+    first place of a window, so they give none.
     """
+    schema = pa.schema([("h", pa.int64()), ("other", pa.int64()), *_PLACE, ("context", pa.binary())])
+    seen: dict[tuple[int, int], tuple[int, int, int]] = {}
     for whole in batches:
-        least: dict[tuple[int, bytes], tuple[int, int]] = {}
+        out: dict[tuple[int, int], tuple] = {}
+
+        def give(name: tuple[int, int], place: tuple[int, int, int], row: tuple, out=out) -> None:
+            if name not in seen or place < seen[name]:
+                seen[name] = place
+                out[name] = row
+
         texts = whole.column("text").cast(pa.large_binary())
-        for key, text, runs, copy in zip(whole.column("key").to_pylist(), texts, whole.column("runs"), whole.column("copy").to_pylist(), strict=True):
+        for key, sub, text, runs, copy in zip(whole.column("key").to_pylist(), whole.column("sub").to_pylist(), texts, whole.column("runs"), whole.column("copy").to_pylist(), strict=True):
             if copy or not runs.is_valid:
                 continue
             data, parts = text.as_py(), runs.values
-            for h, run in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist(), strict=True):
-                a = run >> 8
-                context = h, data[a : a + (run & 255) + LENGTH - 1]
-                place = key, a
-                if least.setdefault(context, place) > place:
-                    least[context] = place
-        columns = [[c[0] for c in least], [p[0] for p in least.values()], [p[1] for p in least.values()], [c[1] for c in least]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["h", "key", "start", "context"])
+            hot = parts.field(2).to_numpy(zero_copy_only=False)
+            hashes, spans = parts.field(0).to_numpy(), parts.field(1).to_numpy()
+            for h, run in zip(hashes[~hot].tolist(), spans[~hot].tolist(), strict=True):
+                a = run >> COUNT
+                context = data[a : a + (run & 255) + LENGTH - 1]
+                place = key, sub, a
+                give((h, hash(context)), place, (h, 0, *place, context))
+            if hot.any():
+                a, n = spans[hot] >> COUNT, spans[hot] & 255
+                start = np.unique(np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
+                sums = rolled(np.frombuffer(data, np.uint8))
+                one = span_hash(sums, start, start + LENGTH)
+                two = span_hash(rolled(np.frombuffer(data, np.uint8) ^ 0xFF), start, start + LENGTH)
+                for x, y, s in zip(one.view(np.int64).tolist(), two.view(np.int64).tolist(), start.tolist(), strict=True):
+                    place = key, sub, s
+                    give((x, y), place, (x, y, *place, None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out.values()], kind) for i, kind in enumerate(schema.types)], schema=schema)
+        if len(seen) > REMEMBERED:
+            seen.clear()
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by h: the runs of windows (key, start, n) that are the first of their content.
+    """From rows of _contexts sorted by h: the runs of windows (key, sub, start, n) that are the first of their content.
 
-    The windows of a hash with over HOT distinct contexts are given out one by one with their content, for
-    the least place of each to be found by grouping.
+    A hash has HOT contexts at most; of a window by itself only the least place is held.
     """
-    schema = pa.schema([("window", pa.binary()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-
-    def ready(groups: list[dict[bytes, tuple[int, int]]]) -> pa.RecordBatch:
-        contexts = [c for g in groups for c in g]
-        places = np.array([p for g in groups for p in g.values()], np.int64).reshape(-1, 2)
-        runs = first_windows(contexts, places[:, 0], places[:, 1]) if contexts else []
-        return pa.RecordBatch.from_arrays([pa.nulls(len(runs), pa.binary()), *[pa.array([r[i] for r in runs], pa.int64()) for i in range(3)]], schema=schema)
+    schema = pa.schema([*_PLACE, ("n", pa.int64())])
 
-    def single(rows: list[tuple]) -> pa.RecordBatch:
-        cut = [(c[i : i + LENGTH], key, start + i) for c, (key, start) in rows for i in range(len(c) - LENGTH + 1)]
-        return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int64()), pa.array([1] * len(cut), pa.int64())], schema=schema)
+    def ready(groups: list[dict]) -> pa.RecordBatch:
+        runs = [(*place, 1) for g in groups for c, place in g.items() if not isinstance(c, bytes)]
+        held = [(c, place) for g in groups for c, place in g.items() if isinstance(c, bytes)]
+        runs += first_windows([c for c, _ in held], [p for _, p in held]) if held else []
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(4)], schema=schema)
 
-    done: list[dict[bytes, tuple[int, int]]] = []
-    own: dict[bytes, tuple[int, int]] = {}
-    size, now, hot = 0, None, False
+    done: list[dict] = []
+    own: dict = {}
+    size, now = 0, None
     for batch in batches:
-        for h, key, start, context in zip(*[batch.column(c).to_pylist() for c in ("h", "key", "start", "context")], strict=True):
+        for h, other, key, sub, start, context in zip(*[batch.column(c).to_pylist() for c in ("h", "other", "key", "sub", "start", "context")], strict=True):
             if h != now:
-                if not hot:
-                    done.append(own)
-                elif own:
-                    yield single(list(own.items()))
+                done.append(own)
                 if size >= TOGETHER:
                     yield ready(done)
                     done, size = [], 0
-                own, now, hot = {}, h, False
-            place = key, start
-            if own.setdefault(context, place) is place:
-                size += len(context)
-            elif place < own[context]:
-                own[context] = place
-            if len(own) > HOT or hot and len(own) >= 256:
-                yield single(list(own.items()))
-                own, hot = {}, True
-        if hot:
-            yield single(list(own.items()))
-            own = {}
-    yield ready([*done, own]) if not hot else ready(done)
+                own, now = {}, h
+            place = key, sub, start
+            name = other if context is None else context
+            if own.setdefault(name, place) is place:
+                size += 100 if context is None else len(context)
+            elif place < own[name]:
+                own[name] = place
+    yield ready([*done, own])
 
 
 def removed_mask(n: int, runs: np.ndarray, firsts: list[tuple[int, int]]) -> np.ndarray:
     """Which of n bytes a repeated window covers: those of ``runs`` but for the first ones."""
     window = np.zeros(n + 1, np.int32)
-    a, count = runs >> 8, runs & 255
+    a, count = runs >> COUNT, runs & 255
     np.add.at(window, a, 1)
     np.add.at(window, a + count, -1)
     again = np.cumsum(window)[:n] > 0
@@ -287,39 +327,41 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return ``(row, n_bytes, n_removed, n_spans, kept_sha256, edges)`` for each row; ``row`` is the struct ``keep``.
 
-    A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in a smaller doc_id, or
+    A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in an earlier document, or
     before it in the same text. ``edges`` are the ends of the removed spans, in turn first and one past last.
 
-    Null text counts as empty, and a text below LENGTH bytes keeps all. Null doc_id: the smallest. Rows of
-    one doc_id count as one text at one place: they don't remove each other. Empty table: no row.
+    Documents follow each other by doc_id, null first. Different texts under one doc_id (null too) are documents
+    of their own, in the order of a hash of the text; equal texts under one doc_id are one document, and each of
+    its rows is returned with the same result. Null text counts as empty, and a text below LENGTH bytes keeps
+    all. Empty table: no row.
 
-    Shuffled are the hashes (one in 40 bytes or so, of one hash a single row for each batch of texts), the
-    texts once by doc_id, and the contexts of hashes that occur again (of equal ones a single row for each
-    batch, of whole copies none). A hash with over HOT distinct contexts has its windows grouped one by one, so that no bucket is
-    too large for a task.
+    Shuffled are the hashes (one in 40 bytes or so), the texts once by their document, and the contexts of hashes
+    that occur again (equal ones once for a task, of whole copies none). A hash that occurs more than HOT times
+    has its windows dealt one by one, so that no bucket is too large for a task. The place of a text in the order
+    of one doc_id is only formed where some doc_id is repeated.
     """
     rows = docs.select(keep.alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    dealt = rows.select("key", "text").mapInArrow(_dealt, "h long, key long, run long")
+    repeated = rows.groupBy("key").count().where("count > 1").limit(1).count() > 0
+    rows = rows.withColumn("sub", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
+    own = ["key", "sub"]
+    dealt = rows.select(*own, "text").mapInArrow(_dealt, "h long, key long, sub long, run long")
     anywhere = F.when(F.col("run").bitwiseAND(3) == OTHER, F.xxhash64("key", "run")).otherwise(F.col("h"))
-    again = dealt.repartition(anywhere).sortWithinPartitions("h").mapInArrow(_again, "h long, key long, run long")
-    runs = again.groupBy("key").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
+    again = stored(dealt.repartition(anywhere).sortWithinPartitions("h").mapInArrow(_again, "h long, key long, sub long, run long"))
+    often = stored(again.where(F.col("run") == MARK).select("h", F.lit(True).alias("hot")))
+    again = again.where(F.col("run") != MARK)
+    again = again.join(often, "h", "left") if often.limit(1).count() else again.withColumn("hot", F.lit(None).cast("boolean"))
+    runs = again.groupBy(*own).agg(F.collect_set(F.struct("h", "run", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 
-    same = rows.select("key", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    same = rows.select(*own, F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     held = same.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    copies = same.join(held, ["a", "b"]).where("key > least").groupBy("key").agg(F.lit(True).alias("copy"))
-
-    joined = rows.join(runs, "key", "left").join(copies, "key", "left")  # read twice, with the same columns: its exchanges are shared
-    found = joined.select("row", "key", "text", "runs", "copy").mapInArrow(_contexts, "h long, key long, start long, context binary")
-    firsts = found.repartition("h").sortWithinPartitions("h").mapInArrow(_firsts, "window binary, key long, start long, n long")
-    # of a window by itself the least place; runs are told apart by their own place
-    alone = F.col("window").isNull()
-    place = (F.col("key").cast("decimal(38,0)") * F.lit(OFFSETS) + F.col("start")).cast("decimal(38,0)")
-    firsts = firsts.groupBy("window", F.when(alone, F.col("key")).alias("k"), F.when(alone, F.col("start")).alias("s"), "n").agg(F.min(F.when(~alone, place)).alias("place"))
-    offset = F.pmod("place", F.lit(OFFSETS).cast("decimal(38,0)"))
-    firsts = firsts.select(F.coalesce("k", ((F.col("place") - offset) / F.lit(OFFSETS)).cast("long")).alias("key"), F.coalesce("s", offset.cast("long")).alias("start"), "n")
-    firsts = firsts.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
-
-    spelled = joined.join(firsts, "key", "left").select("row", "text", "runs", "copy", "firsts")
+    copies = same.join(held, ["a", "b"]).where("key > least").groupBy(*own).agg(F.lit(True).alias("copy"))
+
+    joined = rows.join(runs, own, "left").join(copies, own, "left")  # read twice, with the same columns: its exchanges are shared
+    found = joined.select("row", *own, "text", "runs", "copy").mapInArrow(_contexts, "h long, other long, key long, sub long, start long, context binary")
+    firsts = found.repartition("h").sortWithinPartitions("h").mapInArrow(_firsts, "key long, sub long, start long, n long")
+    firsts = firsts.groupBy(*own).agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
+
+    spelled = joined.join(firsts, own, "left").select("row", "text", "runs", "copy", "firsts")
     fields = [T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("edges", T.ArrayType(T.LongType()))]
     return spelled.mapInArrow(_spelled, T.StructType(fields))
 

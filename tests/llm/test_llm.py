@@ -241,9 +241,10 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_suffix_dedup(docs, rows, nothing):
-    seen, want = set(), {}
-    for i, x in sorted(texts(rows).items()):
+def brute_repeats(documents):
+    """n_bytes, n_removed, n_spans and the hash of what stays, of documents in their order."""
+    seen, out = set(), []
+    for x in documents:
         b = x.encode()
         gone = np.zeros(len(b), bool)
         for a in range(len(b) - 99):
@@ -252,12 +253,47 @@ def test_suffix_dedup(docs, rows, nothing):
                 gone[a : a + 100] = True
             seen.add(w)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
-        want[i] = (len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
+        out.append((len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_suffix_dedup(docs, rows, nothing, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    t = sorted(texts(rows).items())
+    want = dict(zip([i for i, _ in t], brute_repeats([x for _, x in t]), strict=True))
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.digests(docs).collect()}
     assert got == want and sum(w[1] for w in want.values()) > 1000
     assert suffix_dedup.digests(nothing).count() == 0
 
 
+def test_suffix_dedup_null_and_repeated_ids(spark):
+    """Texts of one id are documents in the order of their hashes; equal ones are one; null ids come first."""
+    ship(spark)
+    rng = random.Random(12)
+    part = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (300, 800, 400, 150)]
+    rows = [(None, part[0]), (None, part[3] + part[0]), (1, part[0] + part[1][:120]), (5, part[1]), (5, part[0] + part[2]), (5, part[0] + part[2]), (6, None), (6, part[2]), (6, part[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("order", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = {r["text"] or "": r["order"] for r in df.collect()}
+    documents = sorted({(-1 if i is None else i, order[x or ""], x or "") for i, x in rows})
+    want = dict(zip(documents, brute_repeats([x for *_, x in documents]), strict=True))
+    got = sorted(tuple(r) for r in suffix_dedup.digests(df.select(F.coalesce("doc_id", F.lit(None)).alias("doc_id"), "text")).fillna(-1, ["doc_id"]).collect())
+    assert got == sorted((i if i is not None else -1, *want[-1 if i is None else i, order[x or ""], x or ""]) for i, x in rows)
+    assert sum(r[2] for r in got) > 1000
+
+
+def test_again_counts_over_batches(monkeypatch):
+    """A hash is marked once, however its rows are cut into batches; one that occurs once goes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    made = [(1, 0, 1)] + [(2, k, 1) for k in range(6)] + [(3, 0, 5)] + [(4, 0, 4), (4, 1, 4)] + [(9, 0, 1)]
+    run = [k << suffix_dedup.COUNT + suffix_dedup.STATE | 1 << suffix_dedup.STATE | (suffix_dedup.FIRST | n << suffix_dedup.STATE + suffix_dedup.COUNT + suffix_dedup.START if n > 1 else suffix_dedup.ALONE) for _, k, n in made]
+    rows = pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made]), pa.array([0] * len(made)), pa.array(run)], ["h", "key", "sub", "run"])
+    for step in (1, 2, 3, 20):
+        out = [r for b in suffix_dedup._again(rows.slice(i, step) for i in range(0, len(made), step)) for r in b.to_pylist()]
+        assert sorted(r["h"] for r in out if r["run"] == suffix_dedup.MARK) == [2, 4]
+        assert sorted((r["h"], r["key"]) for r in out if r["run"] != suffix_dedup.MARK) == [(2, k) for k in range(6)] + [(3, 0), (4, 0), (4, 1)]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 4, 5, 8, 30, 200):
@@ -266,40 +302,19 @@ def test_suffix_order():
             assert suffix_dedup.suffix_order(s, 30).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [2, 10_000])
-def test_first_windows_hot_and_not(monkeypatch, hot):
-    """Contexts of one hash with windows given out one by one have the same first windows."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_first_windows_of_contexts_and_of_windows_by_themselves():
     rng = random.Random(1)
     core = bytes(rng.randrange(97, 101) for _ in range(110))
     rows = [(7, i, 50, core[: 105 + i % 5] if i % 2 else core[:100] + bytes([65 + i]) * 3) for i in range(12)] + [(9, 3, 0, core[::-1][:101])]
     want = {}
     for h, key, start, c in rows:
         for a in range(len(c) - 99):
-            want.setdefault((h, c[a : a + 100]), []).append((key, start + a))
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary())], ["h", "key", "start", "context"])
-    firsts, single = [], {}
-    for b in suffix_dedup._firsts(iter([batch.slice(0, 5), batch.slice(5)])):
-        for w, key, start, n in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-            if w is None:
-                firsts += [(key, start + i) for i in range(n)]
-            else:
-                single[w] = min(single.get(w, (key, start)), (key, start))
-    assert sorted(firsts + list(single.values())) == sorted(min(p) for p in want.values())
-
-
-def test_first_windows_hot_then_another_hash(monkeypatch):
-    """The last contexts of a hot hash are given out too where another hash follows in the same batch."""
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)
-    rng = random.Random(2)
-    made = [bytes(rng.randrange(97, 123) for _ in range(100 + i)) for i in range(12)]
-    rows = [(7, i, 5 * i, c) for i, c in enumerate(made[:8])] + [(8, i, 3, c) for i, c in enumerate(made[8:10], 20)] + [(9, i, 0, c) for i, c in enumerate(made[10:], 30)]
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.binary())], ["h", "key", "start", "context"])
-    got = []
-    for b in suffix_dedup._firsts(iter([batch])):
-        for _, key, start, n in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-            got += [(key, start + i) for i in range(n)]
-    assert sorted(got) == sorted((key, start + a) for _, key, start, c in rows for a in range(len(c) - 99))
+            want.setdefault((h, c[a : a + 100]), []).append((key, 0, start + a))
+    single = [(8, 5, 4, 0, 11), (8, 5, 2, 1, 30), (8, 6, 2, 0, 31)]
+    columns = [[7] * 12 + [8] * 3 + [9], [0] * 12 + [r[1] for r in single] + [0], [r[1] for r in rows[:12]] + [r[2] for r in single] + [3], [0] * 12 + [r[3] for r in single] + [0], [50] * 12 + [r[4] for r in single] + [0]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r[3] for r in rows[:12]] + [None] * 3 + [rows[12][3]], pa.binary())], ["h", "other", "key", "sub", "start", "context"])
+    got = [(r["key"], r["sub"], r["start"] + i) for b in suffix_dedup._firsts(iter([batch.slice(0, 5), batch.slice(5)])) for r in b.to_pylist() for i in range(r["n"])]
+    assert sorted(got) == sorted([min(p) for p in want.values()] + [(2, 1, 30), (2, 0, 31)])
 
 
 def test_language_id(spark, nothing):
