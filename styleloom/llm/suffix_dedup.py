@@ -353,7 +353,7 @@ def repeats(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "
     runs = again.groupBy(*own).agg(F.collect_set(F.struct("h", "run", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 
     same = rows.select(*own, F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    held = same.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    held = stored(same.groupBy("a", "b").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most"))
     copies = same.join(held, ["a", "b"]).where("key > least").groupBy(*own).agg(F.lit(True).alias("copy"))
 
     joined = rows.join(runs, own, "left").join(copies, own, "left")  # read twice, with the same columns: its exchanges are shared
