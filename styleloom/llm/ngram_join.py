@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, U, checkpointed, connected_components, mix, pieces, shingle_sets, texts_of, words_of
+from .common import U, checkpointed, connected_components, mix, pieces, shingle_sets, stored, texts_of, words_of
 
 #: Cells of the frequency sketch (its size is the same for any corpus), and cells in one of its rows.
 CELLS, BLOCK = 1 << 20, 1 << 16
 #: Up to so many documents that share a prefix shingle are paired; more are tied to one of them and compared in a block.
 PAIRED = 32
+#: A null doc_id takes this key, the largest, so that no other document has it for its component.
+LAST = 2**63 - 1
 #: Shingles that one comparing task holds at most, but for a single longer document.
 HELD = 4_000_000
 #: For the estimate of work: the share of shingles that two unrelated documents share by chance, and what
@@ -54,31 +56,35 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return shingle_sets(words, count, k)
 
 
+def _named(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """A hash of each set."""
+    n = np.array([len(s) for s in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix((np.concatenate(sets) if sets else np.zeros(0, U)) + U(salt)))])
+    return mix(total[ends[1:]] - total[ends[:-1]] + n.astype(U))
+
+
 def _survey(k: int):
     """The size and two hashes of each document's set, and the task's share of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = _sets(batch, k)
                 flat = np.concatenate(sets) if sets else np.zeros(0, U)
                 sketch += np.bincount((flat >> U(44)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 n = np.array([len(s) for s in sets], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                hashes = []
-                for salt in (0x51, 0xA7):
-                    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat + U(salt)))])
-                    hashes.append(mix(total[ends[1:]] - total[ends[:-1]] + n.astype(U)).view(np.int64))
+                hashes = [_named(sets, salt).view(np.int64) for salt in (0x51, 0xA7)]
                 none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         used = [b for b in range(CELLS // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
-            part = [pa.nulls(1, pa.int64())] * 4 + [pa.array([b], pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].tobytes()], pa.binary())]
+            part = [pa.nulls(1, pa.int64())] * 5 + [pa.array([b], pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(part, schema=schema)
 
-    return run, "key long, n long, hi long, lo long, block int, counts binary"
+    return run, "key long, a long, n long, hi long, lo long, block int, counts binary"
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,27 +244,27 @@ def join_block(keys: list[int], sets: list[np.ndarray], percent: int) -> list[tu
 
 
 def _compare(k: int, percent: int):
-    """From rows sorted by (root, i, j): the components within each block pair."""
+    """From rows sorted by (root, i, j, set): the components within each block pair, as edges between the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        keys: list[int] = []
+        los: list[int] = []
         sets: list[np.ndarray] = []
         out: list[tuple[int, int]] = []
         for whole in batches:
             for batch in pieces(whole, "text"):
                 at = list(zip(*[batch.column(c).to_pylist() for c in ("root", "i", "j")], strict=True))
-                for g, key, s in zip(at, batch.column("key").to_pylist(), _sets(batch, k), strict=True):
+                for g, lo, s in zip(at, batch.column("lo").to_pylist(), _sets(batch, k), strict=True):
                     if g != group:
-                        out += join_block(keys, sets, percent) if len(keys) > 1 else []
-                        group, keys, sets = g, [], []
-                    if keys and keys[-1] == key and np.array_equal(sets[-1], s):
+                        out += join_block(los, sets, percent) if len(los) > 1 else []
+                        group, los, sets = g, [], []
+                    if los and los[-1] == lo:
                         continue  # a repeated row
-                    keys.append(key)
+                    los.append(lo)
                     sets.append(s)
                 yield _edges(out)
                 out = []
-        out += join_block(keys, sets, percent) if len(keys) > 1 else []
+        out += join_block(los, sets, percent) if len(los) > 1 else []
         yield _edges(out)
 
     return run, "u long, v long"
@@ -268,21 +274,26 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["u", "v"])
 
 
-def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return ``(key, n_shingles, component)`` for each row; documents link when 100 * intersection >= percent * union.
+def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", tied: bool = True) -> DataFrame:
+    """Return ``(key, a, n_shingles, root, component)`` for each row; documents link when 100 * intersection >= percent * union.
 
     Words are runs of bytes other than ASCII space, A-Z lower-cased; a set is the distinct runs of ``k``
     words, the whole text if it has fewer. Text that is null, empty or without words has no shingles and
-    links with nothing. ``component`` is the smallest key that links reach. A null doc_id has the key
-    NULL_KEY, the smallest. Repeated rows each give a row; texts that differ under one doc_id count as
-    linked to what either is linked to. Empty table: no row.
-
-    Equal sets are one class, and classes are joined through their smallest key. Prefix shingles meet in
-    lists: short ones give pairs, which must meet often enough, long ones a star; what they tie together
-    is a cluster, whose texts move to one task, or, if it has over HELD shingles, to tasks that each
-    compare two blocks of it, so that every pair of the cluster meets in one of them. Nothing is capped.
+    links with nothing. ``component`` is the smallest key that links reach, ``root`` a name of the
+    component (null for an empty set), ``a`` a hash of the text. Empty table: no row.
+
+    Rows of one doc_id are one document: each of its texts has a set of its own, and all have the one
+    component that the links of any of them reach, unless ``tied`` is False, which leaves each text by
+    itself. A null doc_id is no document that others reach: its rows have the key LAST, are not tied, and
+    have the component LAST where they link with such rows only. Repeated rows each give a row.
+
+    Equal sets are one class. Prefix shingles meet in lists: short ones give pairs, which must meet often
+    enough, long ones a star; what they tie together is a cluster, whose texts move to one task, or, if it
+    has over HELD shingles, to tasks that each compare two blocks of it, so that every pair of the cluster
+    meets in one of them. Nothing is capped.
     """
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.select("key", F.xxhash64("text").alias("a"), "text")
     surveyed = checkpointed(rows.mapInArrow(*_survey(k)))
     found = surveyed.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary").collect()
     sketch = np.zeros(CELLS, np.int64)  # CELLS numbers, whatever the corpus
@@ -290,45 +301,73 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    members = surveyed.where("block IS NULL").select("key", "n", "hi", "lo")
-    classes = members.where("n > 0").groupBy("hi", "lo").agg(F.min("key").alias("rep"), F.first("n").alias("n"))
+    members = surveyed.where("block IS NULL").select("key", "a", "n", "hi", "lo")
+    classes = members.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("key", "a")).alias("rep"), F.first("n").alias("n"))
+    classes = classes.select("hi", "lo", "rep.key", "rep.a", "n")
 
     lists = rows.mapInArrow(*_prefixes(k, percent, shared)).repartition("shingle").sortWithinPartitions("shingle", "lo")
-    tied = lists.mapInArrow(*_ties(percent)).groupBy("u", "v", "bound").count().where("count >= bound").select("u", "v")
-    clusters = connected_components(tied)
+    near = lists.mapInArrow(*_ties(percent)).groupBy("u", "v", "bound").count().where("count >= bound").select("u", "v")
+    clusters = connected_components(near)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    placed = checkpointed(clusters.join(classes, F.col("node") == F.col("lo")).select("rep", "n", "root"))
+    placed = checkpointed(clusters.join(classes, F.col("node") == F.col("lo")).select("key", "a", "lo", "n", "root"))
     blocks = placed.groupBy("root").agg(F.ceil(2 * F.sum("n") / HELD).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
     split = blocks.where("blocks > 1").limit(1).count() > 0
-    dealt = placed.join(blocks, "root").select("rep", "root", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("b"))
+    dealt = placed.join(blocks, "root").select("key", "a", "lo", "root", "blocks", F.pmod(F.xxhash64("lo"), F.col("blocks")).cast("int").alias("b"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    dealt = dealt.select("rep", "root", F.explode(pairs).alias("at")).select("rep", "root", "at.i", "at.j")
+    dealt = dealt.select("key", "a", "lo", "root", F.explode(pairs).alias("at")).select("key", "a", "lo", "root", "at.i", "at.j")
 
-    moved = rows.join(dealt.groupBy("rep").agg(F.collect_list(F.struct("root", "i", "j")).alias("to")).hint("shuffle_hash"), F.col("key") == F.col("rep"))
-    moved = moved.select("key", "text", F.explode("to").alias("to")).select("to.root", "to.i", "to.j", "key", "text")
-    moved = moved.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+    moved = rows.join(dealt.groupBy("key", "a").agg(F.collect_list(F.struct("root", "i", "j", "lo")).alias("to")).hint("shuffle_hash"), ["key", "a"])
+    moved = moved.select("text", F.explode("to").alias("to")).select("to.root", "to.i", "to.j", "to.lo", "text")
+    moved = moved.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "lo")
     links = moved.mapInArrow(*_compare(k, percent))
-    if split:
+    several = _several(members) if tied else None
+    if several is not None:
+        own = members.where("n > 0").join(several, "key").groupBy("key", "lo").count()
+        least = stored(own.groupBy("key").agg(F.min("lo").alias("v")))
+        links = links.unionByName(own.join(least, "key").where("lo <> v").select(F.col("lo").alias("u"), "v"))
+    if split or several is not None:
         links = connected_components(links).select(F.col("node").alias("u"), F.col("root").alias("v"))
     labels = links.groupBy("u").agg(F.min("v").alias("v"))
 
-    classes = classes.join(labels.hint("shuffle_hash"), F.col("rep") == F.col("u"), "left").select("hi", "lo", F.coalesce("v", "rep").alias("component"))
-    out = members.join(classes, ["hi", "lo"], "left")
-    return out.select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+    classes = classes.join(labels.hint("shuffle_hash"), F.col("lo") == F.col("u"), "left").select("hi", "lo", "key", F.coalesce("v", "lo").alias("root"))
+    least = stored(classes.groupBy("root").agg(F.min("key").alias("component"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("root", "component"))
+    classes = classes.join(least, "root", "left").select("hi", "lo", "root", F.coalesce("component", "key").alias("component"))
+    out = members.join(classes, ["hi", "lo"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")))
+    if several is not None:
+        least = stored(out.join(several, "key").groupBy("key").agg(F.min("component").alias("least")))
+        out = out.join(least, "key", "left").withColumn("component", F.coalesce("least", "component"))
+    return out.select("key", "a", F.col("n").alias("n_shingles"), "root", "component")
+
+
+def _several(members: DataFrame) -> DataFrame | None:
+    """The doc_ids that have more than one set."""
+    found = stored(members.where(F.col("key") < LAST).groupBy("key").agg(F.min("lo").alias("one"), F.max("lo").alias("other")).where("one <> other").select("key"))
+    return found if found.limit(1).count() else None
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What the query returns for each row of documents."""
-    none = F.lit(NULL_KEY)
+    """What the query returns for each row of documents; component_id is null where only null doc_ids are reached."""
+    none = F.lit(LAST)
     return ngram_components(docs).select(F.nullif("key", none).alias("doc_id"), "n_shingles", F.nullif("component", none).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component, unchanged."""
-    chosen = ngram_components(docs, k, percent).where("key = component").select("key").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
-    return docs.withColumn("__key", key).join(chosen.withColumnRenamed("key", "__key"), "__key", "left_semi").drop("__key")
+    """One row of each component, unchanged: that of the smallest doc_id (null last), of several texts the one with the least hash.
+
+    Rows without words link with nothing and stay. Different texts of one doc_id are told apart; of rows
+    with equal doc_id and text one stays.
+    """
+    found = stored(ngram_components(docs, k, percent, tied=False))
+    empty = F.col("root").isNull()
+    chosen = found.groupBy(F.coalesce("root", F.lit(0)).alias("r"), F.when(empty, F.struct("key", "a")).alias("e")).agg(F.min(F.struct("key", "a")).alias("own"))
+    chosen = stored(chosen.select("own.key", "own.a", F.col("e").isNotNull().alias("empty")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("a"))
+    kept = keyed.join(chosen, ["key", "a"])
+    if found.where(~empty).groupBy("key", "a").count().where("count > 1").limit(1).count():
+        kept = kept.where("empty").unionByName(kept.where("NOT empty").dropDuplicates(["key", "a"]))
+    return kept.select("row.*")
 
 
 SQL = r"""
