@@ -87,35 +87,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def cuts_of(quantiles: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges begin, as keys and ties: a key that stands several times is cut into as many equal parts of the ties."""
+    keys, ties = [], []
+    for key in dict.fromkeys(quantiles):
+        n = quantiles.count(key)
+        keys += [key] * n
+        ties += [-(2**63) + (i << 64) // n for i in range(n)]
+    return np.array(keys, np.int64), np.array(ties, np.int64)
+
+
+def ranges(cuts: tuple[np.ndarray, np.ndarray], keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """The range of each (key, tie): how many cuts are not above it."""
+    out = np.searchsorted(cuts[0], keys, "left")
+    stop = np.searchsorted(cuts[0], keys, "right")
+    for key in np.unique(keys[stop > out]):
+        own = keys == key
+        a, b = np.searchsorted(cuts[0], key, "left"), np.searchsorted(cuts[0], key, "right")
+        out[own] = a + np.searchsorted(cuts[1][a:b], ties[own], "right")
+    return out
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Return ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
-    Documents follow each other by ascending doc_id (null first; equal ids by text), the first follows
-    the last. Null text counts as empty. Texts without words have equal fingerprints, unlike all others.
+    Documents follow each other by ascending doc_id (null first; equal ids by a hash of the text), the first
+    follows the last. Null text counts as empty. Texts without words have equal fingerprints, unlike all others.
     A table of one row: the document follows itself. Empty table: no row.
 
-    Ids are cut into ranges at quantiles, so that each task handles texts in order; the first text of
-    each range is also dealt to the range before it. Texts are shuffled once.
+    Ids are cut into ranges at quantiles, and an id that fills several ranges at the hash of the text, so that
+    each task handles texts in order; the first text of each range is also dealt to the range before it.
+    Texts are shuffled once. There are MOST_RANGES at most, beyond which ranges grow; a task streams its range.
     """
     key = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_KEY))
     rows = docs.select(key.alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     wanted = min(MOST_RANGES, rows.count() // RANGE_ROWS + 1)
     steps = [k / wanted for k in range(1, wanted)]
-    found = rows.agg(F.percentile_approx("key", steps, 100_000)).first()[0] if steps else None
-    cuts = np.array(sorted(set(found or [])), np.int64)
+    found = (rows.agg(F.percentile_approx("key", steps, 100_000)).first()[0] if steps else None) or []
+    rows = rows.withColumn("tie", F.xxhash64("body"))
+    cuts = cuts_of(sorted(found))
 
     @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), "right").astype(np.int32))
+    def range_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(ranges(cuts, keys.to_numpy(), ties.to_numpy()).astype(np.int32))
 
-    first = {r[0]: r[1] for r in rows.groupBy(range_of("key")).agg(F.min("key")).collect()}  # one row for each range
+    first = {r[0]: tuple(r[1]) for r in rows.groupBy(range_of("key", "tie")).agg(F.min(F.struct("key", "tie"))).collect()}  # one row for each range
     present = sorted(first)
     before = {first[r]: present[i - 1] for i, r in enumerate(present)}
 
     @F.pandas_udf("array<struct<range:int,tail:boolean>>")
-    def dealt_to(keys: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, keys.to_numpy(), "right").tolist()
-        return pd.Series([[(r, False)] + ([(before[k], True)] if k in before else []) for r, k in zip(own, keys.tolist(), strict=True)], dtype=object)
+    def dealt_to(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        own = ranges(cuts, keys.to_numpy(), ties.to_numpy()).tolist()
+        return pd.Series([[(r, False)] + ([(before[k], True)] if k in before else []) for r, k in zip(own, zip(keys.tolist(), ties.tolist(), strict=True), strict=True)], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -130,8 +153,8 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, doc_id: str = "doc_id"
                     held, size = held[-1:], 0
         yield _signed(held, samples)
 
-    dealt = rows.select(F.explode(dealt_to("key")).alias("to"), "key", "body").select("to.range", "to.tail", "key", "body")
-    dealt = dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "body")
+    dealt = rows.select(F.explode(dealt_to("key", "tie")).alias("to"), "key", "tie", "body").select("to.range", "to.tail", "key", "tie", "body")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "tie", "body")
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
