@@ -17,6 +17,8 @@ SHINGLE, CONTAINED = 3, 0.8
 RECALL = 0.9999
 #: MinHash values in a band.
 ROWS = 1
+#: Bits of a filter for each shingle that it holds, and bytes of templates up to which they are broadcast; more are joined by a shuffle.
+FILTER_SHARE, BROADCAST_BYTES = 64, 64 << 20
 
 #: Short notices by which texts state a license. standard() adds to them; other templates are a parameter.
 TEMPLATES = {
@@ -136,39 +138,58 @@ def licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, s
         groups.setdefault(g, []).append(r["n"])
         chosen.setdefault(g, set()).update(sorted(own)[: len(own) - math.ceil(contained * len(own) - 1e-9) + 1])
         near = [own - sets[o["id"]] for o in known if o["license"] != r["license"] and len(own & sets[o["id"]]) >= contained * len(own) - 1e-9]
-        table.append((r["license"], g, sorted(own), [sorted(x) for x in [*near, set(r["must"])] if x]))
+        table.append((r["id"], r["license"], g, sorted(own), [sorted(x) for x in [*near, set(r["must"])] if x]))
     plans = {g: plan(max(own), min(own), k, contained, recall) for g, own in groups.items()}
-    table = spark.createDataFrame(table, "license string, g int, template array<long>, telling array<array<long>>")
-    every = sorted(set().union(*chosen.values()))
+    size = sum(8 * (len(own) + sum(map(len, telling)) + 4 * plans[g].bands) for _, _, g, own, telling in table)
+    small = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    table = spark.createDataFrame(table, "id int, license string, g int, template array<long>, telling array<array<long>>")
+    holds_any = in_filter(set().union(*chosen.values()))
 
     def windows(sh: Column) -> Column:
         made = []
         for g, p in plans.items():
             starts = F.sequence(F.lit(0), F.size(sh) - 1, F.lit(p.stride))
-            made.append(F.filter(F.transform(starts, _window(sh, g, p.width - k + 1)), _holds(sorted(chosen[g]))))
+            made.append(F.filter(F.transform(starts, _window(sh, g, p.width - k + 1)), _holds(in_filter(chosen[g]))))
         return F.concat(*made)
 
     none = F.array().cast("array<struct<g:int,at:int,win:array<bigint>>>")
-    found = let(words(F.coalesce(F.col(f"`{text}`"), F.lit(""))), lambda parts: let(shingles(parts, k), lambda sh: F.when(F.exists(sh, lambda h: h.isin(every)), windows(sh)).otherwise(none)))
+    found = let(words(F.coalesce(F.col(f"`{text}`"), F.lit(""))), lambda parts: let(shingles(parts, k), lambda sh: F.when(F.exists(sh, holds_any), windows(sh)).otherwise(none)))
     cut = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(found).alias("w")).select("doc_id", "w.*")
 
     def banded(df: DataFrame, win: str) -> Column:
         bands = [F.when(F.col("g") == g, F.array(*[minhash(F.col(win), s) for s in range(p.bands)])) for g, p in plans.items()]
         return F.coalesce(*bands)
 
-    keyed = table.select("license", "g", "template", "telling", F.explode(F.array_distinct(banded(table, "template"))).alias("band"))
-    met = cut.select("doc_id", "g", "at", "win", F.explode(F.array_distinct(banded(cut, "win"))).alias("band")).join(F.broadcast(keyed), ["g", "band"])
-    met = met.select("doc_id", "at", "win", "license", "telling", (F.size(F.array_intersect("template", "win")) / F.size("template")).alias("containment"))
+    keyed = table.select("id", "g", F.explode(F.array_distinct(banded(table, "template"))).alias("band"))
+    met = cut.select("doc_id", "g", "at", "win", F.explode(F.array_distinct(banded(cut, "win"))).alias("band")).join(small(keyed), ["g", "band"])
+    met = met.join(small(table.drop("g")), "id").select("doc_id", "at", "win", "license", "telling", (F.size(F.array_intersect("template", "win")) / F.size("template")).alias("containment"))
     met = met.where(F.col("containment") >= contained).where(F.forall("telling", lambda t: F.arrays_overlap(t, F.col("win"))))
     return met.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("position"), F.count_distinct("at").alias("n_windows"))
 
 
+def in_filter(hashes: set[int]) -> Callable[[Column], Column]:
+    """Whether a hash may be one of these: a bit for the upper bits of each, in one constant array, however many there are."""
+    bits = max(10, (FILTER_SHARE * len(hashes)).bit_length())
+    held = [0] * (1 << bits - 6)
+    for h in hashes:
+        place = (h & (1 << 64) - 1) >> 64 - bits
+        held[place >> 6] |= 1 << (place & 63)
+    array = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in held)), ",").cast("array<bigint>")
+
+    def test(h: Column) -> Column:
+        place = F.shiftrightunsigned(h, 64 - bits)
+        word = F.get(array, F.shiftrightunsigned(place, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 def _window(sh: Column, g: int, width: int) -> Callable[[Column], Column]:
     return lambda i: F.struct(F.lit(g).alias("g"), i.alias("at"), F.slice(sh, i + 1, width).alias("win"))
 
 
-def _holds(chosen: list[int]) -> Callable[[Column], Column]:
-    return lambda w: F.exists(w["win"], lambda h: h.isin(chosen))
+def _holds(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda w: F.exists(w["win"], test)
 
 
 def report(docs: DataFrame) -> DataFrame:
