@@ -385,6 +385,7 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows that leak no item, unchanged; rows of null text stay."""
-    found = stored(leaks(docs, benchmark, text).select(F.col("a").alias("__a"), F.col("b").alias("__b")).distinct())
+    found = stored(leaks(docs, benchmark, text).select("a", "b").distinct())
     body = F.col(f"`{text}`")
-    return docs.join(found, (F.xxhash64(body) == F.col("__a")) & (F.xxhash64(F.lit(1), body) == F.col("__b")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))
+    return rows.join(found, ["a", "b"], "left_anti").select("row.*")

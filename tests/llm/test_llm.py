@@ -177,6 +177,19 @@ def test_ngram_join(docs, rows, nothing, monkeypatch, k, percent, held):
         assert ngram_join.digests(nothing).count() == 0
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    ship(spark)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("kalomirateu") for _ in range(5)) for _ in range(300)]
+    one, two, three, four = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (7, one + " more"), (7, two), (9, two), (None, three), (None, three), (None, four), (12, four), (12, four), (7, None), (None, ""), (20, None), (30, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.digests(df).collect()), key=str)
+    assert got == sorted([(1, 57, 1), (7, 58, 1), (7, 57, 1), (9, 57, 1), (None, 57, None), (None, 57, None), (None, 57, 12), (12, 57, 12), (12, 57, 12), (7, 0, 1), (None, 0, None), (20, 0, 20), (30, 0, 30)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(df).collect()), key=str)
+    assert kept == sorted([(1, one), (7, two), (None, three), (12, four), (7, None), (None, ""), (20, None), (30, " ")], key=str)
+
+
 def test_join_block_equals_brute_force():
     rng = random.Random(2)
     base = [rng.sample(range(400), 60) for _ in range(5)]
@@ -474,6 +487,82 @@ def test_licenses_by_headers_and_full_texts(spark):
     assert {i: got[i] for i in rows} == {i: want for i, (_, want) in rows.items()}
 
 
+def test_licenses_equal_brute_force_over_windows(spark):
+    """Variants of templates on either side of the containment asked for: what every window of every text holds."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("kalomirateu") for _ in range(5)) for _ in range(500)]
+    templates = {f"L{i}": " ".join(rng.choice(words) for _ in range(n)) for i, n in enumerate((6, 9, 20, 40, 200, 230))}
+    texts = {}
+    for i in range(120):
+        parts = list(templates.values())[i % 6].split(" ")
+        for at in rng.sample(range(len(parts)), rng.randrange(0, max(2, len(parts) // 9))):
+            parts[at] = "changed"
+        before, after = ([rng.choice(words) for _ in range(rng.randrange(0, 300))] for _ in range(2))
+        texts[i] = " ".join(before + parts + after)
+
+    def cut(x):
+        w = x.split(" ")
+        return [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+
+    want, groups = {}, collections.defaultdict(list)
+    for name, t in templates.items():
+        groups[1 << (len(t.split(" ")) - 1).bit_length()].append(name)
+    for i, x in texts.items():
+        sh = cut(x)
+        for names in groups.values():
+            sizes = [len(templates[n].split(" ")) for n in names]
+            p = licenses.plan(max(sizes), min(sizes), 3, 0.8, licenses.RECALL)
+            for n in names:
+                own = set(cut(templates[n]))
+                best = max((len(own & set(sh[a : a + p.width - 2])) / len(own) for a in range(0, len(sh), p.stride)), default=0)
+                if best >= 0.8:
+                    want[i, n] = round(best, 9)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["license"]): round(r["containment"], 9) for r in licenses.licenses(df, templates).collect()}
+    assert got == want and 60 < len(want) < 115 and min(want.values()) < 0.85
+    null = spark.createDataFrame([(None, templates["L2"]), (None, templates["L2"]), (3, None), (3, "")], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in licenses.licenses(null, templates).collect()] == [(None, "L2", 1.0)]
+
+
+def test_fingerprints_of_one_id_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+    ship(spark)
+    rows = [(7 if i % 2 else None, f"word{i} and some more words {i * i}") for i in range(80)] + [(9, None), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["tie"], r["text"] or "") for r in df.collect()))
+    want = sorted((None if i < 0 else i, len(x), sha(fingerprints.edited(x, order[(k + 1) % len(order)][2]))) for k, (i, _, x) in enumerate(order) if i >= 0)
+    got = fingerprints.digests(df).collect()
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got if r["doc_id"] is not None) == want and len(got) == len(rows)
+    cuts = fingerprints.cuts_of([3, 7, 7, 7, 9])
+    assert fingerprints.ranges(cuts, np.array([2, 3, 7, 7, 7, 8, 9]), np.array([0, 0, -(2**63), 0, 2**63 - 1, 0, 0])).tolist() == [0, 1, 2, 3, 4, 4, 5]
+
+
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKETS", 32)
+    ship(spark)
+    rows = [(1, "same", "x")] * 300 + [(None, None, None)] * 100 + [(i, f"t{i}", f"s{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sharding.shard_rows(df, shards=7, dims=("source",)).collect()
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == 600
+    assert collections.Counter((r["doc_id"], r["row"]["text"]) for r in got) == collections.Counter((i, t) for i, t, _ in rows)
+
+
+def test_hilbert_index_equals_the_tables(spark):
+    digit, to = sharding.curve_steps(3)
+
+    def index(p):
+        h = s = 0
+        for level in range(3, -1, -1):
+            at = s * 8 + sum(((p[i] >> level) & 1) << i for i in range(3))
+            h, s = h << 3 | digit[at], to[at]
+        return h
+
+    df = spark.range(16**3).selectExpr("id % 16 AS x", "(id div 16) % 16 AS y", "id div 256 AS z")
+    got = df.select("x", "y", "z", sharding.hilbert_index([F.col(c) for c in "xyz"], 4).alias("h")).collect()
+    assert all(r["h"] == index((r["x"], r["y"], r["z"])) for r in got) and len({r["h"] for r in got}) == 16**3
+
+
 def test_decontamination(spark, docs, nothing):
     ship(spark)
     items = [
