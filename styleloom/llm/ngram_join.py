@@ -320,7 +320,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     moved = rows.join(dealt.groupBy("key", "a").agg(F.collect_list(F.struct("root", "i", "j", "lo")).alias("to")).hint("shuffle_hash"), ["key", "a"])
     moved = moved.select("text", F.explode("to").alias("to")).select("to.root", "to.i", "to.j", "to.lo", "text")
     moved = moved.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "lo")
-    links = moved.mapInArrow(*_compare(k, percent))
+    links = stored(moved.mapInArrow(*_compare(k, percent)))
     several = _several(members) if tied else None
     if several is not None:
         own = members.where("n > 0").join(several, "key").groupBy("key", "lo").count()
