@@ -12,13 +12,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.match import class_postings
-from .operators.report import coverage, diagnostics, in_order, match_details, report_json, selector_classes_of
+from .operators.match import class_postings, with_paths
+from .operators.report import COUNTERS, coverage, diagnostics, in_order, match_details, report_json, selector_classes_of
 from .operators.rewrite import invalidated_files, invalidated_selectors, keyframes_invalidated, keyframes_removed, removed_files, restored_files
 from .plans.expand import MAX_CONTEXTS, check_limit, contexts, cycles, missing_refs
-from .plans.graph import graph_stats, load_graph
+from .plans.graph import all_cycles, all_unresolved, graph_stats, load_graph
 from .plans.persist import materialized
 from .plans.resolve import graph_document
+from .sources.modules import modules, unreadable
 from .sources.scripts import VENDOR_PATH, built_in_evidence, script_evidence, script_files
 from .sources.stylesheets import keyframes, selector_classes, selectors, unused_keyframes, vendor_evidence
 
@@ -76,9 +77,12 @@ def run_graph(spark: SparkSession, args: argparse.Namespace) -> int:
     files = read_files(spark, args.root, "*.{ex,heex}").where(F.col("path").rlike(r"^lib/[^/]*_web/"))
     out = Path(args.root, args.output)
     out.mkdir(parents=True, exist_ok=True)
-    g = graph_document(materialized(files))
+    files = materialized(files)
+    for r in unreadable(files, modules(files)).orderBy("path").collect():
+        print(f"{r['path']} can't be read as a module", file=sys.stderr)
+    g = graph_document(files)
     (out / GRAPH_FILE).write_text(json.dumps(g, ensure_ascii=False, indent=2), encoding="utf-8")
-    print(f"{len(g['entries'])} entries, {len(g['trees'])} trees, {len(g['unresolved'])} unresolved")
+    print(f"{len(g['entries'])} entries, {len(g['trees'])} trees, {len(g['cycles'])} cycles, {len(g['unresolved'])} unresolved")
     return 0
 
 
@@ -107,7 +111,7 @@ def run_coverage(spark: SparkSession, args: argparse.Namespace) -> int:
     found = selectors(sheets.where(~vendor)).withColumn("sel_id", F.monotonically_increasing_id())
     found = materialized(found.select("sel_id", "selector", "file", "line", "segments", "skip_reason"))
     t = {k: materialized(v) for k, v in load_graph(spark, graph.read_text(encoding="utf-8")).items()}
-    ctx = check_limit(materialized(contexts(t["entries"], t["items"])), args.max_contexts)
+    ctx = materialized(with_paths(check_limit(materialized(contexts(t["entries"], t["items"])), args.max_contexts)))
     evidence = built_in_evidence(spark)
     for folder in args.js:
         evidence = evidence.unionByName(script_evidence(script_files(read_files(spark, str(Path(args.root, folder)), "*.{js,mjs}"))))
@@ -119,15 +123,20 @@ def run_coverage(spark: SparkSession, args: argparse.Namespace) -> int:
     unmatched = report.where("bucket = 'unmatched'")
     notes = diagnostics(found.join(unmatched.select("sel_id"), "sel_id", "left_semi"), selector_classes_of(found), class_postings(t["nodes"]))
     details = match_details(found, results, ctx, t["nodes"]).groupBy("sel_id").agg(F.collect_list(F.struct("entry_module", "entry_name", "chain", "result", "dynamic", "unresolved_part")).alias("matches"))
-    unused = unused_keyframes(keyframes(entry_file()))
+    frames = materialized(keyframes(entry_file()))
+    unused = unused_keyframes(frames)
+    rings = all_cycles(t["cycles"], cycles(t["entries"], t["items"]), t["edges"])
+    lost = all_unresolved(t["unresolved"], missing_refs(t["entries"], t["items"], t["trees"]))
     stats = graph_stats(t["entries"], t["trees"], t["items"], ctx, t["nodes"], class_postings(t["nodes"]))
     full = report.join(details, "sel_id", "left").join(notes, "sel_id", "left")
-    text = report_json(full, evidence, unused, cycles(t["entries"], t["items"]), missing_refs(t["entries"], t["items"], t["trees"]), stats)
+    text = report_json(full, evidence, frames, unused, invalidated_selectors(entry_file()), rings, lost, stats)
     Path(args.root, args.output).write_text(text, encoding="utf-8")
     out = json.loads(text)
     print(json.dumps(out["summary"]))
     if args.stats:
-        print(json.dumps(out["analysis_stats"]))
+        print("Analysis stats:")
+        for key, label in COUNTERS.items():
+            print(f"  {label}: {out['analysis_stats'][key]}")
     for wanted, bucket in ((args.list_unmatched, "unmatched"), (args.list_runtime, "runtime_matched")):
         if wanted:
             for r in in_order(report.where(F.col("bucket") == bucket)).collect():

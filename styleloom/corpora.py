@@ -29,17 +29,18 @@ def forest(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     Columns ``ctx_id, node_id, entry_ord, parent_id, parent_key, sibling, prev_sibling_id, tag, repeat,
     raw, facts``. Customers may be overdrawn (an optional class), orders have a priority that excludes the
     others of its group, line items of over 45 pieces have a class that isn't known. ``keep`` computes it
-    once for a plan that reads it several times.
+    once for a plan that reads it several times. ``path`` holds the ids of the ancestors from the region down.
     """
     region, nation, customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem"))
     nation_of = nation.select("n_nationkey", "n_regionkey")
-    customer_of = customer.join(F.broadcast(nation_of), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    customer_of = customer.join(nation_of, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
     placed = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = lineitem.withColumn("place", F.row_number().over(placed)).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     slug = F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "-"))
 
-    def rows(df: DataFrame, ctx: Column, entry: str, parent: Column, tag: str, repeat: bool, found: Column) -> DataFrame:
-        return df.select(ctx.alias("ctx_id"), F.col(entry).cast("int").alias("entry_ord"), parent.cast("long").alias("parent_id"), F.lit(tag).alias("tag"), F.lit(repeat).alias("repeat"), found.alias("facts"))
+    def rows(df: DataFrame, ctx: Column, entry: str, parent: Column, tag: str, repeat: bool, found: Column, *above: Column) -> DataFrame:
+        path = F.array(*[_id(i + 1, k) for i, k in enumerate(above)]).cast("array<bigint>")
+        return df.select(ctx.alias("ctx_id"), F.col(entry).cast("int").alias("entry_ord"), parent.cast("long").alias("parent_id"), path.alias("path"), F.lit(tag).alias("tag"), F.lit(repeat).alias("repeat"), found.alias("facts"))
 
     def word(prefix: str, c: str | Column) -> Column:
         return F.concat(F.lit(f"{prefix}-"), F.col(c) if isinstance(c, str) else c)
@@ -53,10 +54,10 @@ def forest(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
     unknown = F.when(F.col("l_quantity") > 45, F.array(dyn("variable", "large"))).otherwise(F.array().cast("array<struct<reason:string,expr:string,chain:string>>"))
     parts = [
         rows(region, _id(1, F.col("r_regionkey")), "r_regionkey", no, "region", False, facts(words(word("in", "r_name")))),
-        rows(nation, _id(2, F.col("n_nationkey")), "n_regionkey", _id(1, F.col("n_regionkey")), "nation", False, facts(words(word("of", "n_name")))),
-        rows(customer.join(customer_of, "c_custkey"), _id(3, F.col("c_custkey")), "n_regionkey", _id(2, F.col("c_nationkey")), "customer", False, facts(words(word("seg", "c_mktsegment")), overdrawn)),
-        rows(orders.join(customer_of, F.col("o_custkey") == F.col("c_custkey")), _id(4, F.col("o_orderkey")), "n_regionkey", _id(3, F.col("o_custkey")), "order", False, facts(words(word("status", "o_orderstatus")), None, priority)),
-        rows(lines.join(customer_of, F.col("o_custkey") == F.col("c_custkey")), _id(5, F.col("l_orderkey") * LINES + F.col("place")), "n_regionkey", _id(4, F.col("l_orderkey")), "line", False, facts(words(word("flag", "l_returnflag"), word("line", "l_linestatus")), None, None, unknown)),
+        rows(nation, _id(2, F.col("n_nationkey")), "n_regionkey", _id(1, F.col("n_regionkey")), "nation", False, facts(words(word("of", "n_name"))), F.col("n_regionkey")),
+        rows(customer.drop("c_nationkey").join(customer_of, "c_custkey"), _id(3, F.col("c_custkey")), "n_regionkey", _id(2, F.col("c_nationkey")), "customer", False, facts(words(word("seg", "c_mktsegment")), overdrawn), F.col("n_regionkey"), F.col("c_nationkey")),
+        rows(orders.join(customer_of, F.col("o_custkey") == F.col("c_custkey")), _id(4, F.col("o_orderkey")), "n_regionkey", _id(3, F.col("o_custkey")), "order", False, facts(words(word("status", "o_orderstatus")), None, priority), F.col("n_regionkey"), F.col("c_nationkey"), F.col("o_custkey")),
+        rows(lines.join(customer_of, F.col("o_custkey") == F.col("c_custkey")), _id(5, F.col("l_orderkey") * LINES + F.col("place")), "n_regionkey", _id(4, F.col("l_orderkey")), "line", False, facts(words(word("flag", "l_returnflag"), word("line", "l_linestatus")), None, None, unknown), F.col("n_regionkey"), F.col("c_nationkey"), F.col("o_custkey"), F.col("l_orderkey")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -67,7 +68,7 @@ def forest(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
 
 
 def contexts_of(found: DataFrame) -> DataFrame:
-    return found.select("ctx_id", "entry_ord", "node_id", "parent_id", "prev_sibling_id", F.coalesce("parent_key", F.lit(-1)).alias("parent_key"), "sibling")
+    return found.select("ctx_id", "entry_ord", "node_id", "parent_id", "prev_sibling_id", F.coalesce("parent_key", F.lit(-1)).alias("parent_key"), "sibling", "path")
 
 
 def nodes_of(found: DataFrame) -> DataFrame:
@@ -91,9 +92,10 @@ def part_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scripts ``(path, content)`` of the pages."""
+    """The scripts ``(path, content)`` of the pages, numbered within each."""
     pages = table(spark, sf_dir, "pages")
-    return pages.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1).alias("content"))
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), F.lit(1))).alias("n", "content"))
+    return found.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit("-"), F.col("n").cast("string"), F.lit(".js")).alias("path"), "content")
 
 
 def app_modules(spark: SparkSession, sf_dir: str) -> DataFrame:

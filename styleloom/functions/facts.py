@@ -117,16 +117,3 @@ def first_dynamic(f: Column) -> Column:
 def node_label(tag: Column, raw: Column, f: Column) -> Column:
     """``raw-html``, or the tag (``?`` if missing) and all concrete classes joined by points."""
     return F.when(raw, F.lit("raw-html")).otherwise(F.array_join(F.concat(F.array(F.coalesce(tag, F.lit("?"))), concrete_classes(f)), "."))
-
-
-def facts_of_variants(static: Column, variants: Column) -> Column:
-    """Facts from static classes and variants ``struct<type, words array<string>, options array<option>>``.
-
-    A toggle gives optional classes, an either an exclusive group, a dynamic its fact; dynamic parts of
-    options are dynamic facts of the node as well. Repeated classes count once.
-    """
-    toggles = F.flatten(F.transform(F.filter(variants, lambda v: v["type"] == "toggle"), lambda v: v["words"]))
-    groups = F.transform(F.filter(variants, lambda v: v["type"] == "either"), lambda v: v["options"])
-    loose = F.flatten(F.transform(F.filter(variants, lambda v: v["type"] == "dynamic"), lambda v: F.flatten(F.transform(v["options"], lambda o: o["dyn"]))))
-    inner = F.flatten(F.transform(F.flatten(groups), lambda o: o["dyn"]))
-    return facts(F.array_distinct(static), F.array_distinct(toggles), groups, F.array_distinct(F.concat(loose, inner)))

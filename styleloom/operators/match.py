@@ -3,14 +3,19 @@
 Tables:
 ``nodes(node_id, tag, repeat, raw, facts)``;
 ``contexts(ctx_id, entry_ord, node_id, parent_id, prev_sibling_id, parent_key, sibling)``, where contexts of
-equal (entry_ord, parent_key) are siblings in the order of ``sibling``;
+equal (entry_ord, parent_key) are siblings in the order of ``sibling``, and ``path`` holds the ids of all ancestors
+from the root down (``with_paths`` adds it);
 ``selectors(sel_id, segments)``.
+
+A step of the fold asks only for what stands beside the contexts of its frontier: parents and ancestors come from the
+path that a context carries, and what they must meet is known before they are looked up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.facts import concrete_classes, node_matches
 from ..plans.persist import materialized
@@ -25,7 +30,7 @@ def class_postings(nodes: DataFrame) -> DataFrame:
 
 
 def segment_matches(segments: DataFrame, nodes: DataFrame, by_tag: bool = True, loose: bool = True) -> DataFrame:
-    """``(seg_id, node_id, kind)`` for the distinct segments ``(seg_id, seg)`` and the nodes that meet them.
+    """``(seg_id, node_id, kind, repeat, body)`` for the distinct segments ``(seg_id, seg)`` and the nodes that meet them.
 
     A segment with classes finds its candidates by an equi-join on the class, and a candidate counts at the
     first of its classes only, so nothing has to be made distinct. One with a tag alone joins on the tag.
@@ -34,7 +39,7 @@ def segment_matches(segments: DataFrame, nodes: DataFrame, by_tag: bool = True,
     two kinds, so that a plan without them has no branch for them.
     """
     kind = node_matches(F.col("seg"), F.col("tag"), F.col("raw"), F.col("facts")).alias("kind")
-    columns = ["seg_id", "node_id", kind]
+    columns = ["seg_id", "node_id", kind, "repeat", (F.equal_null("tag", F.lit("body")) & ~F.col("raw")).alias("body")]
     wanted = F.col("seg.classes")
     by_class = segments.select("seg_id", "seg", F.explode(F.array_distinct(wanted)).alias("class"))
     known = nodes.where("NOT raw").select("*", concrete_classes(F.col("facts")).alias("known"))
@@ -67,37 +72,71 @@ def ancestors(contexts: DataFrame, depth: int | None = None) -> DataFrame:
     return reach
 
 
-def related(contexts: DataFrame, nodes: DataFrame, combinators: set[str], depth: int | None = None) -> DataFrame:
-    """``(comb, ctx_id, rel_id, rank)``: what each combinator relates a context to, in the order in which it is tried.
+def with_paths(contexts: DataFrame, depth: int | None = None) -> DataFrame:
+    """The contexts with their ``path``, unless they have it: the closure of the parents, gathered once."""
+    if "path" in contexts.columns:
+        return contexts
+    above = ancestors(contexts, depth).groupBy("ctx_id").agg(F.sort_array(F.collect_list(F.struct("rank", "rel_id")), asc=False)["rel_id"].alias("path"))
+    return contexts.join(above, "ctx_id", "left").withColumn("path", F.coalesce("path", F.array().cast("array<bigint>")))
+
+
+#: What a context carries through the fold, to find what stands beside it.
+PLACE = ["entry_ord", "parent_key", "sibling", "prev_sibling_id", "path", "repeat"]
+
 
-    ``>`` the parent; ``+`` the previous sibling, then the context itself if its node repeats; ``~`` all
-    earlier siblings from the nearest, then likewise itself; anything else the ancestors from the nearest,
-    then every ``body`` of any entry.
+def step_left(frontier: DataFrame, there: DataFrame, combinators: set[str], final: bool) -> DataFrame:
+    """The moves ``(frontier's columns, rel_id, r, t)`` of one step: what a combinator relates a context to, if it meets the next segment.
+
+    ``there(sel_id, last, rel_id, t)`` are the contexts that meet it; ``r`` is the order in which they are
+    tried: ``>`` the parent; ``+`` the previous sibling, then the context itself if its node repeats; ``~``
+    all earlier siblings from the nearest, then likewise itself; anything else the ancestors from the
+    nearest, then every ``body`` of any entry.
+
+    Where ``last`` says that no segment follows, only the nearest static and the nearest dynamic one count:
+    of siblings they come from a window over each family, of ``body`` contexts the first two are enough,
+    as one may be the context itself. ``final`` says whether a selector ends with this step.
     """
-    out = None
+    moves = []
+    own = frontier.columns
 
-    def add(comb: str, df: DataFrame) -> None:
-        nonlocal out
-        part = df.select(F.lit(comb).alias("comb"), "ctx_id", "rel_id", F.col("rank").cast("long").alias("rank"))
-        out = part if out is None else out.unionByName(part)
+    def by_id(rows: DataFrame, rel, r) -> None:
+        moves.append(rows.select(*own, rel.alias("rel_id"), r.cast("long").alias("r")))
 
     if ">" in combinators:
-        add(">", contexts.where("parent_id IS NOT NULL").select("ctx_id", F.col("parent_id").alias("rel_id"), F.lit(0).alias("rank")))
+        by_id(frontier.where("comb = '>' AND size(at.path) > 0"), F.element_at("at.path", -1), F.lit(0))
     if " " in combinators:
-        add(" ", ancestors(contexts, depth))
-        ambient = contexts.join(nodes.where("tag = 'body' AND NOT raw").select("node_id"), "node_id").select(F.col("ctx_id").alias("rel_id"))
-        every = contexts.select("ctx_id").join(ambient, F.col("ctx_id") != F.col("rel_id"))
-        add(" ", every.select("ctx_id", "rel_id", (F.col("rel_id") + AMBIENT).alias("rank")))
+        up = frontier.where("comb = ' '").select(*own, F.posexplode(F.reverse("at.path")).alias("r", "rel_id"))
+        by_id(up, F.col("rel_id"), F.col("r"))
+    if "+" in combinators:
+        by_id(frontier.where("comb = '+' AND at.prev_sibling_id IS NOT NULL"), F.col("at.prev_sibling_id"), F.lit(0))
     if combinators & {"+", "~"}:
-        own = contexts.join(nodes.where("repeat").select("node_id"), "node_id").select("ctx_id", F.col("ctx_id").alias("rel_id"), F.lit(LAST).alias("rank"))
-        if "+" in combinators:
-            add("+", contexts.where("prev_sibling_id IS NOT NULL").select("ctx_id", F.col("prev_sibling_id").alias("rel_id"), F.lit(0).alias("rank")))
-            add("+", own)
-        if "~" in combinators:
-            left = contexts.select("entry_ord", "parent_key", "ctx_id", "sibling")
-            right = contexts.select("entry_ord", "parent_key", F.col("ctx_id").alias("rel_id"), F.col("sibling").alias("earlier"))
-            add("~", left.join(right, ["entry_ord", "parent_key"]).where("earlier < sibling").select("ctx_id", "rel_id", (F.col("sibling") - F.col("earlier")).alias("rank")))
-            add("~", own)
+        by_id(frontier.where("comb IN ('+', '~') AND at.repeat"), F.col("cur"), F.lit(LAST))
+    out = moves[0] if moves else frontier.select(*own, F.lit(0).cast("long").alias("rel_id"), F.lit(0).cast("long").alias("r")).limit(0)
+    for m in moves[1:]:
+        out = out.unionByName(m)
+    out = out.join(there.drop("last"), ["sel_id", "rel_id"])
+    if " " in combinators:
+        bodies = there.where("t.body")
+        nth = F.row_number().over(Window.partitionBy("sel_id", F.col("t.open").isNull()).orderBy("rel_id"))
+        bodies = bodies.withColumn("nth", nth).where("NOT last OR nth <= 2").drop("last", "nth")
+        ambient = frontier.where("comb = ' '").join(bodies, "sel_id").where("rel_id <> cur")
+        out = out.unionByName(ambient.withColumn("r", F.col("rel_id") + AMBIENT).select(out.columns))
+    if "~" in combinators:
+        family = ["sel_id", "entry_ord", "parent_key"]
+        keyed = frontier.where("comb = '~'").withColumns({"entry_ord": F.col("at.entry_ord"), "parent_key": F.col("at.parent_key")})
+        beside = there.withColumns({"entry_ord": F.col("t.at.entry_ord"), "parent_key": F.col("t.at.parent_key")})
+        inner = keyed.join(beside.where("NOT last").drop("last"), family).where("t.at.sibling < at.sibling")
+        out = out.unionByName(inner.withColumn("r", F.col("at.sibling") - F.col("t.at.sibling")).select(out.columns))
+        if final:
+            rows = keyed.join(beside.where("last").select(*family).distinct(), family, "left_semi")
+            rows = rows.select(*family, F.col("at.sibling").alias("sibling"), F.struct(*own).alias("f"), F.lit(None).cast(there.schema["t"].dataType).alias("t"), F.lit(None).cast("long").alias("rel_id"))
+            met = beside.where("last").select(*family, F.col("t.at.sibling").alias("sibling"), F.lit(None).cast(rows.schema["f"].dataType).alias("f"), "t", "rel_id")
+            before = Window.partitionBy(*family).orderBy("sibling", F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+            one = F.struct("rel_id", "t")
+            nearest = [F.last(F.when(F.col("t").isNotNull() & cond, one), ignorenulls=True).over(before) for cond in (F.col("t.open").isNull(), F.col("t.open").isNotNull())]
+            near = rows.unionByName(met).withColumn("near", F.array(*nearest)).where("f IS NOT NULL")
+            near = near.select("f.*", F.explode("near").alias("near")).where("near IS NOT NULL").select(*own, "near.rel_id", "near.t")
+            out = out.unionByName(near.withColumn("r", F.col("at.sibling") - F.col("t.at.sibling")).select(out.columns))
     return out
 
 
@@ -123,28 +162,29 @@ def match_keys(selectors: DataFrame, contexts: DataFrame, nodes: DataFrame, dept
     placed = placed.withColumn("comb", F.when(F.col("comb").isin(">", "+", "~"), F.col("comb")).otherwise(F.lit(" ")))
 
     # who meets which segment, computed once for all steps
-    met = placed.join(kinds, "seg_id").join(contexts.select("ctx_id", "node_id"), "node_id")
-    met = materialized(met.select("sel_id", "n", "pos", "comb", "ctx_id", F.when(F.col("kind") == "dynamic", F.col("node_id").cast("string")).alias("dyn_node")))
-    keys = met.where("pos = n - 1").select("sel_id", "n", F.col("ctx_id").alias("key_ctx"), F.when(F.col("dyn_node").isNull(), "static").otherwise("dynamic").alias("key_kind"), "comb")
+    placed_contexts = with_paths(contexts, depth).select("ctx_id", "node_id", *PLACE[:-1])
+    met = placed.join(kinds, "seg_id").join(placed_contexts, "node_id")
+    met = materialized(met.select("sel_id", "n", "pos", "comb", "ctx_id", F.struct(*PLACE).alias("at"), "body", F.when(F.col("kind") == "dynamic", F.col("node_id").cast("string")).alias("dyn_node")))
+    keys = met.where("pos = n - 1").select("sel_id", "n", F.col("ctx_id").alias("key_ctx"), F.when(F.col("dyn_node").isNull(), "static").otherwise("dynamic").alias("key_kind"), "comb", "at")
 
     empty = F.array().cast("array<bigint>")
-    frontier = keys.select("sel_id", "n", "key_ctx", F.col("key_ctx").alias("cur"), "comb", F.lit(False).alias("dyn"), empty.alias("rank"), F.lit(None).cast("string").alias("dyn_node"))
-    done = frontier.where("n = 1")
+    frontier = keys.select("sel_id", "n", "key_ctx", F.col("key_ctx").alias("cur"), "comb", F.lit(False).alias("dyn"), empty.alias("rank"), F.lit(None).cast("string").alias("dyn_node"), "at")
+    done = frontier.where("n = 1").drop("at")
     partial = None
-    edges = related(contexts, nodes, combs, depth).withColumnsRenamed({"ctx_id": "cur", "rank": "r"}) if combs else None
     for step in range(1, longest):
-        moved = frontier.where(F.col("n") > step).join(edges, ["cur", "comb"])
-        there = met.where(F.col("pos") == F.col("n") - 1 - step).select("sel_id", F.col("ctx_id").alias("rel_id"), F.col("comb").alias("next"), F.col("dyn_node").alias("open"))
-        moved = moved.join(there, ["sel_id", "rel_id"]).select(
-            "sel_id", "n", "key_ctx", F.col("rel_id").alias("cur"), F.col("next").alias("comb"),
-            (F.col("dyn") | F.col("open").isNotNull()).alias("dyn"),
+        there = met.where(F.col("pos") == F.col("n") - 1 - step).select("sel_id", (F.col("pos") == 0).alias("last"), F.col("ctx_id").alias("rel_id"), F.struct(F.col("comb").alias("next"), F.col("dyn_node").alias("open"), "body", "at").alias("t"))
+        final = any(r["n"] == step + 1 for r in shape)
+        moved = step_left(frontier.where(F.col("n") > step), there, combs, final).select(
+            "sel_id", "n", "key_ctx", F.col("rel_id").alias("cur"), F.col("t.next").alias("comb"),
+            (F.col("dyn") | F.col("t.open").isNotNull()).alias("dyn"),
             F.concat("rank", F.array("r")).alias("rank"),
-            F.coalesce("dyn_node", "open").alias("dyn_node"),
+            F.coalesce("dyn_node", "t.open").alias("dyn_node"),
+            F.col("t.at").alias("at"),
         )
-        frontier = moved.groupBy("sel_id", "n", "key_ctx", "cur", "comb", "dyn").agg(F.min(F.struct("rank", "dyn_node")).alias("b")).select("sel_id", "n", "key_ctx", "cur", "comb", "dyn", "b.rank", "b.dyn_node")
+        frontier = moved.groupBy("sel_id", "n", "key_ctx", "cur", "comb", "dyn").agg(F.min(F.struct("rank", "dyn_node", "at")).alias("b")).select("sel_id", "n", "key_ctx", "cur", "comb", "dyn", "b.rank", "b.dyn_node", "b.at")
         if step + 1 < longest:
             frontier = materialized(frontier)  # the next step and two results read it
-        done = done.unionByName(frontier.where(F.col("n") == step + 1))
+        done = done.unionByName(frontier.where(F.col("n") == step + 1).drop("at"))
         tries = frontier.where(F.col("dyn") & (F.col("n") > step + 1)).select("sel_id", "key_ctx", "dyn_node")
         partial = tries if partial is None else partial.unionByName(tries)
 

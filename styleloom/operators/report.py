@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.facts import concrete_classes, first_dynamic, node_label
 from ..sources.scripts import evidence_report
-from .match import ancestors, buckets, class_postings, key_results, match_keys
+from .match import buckets, class_postings, key_results, match_keys, with_paths
 
 ARROW = " → "
 
 
 def chains(keys: DataFrame, contexts: DataFrame, nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """``(ctx_id, path, chain)`` of the contexts in ``keys(ctx_id)``: labels from the root down, with the entry's name before them."""
-    wanted = keys.select("ctx_id").distinct()
-    up = ancestors(contexts, depth).join(wanted, "ctx_id").select("ctx_id", "rel_id", F.col("rank") + 1)
-    up = up.unionByName(wanted.select("ctx_id", F.col("ctx_id").alias("rel_id"), F.lit(0).cast("long").alias("(rank + 1)")))
-    up = up.toDF("ctx_id", "rel_id", "up")
+    placed = with_paths(contexts, depth).join(keys.select("ctx_id").distinct(), "ctx_id")
+    up = placed.select("ctx_id", F.posexplode(F.reverse(F.concat("path", F.array("ctx_id")))).alias("up", "rel_id"))
     labels = contexts.select(F.col("ctx_id").alias("rel_id"), "node_id", "entry_name").join(nodes.select("node_id", node_label(F.col("tag"), F.col("raw"), F.col("facts")).alias("label")), "node_id")
     rows = up.join(labels, "rel_id").groupBy("ctx_id").agg(F.sort_array(F.collect_list(F.struct("up", "label")), asc=False).alias("p"), F.first("entry_name").alias("entry_name"))
     path = F.transform("p", lambda x: x["label"])
@@ -79,6 +77,7 @@ def coverage(selectors: DataFrame, text_classes: DataFrame, contexts: DataFrame,
     ok = F.col("segments").isNotNull() & (F.size("segments") > 0)
     once = selectors.where(ok).groupBy("selector", "file", "line").agg(F.min("sel_id").alias("sel_id")).select("sel_id")
     kept = selectors.where(~F.coalesce(ok, F.lit(False))).unionByName(selectors.join(once, "sel_id", "left_semi"))
+    contexts = with_paths(contexts, depth)
     results = key_results(match_keys(kept.where(ok).select("sel_id", "segments"), contexts, nodes, depth))
     known = class_postings(nodes).select("class").distinct().withColumn("k", F.lit(True))
     classes = text_classes.join(known, "class", "left").select("sel_id", "class", F.coalesce("k", F.lit(False)).alias("in_graph"))
@@ -97,7 +96,16 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)))
 
 
-def report_json(report: DataFrame, evidence: DataFrame, unused: DataFrame, cycles: DataFrame, missing: DataFrame, stats: DataFrame, limit: int = 1_000_000) -> str:
+#: The counters that ``--stats`` prints, by their keys in the report.
+COUNTERS = {
+    "entries": "entries", "tree_refs": "tree refs", "canonical_nodes": "canonical nodes", "contexts": "contexts", "class_index_keys": "class index keys",
+    "selector_count": "selectors", "max_classes_per_node": "max classes per node", "max_call_stack_depth": "max call stack depth",
+    "cycles": "cycles", "unresolved_refs": "unresolved refs", "runtime_matched_selector_count": "runtime matched selectors",
+}
+_RENAMED = {"trees": "tree_refs", "classes": "class_index_keys", "widest_node": "max_classes_per_node", "deepest_call": "max_call_stack_depth"}
+
+
+def report_json(report: DataFrame, evidence: DataFrame, frames: DataFrame, unused: DataFrame, invalidated: DataFrame, cycles: DataFrame, missing: DataFrame, stats: DataFrame, limit: int = 1_000_000) -> str:
     """The report as one JSON object, for a corpus whose selectors the driver can hold (``limit`` rows, else an error)."""
 
     def rows(df: DataFrame) -> list[dict]:
@@ -116,12 +124,14 @@ def report_json(report: DataFrame, evidence: DataFrame, unused: DataFrame, cycle
         "possibly_dynamic": of["possibly_dynamic"],
         "unmatched": len(of["unmatched"]), "unmatched_selectors": of["unmatched"],
         "skipped": of["skipped"],
+        "invalidated_selectors": rows(in_order(invalidated)),
         "unused_keyframes": rows(unused.orderBy("file", "line")),
-        "cycles": rows(cycles), "unresolved_refs": rows(missing), "analysis_stats": (rows(stats) or [{}])[0],
+        "cycles": rows(cycles.orderBy("path")), "unresolved_refs": rows(missing.orderBy("ref", "tag", "from")),
     }
+    counted = {_RENAMED.get(k, k): v for k, v in (rows(stats) or [{}])[0].items()}
+    counted |= {"selector_count": len(found), "cycles": len(out["cycles"]), "unresolved_refs": len(out["unresolved_refs"]), "runtime_matched_selector_count": len(of["runtime_matched"])}
+    out["analysis_stats"] = counted
+    kinds = {r["kind"]: r["n"] for r in frames.groupBy("kind").agg(F.count_distinct("name").alias("n")).collect()}
     out["summary"] = {n: len(of[n]) for n in names} | {k: len(out[k]) for k in ("unused_keyframes", "cycles", "unresolved_refs")}
+    out["summary"] |= {"invalidated": len(out["invalidated_selectors"]), "keyframes_total": kinds.get("declared", 0), "keyframes_unused": len(out["unused_keyframes"]), "keyframes_invalidated": kinds.get("invalidated", 0)}
     return json.dumps(out, ensure_ascii=False, indent=2)
-
-
-def dynamic_label(dynamic: Column) -> Column:
-    return F.concat_ws(": ", dynamic["reason"], dynamic["expr"])

@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .persist import materialized
+
 #: Levels of nesting that the recursion may reach, and rows that it may make.
 MAX_DEPTH, MAX_CONTEXTS = 400, 250_000
+#: Spark's own limit of the rows of a recursion, which the ceiling of contexts replaces.
+ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 _EXPAND = """
 WITH RECURSIVE r(entry_ord, entry_ref, kind, val, lk, env, cs, pp, sp) MAX RECURSION LEVEL {depth} AS (
@@ -42,6 +46,8 @@ def reached(entries: DataFrame, items: DataFrame, depth: int = MAX_DEPTH) -> Dat
     of the call on top and pops it. A call whose tree is on the call stack isn't entered.
     """
     spark = entries.sparkSession
+    if spark.conf.get(ROW_LIMIT, None) is None:
+        spark.conf.set(ROW_LIMIT, "-1")
     names = {n: f"__{n}_{uuid.uuid4().hex}" for n in ("entries", "items")}
     entries.createOrReplaceTempView(names["entries"])
     items.createOrReplaceTempView(names["items"])
@@ -53,10 +59,13 @@ def contexts(entries: DataFrame, items: DataFrame, depth: int = MAX_DEPTH) -> Da
 
     ``ctx_id`` counts from 0 in preorder over the entries in their order; ``prev_sibling_id`` is the context
     before it under the same rendered parent, across calls and slots; ``definition_ref`` the tree that
-    holds the node.
+    holds the node. Contexts are numbered within their entries; only the counts of entries meet in one task.
     """
-    rows = reached(entries, items, depth).where("kind IN ('E', 'R')").join(entries.select("entry_ord", "module", "source_file", "name"), "entry_ord")
-    rows = rows.withColumn("ctx_id", F.row_number().over(Window.orderBy("entry_ord", "sp")).cast("long") - 1)
+    found = materialized(reached(entries, items, depth).where("kind IN ('E', 'R')"))
+    earlier = Window.orderBy("entry_ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = found.groupBy("entry_ord").agg(F.count(F.lit(1)).alias("n")).select("entry_ord", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = found.join(before, "entry_ord").join(entries.select("entry_ord", "module", "source_file", "name"), "entry_ord")
+    rows = rows.withColumn("ctx_id", F.col("before") + F.row_number().over(Window.partitionBy("entry_ord").orderBy("sp")).cast("long") - 1)
     family = Window.partitionBy("entry_ord", "pp").orderBy("sp")
     rows = rows.withColumn("prev_sibling_id", F.lag("ctx_id").over(family))
     parents = rows.select("entry_ord", F.col("sp").alias("pp"), F.col("ctx_id").alias("parent_id"))
@@ -69,7 +78,7 @@ def contexts(entries: DataFrame, items: DataFrame, depth: int = MAX_DEPTH) -> Da
 
 
 def cycles(entries: DataFrame, items: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """``(path, callsite_edge)``: calls that were not entered since their tree was already open, once for each path."""
+    """``(path, callsite_edge)``, the tree references from the entry to the one met again: calls that were not entered since their tree was already open, once for each path."""
     steps = reached(entries, items, depth)
     calls = items.where("kind = 'C'").select("list_key", "val", "ref")
     met = steps.join(calls.withColumnRenamed("val", "edge").withColumnRenamed("ref", "to"), F.col("lk") == F.col("list_key"))

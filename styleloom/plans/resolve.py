@@ -26,8 +26,11 @@ def function_ref(module: str, name: str, arity: int, clause: int) -> str:
     return f"fn:{module}:{name}:{arity}:{clause}"
 
 
-def template_ref(module: str | None, source: str, name: str) -> str:
-    return f"tpl:{module or source}:{name}"
+def _variant(v: dict) -> dict:
+    """A variant as the graph document tells it."""
+    if v["type"] == "toggle":
+        return {"type": "toggle", "value": v["words"][0] if len(v["words"]) == 1 else v["words"]}
+    return {"type": "either", "values": v["options"]}
 
 
 class Resolver:
@@ -71,9 +74,10 @@ class Resolver:
             return ([], [{"type": "toggle", "words": options[0]}]) if empty else (options[0], [])
         return [], [{"type": "either", "options": options}]
 
-    def classes(self, source: str | Expr | None, assigns: dict, caller: str | None) -> dict:
+    def classes(self, source: str | Expr | None, assigns: dict, caller: str | None) -> tuple[list, list[dict]]:
+        """(statics, variants) of a class attribute, with what its assigns and calls come to."""
         if source is None:
-            return facts_of([], [])
+            return [], []
         statics, variants = analyze(source.source) if isinstance(source, Expr) else (source.split(), [])
         statics = [{**s, "chain": s.get("chain") or s["expr"]} if isinstance(s, dict) else s for s in statics]
         kept: list[dict] = []
@@ -94,7 +98,7 @@ class Resolver:
             else:
                 kept.append(v)
             statics, kept = statics + more[0], kept + more[1]
-        return facts_of(statics, kept)
+        return statics, kept
 
     # markup
 
@@ -149,7 +153,8 @@ class Resolver:
         tag = "a" if n.tag == ".link" else f"__slot_var__:{n.slot_var}" if n.slot_var else n.tag
 
         def element(children: list[dict]) -> list[dict]:
-            return [{"tag": tag, "classes": self.classes(n.class_source, assigns, caller), "repeat": n.repeat, "children": children}]
+            statics, variants = self.classes(n.class_source, assigns, caller)
+            return [{"tag": tag, "static": statics, "variants": [_variant(v) for v in variants], "classes": facts_of(statics, variants), "repeat": n.repeat, "children": children}]
 
         calls, found, name = self.component(tag, caller)
         if not calls:
@@ -205,16 +210,50 @@ def graph_trees(files: DataFrame) -> DataFrame:
     return functions.unionByName(templates).mapInPandas(run, "ref string, module string, source_file string, name string, tree string, unresolved string")
 
 
+def calls_in(children: list[dict]) -> Iterator[str]:
+    """The trees that a tree calls, in the order of the document; what fills the slots of a call comes after it."""
+    for c in children:
+        yield from c.get("component_refs") or ()
+        yield from calls_in(c.get("children") or [])
+        for filled in (c.get("slot_children_by_name") or {}).values():
+            yield from calls_in(filled)
+
+
+def component_cycles(trees: dict[str, list[dict]]) -> list[dict]:
+    """The calls that lead back to a tree on their own way, each with the way from the entry that first came there.
+
+    A tree is followed once, whatever calls it; it is an entry itself if nothing before it has led there.
+    """
+    found: dict[tuple, None] = {}
+    followed: set[str] = set()
+    for entry in trees:
+        if entry in followed:
+            continue
+        followed.add(entry)
+        way, open_ = [entry], [iter(calls_in(trees[entry]))]
+        while open_:
+            ref = next(open_[-1], None)
+            if ref is None:
+                open_.pop()
+                way.pop()
+            elif ref in way:
+                found[*way, ref] = None
+            elif ref in trees and ref not in followed:
+                followed.add(ref)
+                way.append(ref)
+                open_.append(iter(calls_in(trees[ref])))
+    return [{"type": "component", "path": list(path)} for path in found]
+
+
 def graph_document(files: DataFrame) -> dict:
-    """The graph of a code base as one document, entries in the order of source and ref."""
-    found: list[dict] = []
+    """The graph of a code base as one document, entries in the order of source and ref; cycles and unresolved calls once each."""
     rows = sorted(graph_trees(files).collect(), key=lambda r: (r["ref"].startswith("tpl:"), r["source_file"], r["ref"]))
-    for r in rows:
-        found += [u for u in json.loads(r["unresolved"]) if u not in found]
+    trees = {r["ref"]: json.loads(r["tree"]) for r in rows}
+    unresolved = {json.dumps(u, sort_keys=True): u for r in rows for u in json.loads(r["unresolved"])}
     return {
         "version": 2,
         "entries": [{k: r[k] for k in ("ref", "module", "source_file", "name")} for r in rows],
-        "trees": {r["ref"]: json.loads(r["tree"]) for r in rows},
-        "cycles": [],
-        "unresolved": found,
+        "trees": trees,
+        "cycles": component_cycles(trees),
+        "unresolved": list(unresolved.values()),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .corpora import app_modules, contexts_of, forest, nodes_of, page_scripts, part_styles, selector_table, table
 from .functions.facts import class_words, concrete_classes, first_dynamic, holds_classes, node_label, strings, violates_group
-from .operators.match import class_postings, key_results, match_keys, related
+from .operators.match import ancestors, class_postings, key_results, match_keys
 from .operators.report import chains, coverage, diagnostics, first_of_each, in_order, selector_classes_of, summary
 from .operators.rewrite import invalidated_files, keyframes_invalidated, invalidated_selectors, keyframes_removed, removed_files, restored_files
 from .plans.expand import contexts as expanded
@@ -132,7 +132,7 @@ SELECT rank, count(*) AS n FROM (
   UNION ALL SELECT unnest(generate_series(0, 1)) FROM c UNION ALL SELECT 0 FROM nation) GROUP BY rank""")
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forest(spark, sf_dir, keep=True)
-    return related(contexts_of(found), nodes_of(found), {" "}, depth=8).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    return ancestors(contexts_of(found), depth=8).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p14_concrete_classes", f"""{FOREST}

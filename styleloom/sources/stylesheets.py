@@ -17,6 +17,7 @@ PREFIX = "____unmatched___"
 MARKER = f".{PREFIX}"
 SKIPPED_AT_RULES = ("source", "plugin", "custom-variant")
 
+#: Lines of imports and directives that no file stands for.
 SKIPPED_IMPORT = r"""^@import\s+["']tailwindcss["']|^@import\s+["']phoenix-colocated/|^@import\s+(url\()?["']?https?://"""
 SKIPPED_DIRECTIVE = r"^@(source|plugin)\s"
 
@@ -201,40 +202,33 @@ def _pseudos(parsed: list) -> Iterator[tuple[str, list]]:
                 yield from _pseudos(s)
 
 
+def compounds(parsed: list) -> list[tuple[str | None, list]]:
+    """The selector cut at its combinators: what stands before each compound selector (None before the first), and its simple selectors."""
+    cuts = [i for i, (kind, *_) in enumerate(parsed) if kind == "comb"]
+    before = [None, *((parsed[i][1].strip() or " ") for i in cuts)]
+    return [(c, parsed[a:b]) for c, a, b in zip(before, [0, *(i + 1 for i in cuts)], [*cuts, len(parsed)], strict=True)]
+
+
+def _leaves_no_trace(simple: tuple) -> bool:
+    kind, value, _ = simple
+    return kind in ("cls", "tag") or (kind, value) in (("pseudo", ":not"), ("all", "&"))
+
+
 def segments(parsed: list) -> list[dict] | None:
     """The compound selectors with the combinator before each; None if no class is asked for at all.
 
     A compound of ids, attributes, ``*`` or pseudos alone counts as a wildcard if a combinator stands before
     it. ``:not`` gives the classes in it and, without any, leaves no trace; other pseudos are passed over.
     """
-    out: list[dict] = []
-    part: dict = {}
-    combinator, asked = None, False
-
-    def close() -> None:
-        if part.get("classes") or part.get("not_classes") or part.get("tag"):
-            out.append({"classes": part.get("classes", []), "not_classes": part.get("not_classes", []), "tag": part.get("tag"), "combinator": combinator, "wildcard": False})
-        elif part.get("structure") and combinator is not None:
-            out.append({"classes": [], "not_classes": [], "tag": None, "combinator": combinator, "wildcard": True})
-
-    for kind, value, inner in parsed:
-        if kind == "comb":
-            close()
-            part, combinator = {}, value.strip() or " "
-        elif kind == "cls":
-            part.setdefault("classes", []).append(value)
-            asked = True
-        elif kind == "tag":
-            part["tag"] = value
-        elif kind == "pseudo" and value == ":not":
-            found = [c for s in inner for c in classes_in(s)]
-            if found:
-                part.setdefault("not_classes", []).extend(found)
-                asked = True
-        elif not (kind == "all" and value == "&"):
-            part["structure"] = True
-    close()
-    return out if asked else None
+    rows = []
+    for combinator, part in compounds(parsed):
+        asked = [v for kind, v, _ in part if kind == "cls"]
+        excluded = [c for kind, v, inner in part if (kind, v) == ("pseudo", ":not") for s in inner for c in classes_in(s)]
+        tag = next((v for kind, v, _ in reversed(part) if kind == "tag"), None)
+        named = bool(asked or excluded or tag)
+        if named or combinator is not None and not all(map(_leaves_no_trace, part)):
+            rows.append({"classes": asked, "not_classes": excluded, "tag": tag, "combinator": combinator, "wildcard": not named})
+    return rows if any(r["classes"] or r["not_classes"] for r in rows) else None
 
 
 def selector_rows(path: str, text: str) -> list[tuple]:
@@ -257,26 +251,29 @@ def selector_rows(path: str, text: str) -> list[tuple]:
     return out
 
 
-def keyframe_rows(path: str, text: str) -> list[tuple]:
-    """(kind, name, file, line): declared and invalidated keyframes, and names that animations refer to."""
-    root = parse_stylesheet(text)
-    out, declared = [], []
-    for b in walk(root):
-        at = b.at_rule
-        if at and at[0] == "keyframes":
-            if at[1].startswith(PREFIX):
-                out.append(("invalidated", at[1][len(PREFIX) :], path, b.line))
-            else:
-                declared.append(at[1])
-                out.append(("declared", at[1], path, b.line))
-    for b in [root, *walk(root)]:
+def keyframe_facts(root: Block) -> Iterator[tuple[str, str, int]]:
+    """(kind, name, line): ``frame`` for each at-rule of keyframes, ``named`` for each name in an ``animation-name``, ``word`` for each distinct word of an ``animation``."""
+    for b in (root, *walk(root)):
+        if b.at_rule and b.at_rule[0] == "keyframes":
+            yield "frame", b.at_rule[1], b.line
         for name, value, line in b.declarations:
             if name == "animation-name":
-                out += [("reference", part.strip(), path, line) for part in value.split(",") if part.strip() not in ("", "none")]
+                yield from (("named", x, line) for x in map(str.strip, value.split(",")) if x not in ("", "none"))
             elif name == "animation":
-                words = set(re.split(r"[\s,]+", value))
-                out += [("reference", d, path, line) for d in dict.fromkeys(declared) if d in words]
-    return out
+                yield from (("word", x, line) for x in dict.fromkeys(re.split(r"[\s,]+", value)))
+
+
+def keyframe_rows(path: str, text: str) -> list[tuple]:
+    """(kind, name, file, line): declared and invalidated keyframes, and references: names, and words that are declared in the file."""
+    facts = list(keyframe_facts(parse_stylesheet(text)))
+    declared = {name for kind, name, _ in facts if kind == "frame" and not name.startswith(PREFIX)}
+
+    def told(kind: str, name: str) -> str | None:
+        if kind == "frame":
+            return "declared" if name in declared else "invalidated"
+        return "reference" if kind == "named" or name in declared else None
+
+    return [(told(kind, name), name.removeprefix(PREFIX) if kind == "frame" else name, path, line) for kind, name, line in facts if told(kind, name)]
 
 
 def vendor_rows(path: str, text: str) -> list[tuple]:
