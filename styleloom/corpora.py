@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions.facts import dyn, facts, option
 from .plans.persist import materialized
-from .schema import SELECTORS
+from .schema import FACTS, SELECTORS
 from .sources.stylesheets import parse_selector, segments
 
 #: Ids of the five levels: level * LEVEL + key (of a line item: order * LINES + place).
@@ -122,3 +122,141 @@ def app_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("lib/shop_web/kit.ex", 'defmodule ShopWeb.Kit do\n  def button(assigns), do: ~H"<button class=\'btn\'>{render_slot(@inner_block)}</button>"\nend\n'),
     ]
     return found.unionByName(spark.createDataFrame(shared, "path string, content string"))
+
+
+def shop_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a component graph: entries, items, nodes, trees, edges.
+
+    Each nation is an entry with a tree that calls the trees of its customers, and these those of their
+    orders, whose slot they fill. Overdrawn customers call their nation again, those of one segment a tree
+    that is missing. Orders show their slot, urgent ones raw markup after it. One nation is a ``body``.
+    """
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_nationkey").cast("int").alias("entry_ord"), "n_name")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c"), F.col("c_nationkey").cast("string").alias("n"), "c_mktsegment", (F.col("c_acctbal") < 0).alias("overdrawn"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o"), F.col("o_custkey").cast("string").alias("c"), "o_orderstatus", F.col("o_orderpriority").startswith("1-").alias("urgent"))
+
+    def item(df: DataFrame, list_key: Column, place: Column, kind: str, val: Column, following: Column | None = None, ref: Column | None = None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return df.select(list_key.alias("list_key"), F.array(place.cast("int"), F.lit(0)).alias("ord"), F.lit(kind).alias("kind"), val.alias("val"), (none if following is None else following).alias("next_list"), (none if ref is None else ref).alias("ref"))
+
+    def node(df: DataFrame, node_id: Column, ref: Column, tag: Column, found: Column | None, repeat: Column | None = None) -> DataFrame:
+        raw = F.lit(found is None)
+        return df.select(node_id.alias("node_id"), ref.alias("ref"), tag.cast("string").alias("tag"), (F.lit(False) if repeat is None else repeat).alias("repeat"), raw.alias("raw"), (F.lit(None).cast(FACTS) if found is None else found).alias("facts"))
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def col(prefix: str, key: str, suffix: str = "") -> Column:
+        return F.concat(F.lit(prefix), F.col(key), F.lit(suffix))
+
+    site = F.concat(F.lit("c"), F.col("c"), F.lit("@o"), F.col("o"))
+    first, urgent = F.lit(0), o.where("urgent")
+    rings, lost = c.where("overdrawn"), c.where("c_mktsegment = 'MACHINERY'")
+    items = together([
+        item(n, col("t:n", "n"), first, "E", col("n", "n", "#m"), col("n:n", "n", "#m")),
+        item(c, col("n:n", "n", "#m"), F.col("c"), "C", F.concat(F.lit("n"), F.col("n"), F.lit("@c"), F.col("c")), col("t:c", "c"), col("c", "c")),
+        item(c, col("t:c", "c"), first, "E", col("c", "c", "#s"), col("n:c", "c", "#s")),
+        item(o, col("n:c", "c", "#s"), F.col("o"), "C", site, col("t:o", "o"), col("o", "o")),
+        item(rings, col("n:c", "c", "#s"), F.lit(2**31 - 1), "C", col("c", "c", "@n"), col("t:n", "n"), col("n", "n")),
+        item(lost, col("n:c", "c", "#s"), F.lit(2**31 - 2), "C", col("c", "c", "@gone"), col("t:gone", "c"), col("gone", "c")),
+        item(o, col("t:o", "o"), first, "E", col("o", "o", "#a"), col("n:o", "o", "#a")),
+        item(o, col("n:o", "o", "#a"), first, "S", F.lit("inner_block")),
+        item(urgent, col("n:o", "o", "#a"), F.lit(1), "R", col("o", "o", "#r"), col("n:o", "o", "#r")),
+        item(o, F.concat(F.lit("s:"), site, F.lit(":inner_block")), first, "E", F.concat(site, F.lit("#b")), F.concat(F.lit("n:"), site, F.lit("#b"))),
+    ])
+    none = F.array().cast("array<string>")
+    nodes = together([
+        node(n, col("n", "n", "#m"), col("n", "n"), F.when(F.col("entry_ord") == 3, "body").otherwise("main"), facts(F.array(F.lit("nation")))),
+        node(c, col("c", "c", "#s"), col("c", "c"), F.lit("section"), facts(F.array(col("seg-", "c_mktsegment")), F.when(F.col("overdrawn"), F.array(F.lit("overdrawn"))).otherwise(none))),
+        node(o, col("o", "o", "#a"), col("o", "o"), F.lit("article"), facts(F.array(col("status-", "o_orderstatus")))),
+        node(o, F.concat(site, F.lit("#b")), col("c", "c"), F.lit("b"), facts(F.array(F.lit("given"))), F.col("o_orderstatus") == "F"),
+        node(urgent, col("o", "o", "#r"), col("o", "o"), F.lit(None), None),
+    ])
+    edges = items.where("kind = 'C'").select(F.col("val").alias("edge_id"), F.col("ref").alias("to"))
+    tag = F.when(F.col("edge_id").endswith("@n"), ".nation").otherwise(".part")
+    edges = edges.select("edge_id", F.substring_index("edge_id", "@", 1).alias("ref"), tag.alias("callsite_tag"), F.substring_index("edge_id", "@", 1).alias("callsite_from"), F.array("to").alias("component_refs"))
+    trees = together([n.select(col("n", "n").alias("ref")), c.select(col("c", "c").alias("ref")), o.select(col("o", "o").alias("ref"))])
+    entries = n.select("entry_ord", col("n", "n").alias("ref"), F.lit("Shop").alias("module"), F.lit("shop.ex").alias("source_file"), F.col("n_name").alias("name"))
+    return {"entries": entries, "items": items, "nodes": nodes, "trees": trees, "edges": edges}
+
+
+def shop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph document ``(path, content)`` for each nation: a tree for each customer, with a call for each order and a slot if overdrawn."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") < 0).alias("overdrawn"))
+    calls = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.concat(F.lit('{"component_refs": ["o'), F.col("o_orderkey").cast("string"), F.lit('"]}'))).alias("calls"))
+    slot = F.when(F.col("overdrawn"), F.array(F.lit('{"slot_name": "more"}'))).otherwise(F.array().cast("array<string>"))
+    children = F.array_join(F.concat(F.coalesce("calls", F.array().cast("array<string>")), slot), ", ")
+    tree = F.concat(F.lit('"c'), F.col("c_custkey").cast("string"), F.lit('": [{"tag": "section", "children": ['), children, F.lit("]}]"))
+    rows = c.join(calls, "c_custkey", "left").groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".json")).alias("path")).agg(F.array_join(F.collect_list(tree), ", ").alias("trees"))
+    return rows.select("path", F.concat(F.lit('{"version": 2, "entries": [], "trees": {'), "trees", F.lit("}}")).alias("content"))
+
+
+#: A module of widgets; {k} is the supplier, {n} its nation.
+WIDGET = '''defmodule ShopWeb.W{k} do
+  use ShopWeb, :html
+  embed_templates "w{k}/*"
+
+  def tone(:a), do: "t{k}"
+  def tone(_), do: nil
+  def both(:x), do: "one"
+  def both(_), do: "two three"
+  def nested(x), do: both(x)
+  def markdown(x), do: x |> clean() |> raw()
+  def pair(a, b), do: a
+  def either(a, b), do: "far"
+  def either(a), do: "near"
+  defp bodiless(x)
+
+  def panel(assigns) do
+    assigns = assign(assigns, :cls, both(assigns.kind))
+    ~H"""
+    <section class={["panel", @cls]}><ul><li :for={c <- @item} class="i{k}">{render_slot(c)}</li></ul><.again />{render_slot(@inner_block)}</section>
+    """
+  end
+
+  def again(assigns) do
+    ~H"""
+    <.panel class="wrap"><:item><b class="s{k}"></b></:item><u class="u{n}">{markdown(@x)}</u></.panel>
+    """
+  end
+
+  def deep(assigns) do
+    ~H"""
+    <em class={["d{k}", nested(@k)]}></em>
+    """
+  end
+end
+'''
+#: A stylesheet of a widget.
+WIDGET_STYLE = """@custom-variant z { .no{k} { } }
+@media print { .m{k} { color: red } }
+.____unmatched___ .old{k}, .kept{k} { color: red }
+.w{k}:has(.h{n}) { color: red }
+"""
+
+
+def _filled(text: str) -> Column:
+    """The text with the supplier and its nation in it."""
+    told = F.replace(F.lit(text), F.lit("{k}"), F.col("s_suppkey").cast("string"))
+    return F.replace(told, F.lit("{n}"), F.col("s_nationkey").cast("string"))
+
+
+def widget_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files ``(path, content)`` of a module for each supplier with a template that it embeds; some have a template of their own, a broken or a bare file."""
+    s = table(spark, sf_dir, "supplier")
+
+    def files(df: DataFrame, path: str, content: str) -> DataFrame:
+        return df.select(_filled(path).alias("path"), _filled(content).alias("content"))
+
+    out = files(s, "lib/shop_web/w{k}.ex", WIDGET)
+    out = out.unionByName(files(s, "lib/shop_web/w{k}/show{k}.html.heex", "<p class='shown n{n}'><.link class='go'>x</.link></p>"))
+    out = out.unionByName(files(s.where("s_acctbal < 0"), "lib/shop_web/alone{k}.html.heex", "<i class='alone'></i>"))
+    out = out.unionByName(files(s.where("s_nationkey = 3"), "lib/shop_web/broken{k}.ex", "defmodule X do ("))
+    return out.unionByName(files(s.where("s_nationkey = 5"), "lib/shop_web/bare{k}.ex", "x = 1"))
+
+
+def widget_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(_filled("w{k}.css").alias("path"), _filled(WIDGET_STYLE).alias("content"))

@@ -1,44 +1,24 @@
-"""The queries of the engine over the test tables, with the DuckDB statement for each one that SQL can express."""
+"""The queries of the engine over the test tables: selectors, markup, scripts, stylesheets, modules."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import QUERIES, SQL, Query, query
 from .corpora import app_modules, contexts_of, forest, nodes_of, page_scripts, part_styles, selector_table, table
-from .functions.facts import class_words, concrete_classes, first_dynamic, holds_classes, node_label, strings, violates_group
-from .operators.match import ancestors, class_postings, key_results, match_keys
-from .operators.report import chains, coverage, diagnostics, first_of_each, in_order, selector_classes_of, summary
+from .functions.facts import class_words, concrete_classes, dyn, facts, first_dynamic, holds_classes, node_label, open_option, option, strings, violates_group
+from .operators.match import ancestors, buckets, class_postings, key_results, match_keys
+from .operators.report import chains, coverage, diagnostics, first_of_each, in_order, selector_classes_of
 from .operators.rewrite import invalidated_files, keyframes_invalidated, invalidated_selectors, keyframes_removed, removed_files, restored_files
-from .plans.expand import contexts as expanded
-from .plans.expand import cycles, missing_refs
-from .plans.graph import flatten_graphs, graph_stats, load_graph, merged_cycles
 from .plans.persist import materialized
 from .plans.registry import functions_of, local_lookup, remote_lookup
 from .plans.resolve import graph_trees
 from .sources.markup import VOID, attribute_rows, node_rows, token_rows
 from .sources.modules import clauses, modules
-from .sources.scripts import class_tokens, evidence_report, script_evidence, script_literals
+from .sources.scripts import class_tokens, evidence_report, script_evidence, script_files, script_literals
 from .sources.stylesheets import all_classes, keyframes, prefiltered, selectors, unused_keyframes, vendor_evidence
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
 # --- selectors over the star schema -------------------------------------------------------------
 
 #: The forest of corpora.forest, told in SQL.
@@ -83,26 +63,55 @@ SELECTED = {
     "p11_dynamic_chain": (".status-F > .flag-A.runtime-only", "SELECT id, 'dynamic' AS result FROM li WHERE o_orderstatus = 'F' AND l_returnflag = 'A' AND l_quantity > 45"),
     "p11_optional": (".overdrawn.seg-HOUSEHOLD", "SELECT 3000000000000000 + c_custkey AS id, 'match' AS result FROM c WHERE c_acctbal < 0 AND c_mktsegment = 'HOUSEHOLD'"),
     "p12_exclusive": (".prio-none.waiting", "SELECT 4000000000000000 + o_orderkey AS id, 'match' AS result FROM o"),
-    "p12_exclusive_violation": (".prio-1-urgent.waiting", "SELECT 0 AS id, 'match' AS result WHERE false"),
     "j1_class_lookup": (".flag-N.line-O", "SELECT id, CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'match' ELSE 'dynamic' END AS result FROM li WHERE (l_returnflag = 'N' OR l_linestatus = 'O') AND (l_quantity > 45 OR l_returnflag = 'N' AND l_linestatus = 'O')"),
 }
 for _name, (_sel, _sql) in SELECTED.items():
     query(_name, _counted(_sql))(_selected(_sel))
 
 
-@query("a6_buckets", f"""{FOREST}
-SELECT 'matched' AS bucket, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'possibly_dynamic', 1 UNION ALL SELECT 'runtime_matched', 2
-UNION ALL SELECT 'unmatched', 3 UNION ALL SELECT 'skipped', 2""")
+#: Selectors with what decides on their bucket in SQL: a table that must have rows, and the bucket if it has.
+BUCKETS = {
+    ".flag-R": ("li WHERE l_returnflag = 'R'", "matched"),
+    ".seg-BUILDING .flag-N": ("li WHERE c_mktsegment = 'BUILDING' AND l_returnflag = 'N'", "matched"),
+    "line.flag-A:hover": ("li WHERE l_returnflag = 'A'", "matched"),
+    ".status-F > .line-F": ("li WHERE o_orderstatus = 'F' AND l_linestatus = 'F'", "matched"),
+    ".status-F > .line-O": ("li WHERE o_orderstatus = 'F' AND l_linestatus = 'O'", "matched"),
+    ".in-ASIA": ("region WHERE r_name = 'ASIA'", "matched"),
+    ".in-ATLANTIS": ("region WHERE r_name = 'ATLANTIS'", "matched"),
+    ".flag-A.runtime-only": ("li WHERE l_returnflag = 'A' AND l_quantity > 45", "possibly_dynamic"),
+    ".is-F": ("orders WHERE o_orderstatus = 'F'", "runtime_matched"),
+    ".is-F .flag-A": ("orders WHERE o_orderstatus = 'F'", "runtime_matched"),
+    ".is-Q": ("orders WHERE o_orderstatus = 'Q'", "runtime_matched"),
+    ".flag-A + .is-F": ("orders WHERE false", "runtime_matched"),
+    ".flag-R > .flag-R": ("li a JOIN li b ON a.id = b.l_orderkey WHERE false", "matched"),
+    "line": None,
+    "order > line": None,
+}
+
+
+@query("a6_buckets", FOREST + " UNION ALL ".join(f"SELECT '{t}' AS selector, {'CAST(2 AS BIGINT)' if t == 'line' else 'CAST(1 AS BIGINT)'} AS n, " + ("'skipped'" if d is None else f"CASE WHEN (SELECT count(*) FROM {d[0]}) > 0 THEN '{d[1]}' ELSE 'unmatched' END") + " AS bucket" for t, d in BUCKETS.items()))
 def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = forest(spark, sf_dir, keep=True)
-    texts = [".flag-R", ".seg-BUILDING .flag-N", "line.flag-A:hover", ".status-F > .line-F", ".in-ASIA", ".flag-A.runtime-only", ".set-by-script", ".set-by-script .flag-A", ".gone", ".flag-A + .gone", ".flag-R > .flag-R", "line", "order > line"]
-    sel = selector_table(spark, texts)
-    classes = spark.createDataFrame([(i, c) for i, t in enumerate(texts) for c in all_classes(t)], "sel_id long, class string")
-    # a script may name a class that stands in a selector with one of the graph
-    evidence = spark.createDataFrame([("set-by-script",)], "token string")
-    sel = sel.unionByName(sel.where("sel_id = 0").withColumn("sel_id", F.lit(99).cast("long")))
-    report, _ = coverage(sel, classes, contexts_of(found), nodes_of(found), evidence, depth=8)
-    return summary(report)
+    sel = selector_table(spark, list(BUCKETS))
+    # a selector that is read twice counts once, unless it is skipped
+    twice = sel.where(F.col("selector").isin(".flag-R", "line")).withColumn("sel_id", F.col("sel_id") + 100)
+    sel = sel.unionByName(twice)
+    classes = spark.createDataFrame([(r["sel_id"], c) for r in sel.select("sel_id", "selector").collect() for c in all_classes(r["selector"])], "sel_id long, class string")  # the selectors above
+    report, _ = coverage(sel, classes, contexts_of(found), nodes_of(found), script_evidence(_order_scripts(spark, sf_dir)), depth=8)
+    return report.groupBy("selector", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+EXCLUSIVE = [".prio-1-urgent.waiting", ".prio-none.waiting", ".prio-2-high.status-O", ".prio-1-urgent.prio-2-high"]
+
+
+@query("p12_exclusive_violation", FOREST + " UNION ALL ".join(f"""SELECT '{t}' AS selector, count(*) AS n FROM (
+  SELECT ['status-' || o_orderstatus] AS always, [['prio-' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '-', 'g'))], ['prio-none', 'waiting']] AS options, {t.strip('.').split('.')} AS wanted FROM o)
+  WHERE len(list_filter(options, lambda x: list_has_all(list_concat(always, x), wanted))) > 0""" for t in EXCLUSIVE))
+def exclusive_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = forest(spark, sf_dir, keep=True)
+    sel = selector_table(spark, EXCLUSIVE)
+    results = key_results(match_keys(sel, contexts_of(found), nodes_of(found), depth=8)).groupBy("sel_id").agg(F.count(F.lit(1)).alias("n"))
+    return sel.join(results, "sel_id", "left").select("selector", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("a2_class_postings", f"""{FOREST}
@@ -168,7 +177,11 @@ def group_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(both.alias("touched")).groupBy("touched").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a4_widest_node", "SELECT 4 AS widest, 2 AS widest_line")
+@query("a4_widest_node", f"""{FOREST}
+SELECT CAST(max(n) AS INTEGER) AS widest, CAST(max(n) FILTER (line) AS INTEGER) AS widest_line FROM (
+  SELECT true AS line, len(list_distinct(['flag-' || l_returnflag, 'line-' || l_linestatus])) AS n FROM li
+  UNION ALL SELECT false, len(list_distinct(['status-' || o_orderstatus, 'prio-' || o_orderpriority, 'prio-none', 'waiting'])) FROM o
+  UNION ALL SELECT false, 1 + CAST(c_acctbal < 0 AS INTEGER) FROM c)""")
 def widest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = nodes_of(forest(spark, sf_dir)).select("tag", F.size(concrete_classes(F.col("facts"))).alias("n"))
     return rows.agg(F.max("n").alias("widest"), F.max(F.when(F.col("tag") == "line", F.col("n"))).alias("widest_line"))
@@ -235,7 +248,8 @@ def words_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scripts ----------------------------------------------------------------------------------------
 
 
-@query("s20_script_literals", r"""SELECT 'page' || page_id || '.js' AS file, 1 AS line, regexp_extract(html, '<script>var t="([^"]*)"', 1) AS literal FROM pages WHERE contains(html, '<script>var t="')""")
+@query("s20_script_literals", r"""WITH s AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1), 1) - 1 AS i, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS body FROM pages)
+SELECT 'page' || page_id || '-' || i || '.js' AS file, 1 AS line, unnest(regexp_extract_all(body, '"([^"]+)"', 1)) AS literal FROM s""")
 def literals_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_literals(page_scripts(spark, sf_dir))
 
@@ -262,10 +276,13 @@ def evidence_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
 
 
-@query("u1_evidence_union", """SELECT token, count(*) AS n FROM (
+@query("u1_evidence_union", r"""
+WITH s AS (SELECT unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS body FROM pages),
+lit AS (SELECT unnest(regexp_extract_all(body, '"([^"]+)"', 1)) AS literal FROM s)
+SELECT token, count(*) AS n FROM (
   SELECT 'is-' || o_orderstatus AS token FROM orders UNION ALL SELECT 'prio' FROM orders
   UNION ALL SELECT regexp_replace(o_orderpriority, '[^A-Za-z]+', '', 'g') FROM orders
-  UNION ALL SELECT '</p>' FROM pages WHERE false UNION ALL SELECT 'p' FROM pages) GROUP BY token""")
+  UNION ALL SELECT unnest(list_distinct(regexp_extract_all(literal, '[A-Za-z_][A-Za-z0-9_-]*'))) FROM lit) GROUP BY token""")
 def evidence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = script_evidence(_order_scripts(spark, sf_dir)).unionByName(script_evidence(page_scripts(spark, sf_dir)))
     return evidence_report(both).select("token", F.size("uses").cast("long").alias("n"))
@@ -375,75 +392,7 @@ def frames_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.where("kind = 'declared'").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- component graphs -----------------------------------------------------------------------------------
-
-
-def _element(tag: str, *children: dict, classes: tuple[str, ...] = ()) -> dict:
-    return {"tag": tag, "classes": {"static": list(classes), "optional": [], "exclusive": [], "dynamic": []}, "repeat": False, "children": list(children)}
-
-
-def _sample_graph() -> dict:
-    """A page that calls a panel with slot content, clauses, a cycle and a tree that is missing."""
-    call = lambda *refs, **slots: {"component_refs": list(refs), "callsite": {"tag": ".c", "from": "page"}, "slot_children_by_name": slots}
-    return {
-        "version": 2,
-        "entries": [{"ref": "page", "module": "M", "source_file": "m.ex", "name": "page"}, {"ref": "other", "module": "M", "source_file": "m.ex", "name": "other"}],
-        "trees": {
-            "page": [_element("main", call("panel:0", "panel:1", inner_block=[_element("b", classes=("given",))]), call("gone"), _element("i"), classes=("page",))],
-            "panel:0": [_element("section", {"slot_name": "inner_block"}, classes=("panel",))],
-            "panel:1": [_element("aside", _element("u"), call("loop"))],
-            "loop": [_element("p", call("loop"))],
-            "other": [_element("hr")],
-        },
-        "cycles": [],
-        "unresolved": [],
-    }
-
-
-#: What the sample graph expands to.
-EXPANDED = """SELECT * FROM (VALUES
- (0, 'page', 'page', 'main', NULL, NULL), (1, 'page', 'panel:0', 'section', 0, NULL), (2, 'page', 'panel:0', 'b', 1, NULL),
- (3, 'page', 'panel:1', 'aside', 0, 1), (4, 'page', 'panel:1', 'u', 3, NULL), (5, 'page', 'loop', 'p', 3, 4),
- (6, 'page', 'page', 'i', 0, 3), (7, 'other', 'other', 'hr', NULL, NULL)) t(ctx_id, entry_ref, definition_ref, tag, parent_id, prev_sibling_id)"""
-
-
-@query("g6_expand_contexts", EXPANDED)
-def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_graph(spark, json.dumps(_sample_graph()))
-    rows = expanded(t["entries"], t["items"]).join(t["nodes"].select("node_id", "tag"), "node_id")
-    return rows.select(*[F.col(c).cast("int").alias(c) for c in ("ctx_id", "parent_id", "prev_sibling_id")], "entry_ref", "definition_ref", "tag")
-
-
-@query("g8_cycles", "SELECT 'page > panel:1 > loop > loop' AS path")
-def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_graph(spark, json.dumps(_sample_graph()))
-    return cycles(t["entries"], t["items"]).select(F.array_join("path", " > ").alias("path"))
-
-
-@query("g9_missing_refs", "SELECT 'gone' AS ref, 'page > gone' AS path")
-def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_graph(spark, json.dumps(_sample_graph()))
-    return missing_refs(t["entries"], t["items"], t["trees"]).select("ref", F.array_join("path", " > ").alias("path"))
-
-
-@query("a5_graph_stats", "SELECT 2 AS entries, 5 AS trees, 8 AS canonical_nodes, 8 AS contexts, 3 AS deepest_call, 3 AS classes, 1 AS widest_node")
-def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load_graph(spark, json.dumps(_sample_graph()))
-    ctx = materialized(expanded(t["entries"], t["items"]))
-    return graph_stats(t["entries"], t["trees"], t["items"], ctx, t["nodes"], class_postings(t["nodes"]))
-
-
-@query("s17_graph_items", """SELECT kind, count(*) * (SELECT count(*) FROM nation) AS n FROM (VALUES ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('E'), ('C'), ('C'), ('C'), ('C'), ('C'), ('S')) t(kind) GROUP BY kind""")
-def items_of_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".json")).alias("path"), F.lit(json.dumps(_sample_graph())).alias("content"))
-    return flatten_graphs(documents).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("a11_merged_cycles", """SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS path, min(c_mktsegment) FILTER (c_custkey % 2 = 0) IS NOT NULL AS sited FROM customer GROUP BY 1""")
-def cycles_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    rows = c.select(F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("callsite_tag"))
-    return merged_cycles(rows).select(F.get("path", F.lit(0)).alias("path"), F.col("callsite_tag").isNotNull().alias("sited"))
+# --- reports ----------------------------------------------------------------------------------------------
 
 
 @query("g12_chains", f"""{FOREST}
@@ -467,30 +416,86 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of_each(rows).select("entry_module", "entry_name", "key_ctx")
 
 
-@query("j11_unmatched", f"""{STYLES}
-SELECT file, selector FROM first UNION ALL SELECT file, selector FROM second""")
+#: The rules of STYLES with the classes that part_nodes knows of each.
+KNOWN = f"""{STYLES},
+big AS (SELECT * FROM p WHERE p_size > 25),
+told AS (
+  SELECT file, selector, 'brand' AS class, true AS known FROM first
+  UNION ALL SELECT file, selector, 'size-' || p_size, p_size IN (SELECT p_size FROM big) FROM (SELECT DISTINCT file, p_size, '.brand > .size-' || p_size || ':hover' AS selector FROM p)
+  UNION ALL SELECT p.file, selector, kind, kind IN (SELECT kind FROM big) FROM p JOIN second USING (file, line)
+  UNION ALL SELECT p.file, selector, 'k' || p_partkey, p_size > 25 FROM p JOIN second USING (file, line)),
+notes AS (SELECT file, selector, list_sort(list_distinct(list(class) FILTER (known))) AS found, list_sort(list_distinct(list(class) FILTER (NOT known))) AS missing FROM told GROUP BY ALL)
+"""
+
+
+def _part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for each part above a size, with the classes of its rules."""
+    part = table(spark, sf_dir, "part").where("p_size > 25")
+    kind = F.lower(F.regexp_replace("p_type", "[^A-Za-z0-9]+", "-"))
+    found = facts(F.array(F.lit("brand"), F.concat(F.lit("size-"), F.col("p_size").cast("string")), kind, F.concat(F.lit("k"), F.col("p_partkey").cast("string"))))
+    return part.select(F.col("p_partkey").cast("string").alias("node_id"), F.lit("i").alias("tag"), F.lit(False).alias("repeat"), F.lit(False).alias("raw"), found.alias("facts"))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").dropDuplicates(["file", "selector"])
+    found = materialized(found.withColumn("sel_id", F.xxhash64("file", "selector")))
+    return diagnostics(found, selector_classes_of(found), class_postings(_part_nodes(spark, sf_dir))).join(found.select("sel_id", "file", "selector"), "sel_id")
+
+
+@query("j11_unmatched", f"{KNOWN} SELECT DISTINCT file, selector FROM told WHERE NOT known")
 def unmatched_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").withColumn("sel_id", F.xxhash64("file", "line", "selector"))
-    wanted = selector_classes_of(found)
-    known = class_postings(nodes_of(forest(spark, sf_dir))).select("class").distinct()
-    missing = wanted.join(known, "class", "left_anti").select("sel_id").distinct()
+    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").dropDuplicates(["file", "selector"]).withColumn("sel_id", F.xxhash64("file", "selector"))
+    known = class_postings(_part_nodes(spark, sf_dir)).select("class").distinct()
+    missing = selector_classes_of(found).join(known, "class", "left_anti").select("sel_id").distinct()
     return found.join(missing, "sel_id", "left_semi").select("file", "selector")
 
 
-@query("a16_diagnostics", f"""{STYLES}
-SELECT 'no class is in the graph' AS note, count(*) AS n FROM (SELECT selector FROM first UNION ALL SELECT selector FROM second)""")
+@query("a16_diagnostics", f"""{KNOWN}
+SELECT CASE WHEN found IS NULL THEN 'no class is in the graph' WHEN missing IS NOT NULL THEN 'some classes are not in the graph'
+            ELSE 'all classes are in the graph, not in this structure' END AS note, count(*) AS n FROM notes GROUP BY 1""")
 def notes_of_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selectors(part_styles(spark, sf_dir)).where("segments IS NOT NULL").withColumn("sel_id", F.xxhash64("file", "line", "selector"))
-    found = materialized(found)
-    notes = diagnostics(found, selector_classes_of(found), class_postings(nodes_of(forest(spark, sf_dir))))
-    return notes.groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+    return _notes(spark, sf_dir).groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+
 
+@query("o4_sorted_classes", f"{KNOWN} SELECT file, selector, coalesce(array_to_string(found, ','), '') AS found, coalesce(array_to_string(missing, ','), '') AS missing FROM notes")
+def sorted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _notes(spark, sf_dir).select("file", "selector", F.array_join("found", ",").alias("found"), F.array_join("missing", ",").alias("missing"))
 
-@query("j10_evidence_join", """SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1""")
+
+@query("j10_evidence_join", """SELECT 'is-' || x AS class, CASE WHEN x IN (SELECT o_orderstatus FROM orders) THEN 'runtime_matched' ELSE 'unmatched' END AS bucket
+FROM (SELECT o_orderstatus AS x FROM orders UNION SELECT l_returnflag FROM lineitem)""")
 def evidence_of_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = script_evidence(_order_scripts(spark, sf_dir)).where("startswith(token, 'is-')")
-    wanted = table(spark, sf_dir, "orders").select(F.concat(F.lit("is-"), "o_orderstatus").alias("token")).distinct()
-    return wanted.join(told, "token").groupBy(F.substring("token", 4, 1).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    flags = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("x")).union(table(spark, sf_dir, "lineitem").select("l_returnflag")).distinct()
+    wanted = flags.select(F.xxhash64("x").alias("sel_id"), F.concat(F.lit("is-"), "x").alias("class"))
+    segment = F.struct(F.array("class").alias("classes"), F.array().cast("array<string>").alias("not_classes"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("combinator"), F.lit(False).alias("wildcard"))
+    none = wanted.select("sel_id", F.lit("match").alias("result")).limit(0)
+    found = buckets(wanted.select("sel_id", F.array(segment).alias("segments")), none, wanted.withColumn("in_graph", F.lit(False)), script_evidence(_order_scripts(spark, sf_dir)))
+    return found.join(wanted, "sel_id").select("class", "bucket")
+
+
+@query("o2_evidence_order", """SELECT token, arg_min(file, file) AS first_file, arg_max(file, file) AS last_file FROM (
+  SELECT 'is-' || o_orderstatus AS token, 'o' || o_orderkey || '.js' AS file FROM orders UNION ALL SELECT 'prio', 'o' || o_orderkey || '.js' FROM orders
+  UNION ALL SELECT regexp_replace(o_orderpriority, '[^A-Za-z]+', '', 'g'), 'o' || o_orderkey || '.js' FROM orders) GROUP BY token""")
+def evidence_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence_report(script_evidence(_order_scripts(spark, sf_dir)))
+    return rows.select("token", F.element_at("uses", 1)["file"].alias("first_file"), F.element_at("uses", -1)["file"].alias("last_file"))
+
+
+@query("s19_script_files", "SELECT CASE s_nationkey % 4 WHEN 0 THEN 'assets/js/' WHEN 1 THEN 'assets/vendor/' WHEN 2 THEN 'assets/node_modules/x/' ELSE 'lib/' END || 's' || s_suppkey || CASE s_nationkey % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.mjs' ELSE '.ts' END AS path FROM supplier WHERE s_nationkey % 4 <> 2 AND s_nationkey % 3 <> 2")
+def files_of_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("s_nationkey")
+    folder = F.when(nation % 4 == 0, "assets/js/").when(nation % 4 == 1, "assets/vendor/").when(nation % 4 == 2, "assets/node_modules/x/").otherwise("lib/")
+    end = F.when(nation % 3 == 0, ".js").when(nation % 3 == 1, ".mjs").otherwise(".ts")
+    return script_files(table(spark, sf_dir, "supplier").select(F.concat(folder, F.lit("s"), F.col("s_suppkey").cast("string"), end).alias("path"))).select("path")
+
+
+@query("p13_dynamic_option", f"""{FOREST}
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'dynamic' ELSE 'none' END AS kind, o_orderstatus = 'F' AS open, count(*) AS n FROM o GROUP BY ALL""")
+def open_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.when(F.col("o_orderstatus") == "F", F.array(dyn("variable", "late"))).otherwise(F.array().cast("array<struct<reason:string,expr:string,chain:string>>"))
+    found = facts(None, None, F.array(F.array(option(strings("prio-high")), option(strings("prio-none"), some))))
+    rows = table(spark, sf_dir, "orders").select(holds_classes(found, strings("prio-none", "late")).alias("kind"), open_option(found, strings("prio-none")).alias("open"))
+    return rows.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), "open").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("o3_in_order", f"""{STYLES} SELECT file, line, count(*) AS n FROM (SELECT file, line FROM first UNION ALL SELECT file, line FROM second) GROUP BY ALL""")
@@ -573,6 +578,9 @@ def unresolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("u.tag").alias("tag"), F.col("u.reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+from . import component_queries  # noqa: E402,F401  registers the others
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
