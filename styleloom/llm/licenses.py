@@ -17,8 +17,8 @@ SHINGLE, CONTAINED = 3, 0.8
 RECALL = 0.9999
 #: MinHash values in a band.
 ROWS = 1
-#: Bits of a filter for each shingle that it holds, and bytes of templates up to which they are broadcast; more are joined by a shuffle.
-FILTER_SHARE, BROADCAST_BYTES = 64, 64 << 20
+#: Bytes of templates up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 #: Short notices by which texts state a license. standard() adds to them; other templates are a parameter.
 TEMPLATES = {
@@ -168,20 +168,9 @@ def licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str, s
 
 
 def in_filter(hashes: set[int]) -> Callable[[Column], Column]:
-    """Whether a hash may be one of these: a bit for the upper bits of each, in one constant array, however many there are."""
-    bits = max(10, (FILTER_SHARE * len(hashes)).bit_length())
-    held = [0] * (1 << bits - 6)
-    for h in hashes:
-        place = (h & (1 << 64) - 1) >> 64 - bits
-        held[place >> 6] |= 1 << (place & 63)
-    array = F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in held)), ",").cast("array<bigint>")
-
-    def test(h: Column) -> Column:
-        place = F.shiftrightunsigned(h, 64 - bits)
-        word = F.get(array, F.shiftrightunsigned(place, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return test
+    """Whether a hash is one of these: a constant set in the plan, as large as the given templates ask for."""
+    known = sorted(hashes)
+    return lambda h: h.isin(known)
 
 
 def _window(sh: Column, g: int, width: int) -> Callable[[Column], Column]:
