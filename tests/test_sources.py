@@ -4,7 +4,7 @@ from styleloom.functions.expressions import analyze, facts_of
 from styleloom.operators.rewrite import invalidate_keyframes, invalidate_selectors, invalidated_files, remove_keyframes, remove_selectors, restore_keyframes, restore_selectors, restored_files
 from styleloom.plans.graph import load_graph, merged_cycles
 from styleloom.plans.registry import functions_of, local_lookup, remote_lookup
-from styleloom.plans.resolve import graph_document
+from styleloom.plans.resolve import component_cycles, graph_document
 from styleloom.sources.markup import Expr, build_tree, parse_markup, tokenize
 from styleloom.sources.modules import clauses, modules, parse_modules
 from styleloom.sources.scripts import literals
@@ -143,3 +143,13 @@ def test_rewrites(spark):
 def test_cycles_merge(spark):
     df = spark.createDataFrame([(["a", "b"], None, "t"), (["a", "b"], ".x", None)], "path array<string>, callsite_tag string, type string")
     assert [tuple(r) for r in merged_cycles(df).collect()] == [(["a", "b"], ".x", "t")]
+
+
+def test_component_cycles():
+    """Each way back once, from the entry that came there first; slot content is followed too, missing trees are not."""
+    def calls(*refs, **slots):
+        return {"component_refs": list(refs), "slot_children_by_name": slots}
+
+    trees = {"a": [{"children": [calls("b", "gone")]}], "b": [calls("c", inner_block=[calls("a")])], "c": [calls("c"), calls("c")], "d": [calls("b")]}
+    assert [c["path"] for c in component_cycles(trees)] == [["a", "b", "c", "c"], ["a", "b", "a"]]
+    assert component_cycles({"a": [{"slot_name": "x"}]}) == []
