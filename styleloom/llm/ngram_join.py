@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import U, checkpointed, connected_components, mix, pieces, shingle_sets, stored, texts_of, words_of
 
-#: Cells of the frequency sketch (its size is the same for any corpus), and cells in one of its rows.
-CELLS, BLOCK = 1 << 20, 1 << 16
+#: Bits of a shingle by which it is counted, parts of their range that are counted apart, shingles that a task packs at once.
+BITS, RANGES, PACKED = 36, 1024, 1 << 20
+#: Cells of the table of frequent shingles, the share of them that may be in use, and how often any other shingle occurs at most.
+CELLS, FILLED, SELDOM = 1 << 24, 1 / 8, 8
+#: What a cell holds is this many times the binary logarithm of a frequency.
+FINE = 8
+FREQUENCY = np.concatenate([[0], 2 ** (np.arange(1, 256) / FINE)])
 #: Up to so many documents that share a prefix shingle are paired; more are tied to one of them and compared in a block.
 PAIRED = 32
 #: A null doc_id takes this key, the largest, so that no other document has it for its component.
@@ -42,13 +47,17 @@ def pair_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 LADDER = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 1536, 2048])
 
 
-def matches_asked(frequency: np.ndarray, percent: int) -> int:
-    """The l of a set whose shingles have these estimated frequencies beyond the set itself, in their order."""
+def matches_asked(frequency: np.ndarray, percent: int, paired: float = float("inf")) -> int:
+    """The l of a set whose shingles have these estimated frequencies beyond the set itself, in their order.
+
+    Where over ``paired`` others have a shingle, all of them are compared, however many shingles they share.
+    """
     n = len(frequency)
     base = n - int(needed(np.int64(n), percent))
     ladder = LADDER[: max(1, int(np.searchsorted(LADDER, n - base, "right")))]
-    reached = np.cumsum(np.maximum(frequency, CHANCE))[base + ladder - 1]
-    return int(ladder[np.argmin(base + ladder + COMPARE * n * reached / ladder)])
+    tied = frequency * (frequency > paired)
+    reached = np.cumsum(np.maximum(frequency, CHANCE) - tied)[base + ladder - 1] / ladder + np.cumsum(tied)[base + ladder - 1]
+    return int(ladder[np.argmin(base + ladder + COMPARE * n * reached)])
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
@@ -64,44 +73,93 @@ def _named(sets: list[np.ndarray], salt: int) -> np.ndarray:
     return mix(total[ends[1:]] - total[ends[:-1]] + n.astype(U))
 
 
+_SURVEY = pa.schema([("to", pa.int32()), ("size", pa.int64()), ("counts", pa.binary()), *[(c, pa.int64()) for c in ("key", "a", "n", "hi", "lo")]])
+
+
 def _survey(k: int):
-    """The size and two hashes of each document's set, and the task's share of the frequency sketch."""
+    """The size and two hashes of each document's set, and all shingles, sorted and packed by the range that counts them."""
+
+    def packed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        cut = np.sort(np.concatenate(sets) >> U(64 - BITS))
+        ends = np.searchsorted(cut, np.arange(RANGES + 1, dtype=U) * U((1 << BITS) // RANGES))
+        cut = (cut % U((1 << BITS) // RANGES)).astype(np.uint32)
+        to = np.flatnonzero(np.diff(ends))
+        rows = []
+        for r in to.tolist():
+            steps = np.diff(cut[ends[r] : ends[r + 1]], prepend=np.uint32(0))
+            rows.append(pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True))  # the bytes of a kind together
+        none = pa.nulls(len(to), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.diff(ends)[to]), pa.array(rows, pa.binary()), *[none] * 5], schema=_SURVEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        held: list[np.ndarray] = []
+        size = number = 0
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = _sets(batch, k)
-                flat = np.concatenate(sets) if sets else np.zeros(0, U)
-                sketch += np.bincount((flat >> U(44)).astype(np.int64), minlength=CELLS).astype(np.int32)
                 n = np.array([len(s) for s in sets], np.int64)
+                held, size = held + sets, size + int(n.sum())
                 hashes = [_named(sets, salt).view(np.int64) for salt in (0x51, 0xA7)]
-                none = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), pa.array(n), pa.array(hashes[0]), pa.array(hashes[1]), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
-        used = [b for b in range(CELLS // BLOCK) if sketch[b * BLOCK : (b + 1) * BLOCK].any()]
-        for b in used:
-            part = [pa.nulls(1, pa.int64())] * 5 + [pa.array([b], pa.int32()), pa.array([sketch[b * BLOCK : (b + 1) * BLOCK].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(part, schema=schema)
-
-    return run, "key long, a long, n long, hi long, lo long, block int, counts binary"
+                to = (np.arange(number, number + len(n)) % RANGES).astype(np.int32)  # in turn, so that no task gets many
+                number += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), batch.column("key"), batch.column("a"), *[pa.array(x) for x in (n, *hashes)]], schema=_SURVEY)
+                if size >= PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run, "to int, size long, counts binary, key long, a long, n long, hi long, lo long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of _survey sorted by where they go: those of documents, and of each range its part of the table of frequent shingles."""
+    wide = CELLS // RANGES
+    now, held = -1, []
+
+    def ready() -> pa.RecordBatch:
+        shingles = np.sort(np.concatenate(held))
+        start = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+        times = np.diff(np.append(start, len(shingles)))
+        often = times > SELDOM
+        cells = np.zeros(wide, np.uint8)
+        at = shingles[start[often]] // np.uint32((1 << BITS) // CELLS)
+        np.maximum.at(cells, at, np.minimum(np.rint(FINE * np.log2(times[often])), 255).astype(np.uint8))
+        row = [pa.array([now], pa.int32()), pa.array([wide], pa.int64()), pa.array([pa.compress(cells.tobytes(), "zstd", asbytes=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays([*row, *[pa.nulls(1, pa.int64())] * 5], schema=_SURVEY)
 
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for b, x in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-            total.setdefault(b, np.zeros(BLOCK, np.int64))
-            total[b] += np.frombuffer(x.as_buffer(), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["block", "counts"])
-
-
-def _prefixes(k: int, percent: int, sketch):
+        counts = batch.column("counts")
+        yield batch.filter(counts.is_null())
+        for to, size, packed in zip(batch.column("to").to_pylist(), batch.column("size").to_pylist(), counts, strict=True):
+            if not packed.is_valid:
+                continue
+            if to != now and held:
+                yield ready()
+                held = []
+            now = to
+            steps = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * size, "zstd"), np.uint8).reshape(4, -1).T
+            held.append(np.cumsum(np.ascontiguousarray(steps).view(np.uint32).ravel(), dtype=np.uint32))
+    if held:
+        yield ready()
+
+
+def _frequent(surveyed: DataFrame) -> np.ndarray:
+    """The table of frequent shingles: CELLS bytes for any corpus. Where too many cells are in use, the least frequent go."""
+    table = np.zeros(CELLS, np.uint8)
+    wide = CELLS // RANGES
+    for r in surveyed.where("counts IS NOT NULL").select("to", "counts").collect():
+        table[r["to"] * wide : (r["to"] + 1) * wide] = np.frombuffer(pa.decompress(bytes(r["counts"]), wide, "zstd"), np.uint8)
+    used = np.cumsum(np.bincount(table, minlength=256)[::-1])[::-1]  # cells with this number or more
+    table[table <= np.argmax(np.append(used[1:], 0) <= FILLED * CELLS)] = 0
+    return table
+
+
+def _prefixes(k: int, percent: int, frequent):
     """A row for each shingle in the prefix of each document: (shingle, set, size, l)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sketch.value
-        noise = seen.sum() / CELLS
+        table = frequent.value
         dealt: set[int] = set()  # sets that this task has dealt, so that copies are not dealt again; forgotten now and then
         for whole in batches:
             for batch in pieces(whole, "text"):
@@ -116,9 +174,9 @@ def _prefixes(k: int, percent: int, sketch):
                     if len(dealt) > 200_000:
                         dealt.clear()
                     dealt.add(int(lo[0]))
-                    f = seen[(s >> U(44)).astype(np.int64)]
+                    f = table[(s // U((1 << 64) // CELLS)).astype(np.int64)]
                     order = np.lexsort((s, f))
-                    asked = matches_asked(f[order] - noise - 1, percent)
+                    asked = matches_asked(FREQUENCY[f[order]] - 1, percent, PAIRED)
                     p = n - int(needed(np.int64(n), percent)) + asked
                     rows.append((s[order[:p]], np.repeat(lo, p), n, asked))
                 if rows:
@@ -294,14 +352,11 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     """
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("key", F.xxhash64("text").alias("a"), "text")
-    surveyed = checkpointed(rows.mapInArrow(*_survey(k)))
-    found = surveyed.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(_summed, "block int, counts binary").collect()
-    sketch = np.zeros(CELLS, np.int64)  # CELLS numbers, whatever the corpus
-    for r in found:
-        sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    members = surveyed.where("block IS NULL").select("key", "a", "n", "hi", "lo")
+    survey, fields = _survey(k)
+    surveyed = stored(rows.mapInArrow(survey, fields).repartition("to").sortWithinPartitions("to").mapInArrow(_counted, fields))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(surveyed))
+
+    members = surveyed.where("counts IS NULL").select("key", "a", "n", "hi", "lo")
     classes = members.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("key", "a")).alias("rep"), F.first("n").alias("n"))
     classes = classes.select("hi", "lo", "rep.key", "rep.a", "n")
 

@@ -236,6 +236,31 @@ def test_stars_of_long_lists(monkeypatch):
         assert seen == set(range(40))
 
 
+def test_frequent_shingles_are_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PACKED", 1000)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    common = {m: " ".join(word() for _ in range(4)) for m in (9, 40, 300)}
+    texts = [" ".join([*(c for m, c in common.items() if i < m), *(word() for _ in range(40))]) for i in range(400)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "key long, a long, text string")
+    survey, fields = ngram_join._survey(4)
+    surveyed = df.mapInArrow(survey, fields).repartition("to").sortWithinPartitions("to").mapInArrow(ngram_join._counted, fields)
+    table = ngram_join._frequent(surveyed)
+    cell = lambda t: int(ngram_join._sets(pa.RecordBatch.from_pydict({"text": [t]}), 4)[0][0]) // (2**64 // ngram_join.CELLS)
+    for m, c in common.items():
+        assert abs(ngram_join.FREQUENCY[table[cell(c)]] / m - 1) < 0.1
+    seldom = [" ".join(t.split()[-4:]) for t in texts]
+    assert sum(bool(table[cell(t)]) for t in seldom) < 4
+    assert sorted(r["key"] for r in surveyed.where("counts IS NULL").select("key").collect()) == list(range(400))
+
+
+def test_prefixes_avoid_long_lists():
+    few = np.concatenate([np.zeros(60), np.full(40, 500.0)])
+    asked = ngram_join.matches_asked(few, 85, ngram_join.PAIRED)
+    assert 15 + asked <= 60
+    assert ngram_join.matches_asked(np.full(100, 500.0), 85, ngram_join.PAIRED) == 1
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7), (500, 400)]
