@@ -254,6 +254,29 @@ def test_frequent_shingles_are_counted_one_by_one(spark, monkeypatch):
     assert sorted(r["key"] for r in surveyed.where("counts IS NULL").select("key").collect()) == list(range(400))
 
 
+def test_a_full_table_keeps_the_most_frequent_shingles(monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    common = {m: " ".join(word() for _ in range(5)) for m in (12, 50, 300)}
+    texts = [" ".join([*(c for m, c in common.items() if i < m), word()]) for i in range(300)]
+    column = {"key": range(300), "a": [0] * 300, "text": texts}
+    survey, _ = ngram_join._survey(5)
+    rows = pa.Table.from_batches(survey(iter([pa.RecordBatch.from_pydict({c: list(v) for c, v in column.items()})]))).sort_by("to")
+    counted = pa.Table.from_batches(ngram_join._counted(iter(rows.to_batches(max_chunksize=7)))).to_pylist()
+
+    class Counted:
+        where = select = lambda self, *_: self
+        collect = lambda self: [r for r in counted if r["counts"] is not None]
+
+    assert len(counted) - len(Counted().collect()) == 300
+    cells = {m: int(ngram_join._sets(pa.RecordBatch.from_pydict({"text": [c]}), 5)[0][0]) // (2**64 // ngram_join.CELLS) for m, c in common.items()}
+    table = ngram_join._frequent(Counted())
+    assert all(abs(ngram_join.FREQUENCY[table[cells[m]]] / m - 1) < 0.1 for m in cells)
+    monkeypatch.setattr(ngram_join, "FILLED", int(np.count_nonzero(table >= table[cells[50]])) / ngram_join.CELLS)
+    table = ngram_join._frequent(Counted())
+    assert [bool(table[cells[m]]) for m in (12, 50, 300)] == [False, True, True]
+
+
 def test_prefixes_avoid_long_lists():
     few = np.concatenate([np.zeros(60), np.full(40, 500.0)])
     asked = ngram_join.matches_asked(few, 85, ngram_join.PAIRED)
