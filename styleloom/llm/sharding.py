@@ -12,8 +12,8 @@ from .common import stored
 
 #: Buckets of rows that are numbered apart from each other; twice as many are the bound of what the driver reads.
 BUCKETS = 8192
-#: Values of a string dimension that the driver reads: a sample by hash, and the most frequent.
-SAMPLE, HEAVY = 8192, 1024
+#: Distinct values of a dimension that are summed together, and ranges of them at most, whose sums the driver reads.
+TOGETHER, HEAVY = 8192, 1024
 
 
 def curve_steps(dims: int) -> tuple[list[int], list[int]]:
@@ -58,25 +58,28 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["h"])
 
 
-def _string_cuts(docs: DataFrame, column: str, shares: list[float]) -> list[str]:
-    """The values of a string column at these shares of its rows, in the order of the whole strings; null comes first.
+def _cuts(docs: DataFrame, value: Column, shares: list[float]) -> list:
+    """The values at these shares of the rows, in their order (of strings, the whole strings); null comes first and is no cut.
 
-    Exact for up to SAMPLE distinct values. Of more, the HEAVY most frequent count as they are, and a sample
-    by hash stands for the rest.
+    Exact for any number of distinct values: these are counted and dealt to ranges, the driver reads the sum of each
+    range, and a running sum over the ranges that hold a cut, one for each share at most, finds the values.
     """
-    counts = docs.groupBy(F.col(f"`{column}`").alias("v")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    heavy = {r["v"]: r["count"] for r in counts.orderBy(F.desc("count"), "v").limit(HEAVY).collect()}
-    light = {r["v"]: r["count"] for r in counts.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect() if r["v"] not in heavy}
-    scale = (total - sum(heavy.values())) / max(1, sum(light.values()))
-    weights = heavy | {v: n * scale for v, n in light.items()}
-    cuts, before, left = [], 0.0, list(shares)
-    for v in sorted(weights, key=lambda v: (v is not None, v or "")):
-        before += weights[v]
-        while left and before >= left[0] * total:
-            left.pop(0)
-            cuts.append(v)
-    return [v for v in dict.fromkeys(cuts) if v is not None]
+    counts = stored(docs.groupBy(value.alias("v")).count())
+    distinct, total = counts.agg(F.count(F.lit(1)), F.sum("count")).first()
+    if not total:
+        return []
+    ranges = min(HEAVY, -(-distinct // TOGETHER))
+    ranged = stored(counts.repartitionByRange(ranges, "v").select("v", "count", F.spark_partition_id().alias("range")))
+    left, before, held, cut = [s * total for s in shares], 0, [], F.lit(False)
+    until = F.sum("count").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    for r, n in sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("count").alias("n")).collect()):
+        while left and before + n >= left[0]:
+            rest = left.pop(0) - before
+            held.append(r)
+            cut |= (F.col("range") == r) & (F.col("until") >= rest) & (F.col("until") - F.col("count") < rest)
+        before += n
+    found = ranged.where(F.col("range").isin(held)).withColumn("until", until).where(cut & F.col("v").isNotNull())
+    return sorted(r["v"] for r in found.select("v").collect())
 
 
 def _step(value: Column, cuts: list) -> Column:
@@ -87,7 +90,7 @@ def _step(value: Column, cuts: list) -> Column:
 def shard_rows(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars"), bits: int = 4, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Return ``(doc_id, size, text_crc32, hilbert, shard, slot, row)`` under the law ``rows``: shards differ by one row at most.
 
-    Each dimension is cut at its approximate quantiles into 2**bits steps, a string by its whole value; the rows are ordered by the
+    Each dimension is cut at its exact quantiles into 2**bits steps, a string by its whole value; the rows are ordered by the
     Hilbert index of their cell, then by a hash of doc_id, metadata and text. Row r of N goes to shard
     floor(r * shards / N). ``row`` holds the columns ``keep`` (all of the input).
 
@@ -98,19 +101,15 @@ def shard_rows(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang
     No window spans the table: a cell of the curve with many rows is split by the hash into parts of
     N / 8192 rows or so, and a part that repeated rows make larger by the number that each row got when it
     was written. Parts are numbered apart, and the offsets (below 40,000 numbers, whatever the input) are
-    summed on the driver, which also reads up to SAMPLE + HEAVY values of each string dimension. The
+    summed on the driver, which also reads up to HEAVY sums and the cuts of each dimension. The
     table is read for the cuts (the dimensions only) and once to place it; what is placed is stored.
     """
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
     strings = [d for d in dims if isinstance(kinds[d], T.StringType)]
     values = {d: F.col(f"`{d}`") if d in strings else F.coalesce(F.col(f"`{d}`").cast("double"), F.lit(float("-inf"))) for d in dims}
-    numbers = {d: F.percentile_approx(f"n{i}", steps, 1000).alias(d) for i, d in enumerate(dims) if d not in strings}
-    cuts = {d: _string_cuts(docs, d, steps) for d in strings}
-    if numbers:
-        found = docs.select(*[values[d].alias(f"n{i}") for i, d in enumerate(dims) if d in numbers]).agg(*numbers.values()).first()
-        cuts |= dict(zip(numbers, found, strict=True))
-    cells = [_step(values[d], cuts[d] or []) for d in dims]
+    cuts = {d: _cuts(docs, values[d], steps) for d in dims}
+    cells = [_step(values[d], cuts[d]) for d in dims]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     placed = stored(
         docs.select(

@@ -483,6 +483,20 @@ def test_sharding_tells_long_strings_apart(spark, monkeypatch):
     assert len(sizes) == 16 and max(sizes.values()) < 150
 
 
+def test_sharding_cuts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOGETHER", 200, raising=False)
+    rng = random.Random(8)
+    names = [f"s{rng.randrange(10**9)}" for _ in range(12_000)] + [None] * 900 + ["s5"] * 2000
+    numbers = [rng.randrange(1000) for _ in names]
+    df = spark.createDataFrame(list(zip(range(len(names)), ["t"] * len(names), names, numbers, strict=True)), "doc_id long, text string, source string, n long")
+    for column, values in (("source", names), ("n", numbers)):
+        ranked = sorted(values, key=lambda v: (v is not None, v or 0 if column == "n" else v or ""))
+        cuts = {ranked[-(-len(ranked) * k // 16) - 1] for k in range(1, 16)} - {None}
+        want = {i: sum(v is not None and v >= c for c in cuts) for i, v in enumerate(values)}
+        got = sharding.shard_rows(df, dims=(column,)).select("doc_id", "hilbert").collect()
+        assert {r["doc_id"]: r["hilbert"] for r in got} == want
+
+
 def test_hilbert_curve():
     import itertools
 
