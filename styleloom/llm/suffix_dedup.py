@@ -26,6 +26,8 @@ SPAN = LENGTH - GRAM + 1  # GRAM-byte strings of a window
 LEVELS = 5
 #: Bytes that one suffix array is built over, and occurrences beyond which the windows of a hash are dealt by their own hashes.
 TOGETHER, HOT = 1 << 20, 4096
+#: Windows that are compared at a time.
+NEAR = 4096
 #: Contexts that a task remembers, so as not to deal equal ones again.
 REMEMBERED = 100_000
 
@@ -62,30 +64,31 @@ def suffix_order(s: np.ndarray, levels: int) -> np.ndarray:
     k = int(s.max(initial=0)) + 1
     if n < 3 or (k >= 1 << 21 and n < 8):
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    s = np.concatenate([s, np.zeros(4, np.int64)])
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
-    key = (s[sample] * k + s[sample + 1]) * k + s[sample + 2] if k < 1 << 21 else _pair(_pair(s[sample], s[sample + 1]), s[sample + 2])
-    order = np.argsort(key)
-    ranked = key[order]
+    s = np.concatenate([s, np.zeros(6, np.int64)])
+    s0, s1, s2, s3, s4 = (s[i::3] for i in range(5))
+    n0, n1, n2 = (n + 2) // 3, len(range(1, n + (n % 3 == 1), 3)), n // 3
+    parts = (s1[:n1], s2[:n1], s3[:n1]), (s2[:n2], s3[:n2], s4[:n2])
+    key = np.concatenate([(a * k + b) * k + c for a, b, c in parts]) if k < 1 << 21 else _triple(*[np.concatenate(p) for p in zip(*parts, strict=True)])
+    order, ranked = _sorted(key)
     new = np.ones(len(order), np.int64)
     new[1:] = ranked[1:] != ranked[:-1]
     names = np.empty(len(order), np.int64)
     names[order] = np.cumsum(new)
-    if levels > 1 and names[order[-1]] < len(sample):
+    if levels > 1 and names[order[-1]] < len(order):
         order = suffix_order(names, levels - 1)
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample[order]] = np.arange(1, len(order) + 1)
-    sorted_sample = sample[order]
+    rank = np.empty(n1 + n2, np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    rank1, rank2 = np.zeros(n0 + 2, np.int64), np.zeros(n0 + 2, np.int64)
+    rank1[:n1], rank2[:n2] = rank[:n1], rank[n1:]
+    ones, twos = order[order < n1], order[order >= n1] - n1
+    ones = ones[3 * ones + 1 < n]
+    sorted_sample = np.where(order < n1, 3 * order + 1, 3 * (order - n1) + 2)
     sorted_sample = sorted_sample[sorted_sample < n]
-    wide = len(sample) + 2
-    zero = np.arange(0, n, 3)
-    key = s[zero] * wide + rank[zero + 1]
-    by = np.argsort(key)
-    zero, key = zero[by], key[by]
-    ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    before = np.searchsorted(s[ones] * wide + rank[ones + 1], key)
-    before += np.searchsorted((s[twos] * k + s[twos + 1]) * wide + rank[twos + 2], (s[zero] * k + s[zero + 1]) * wide + rank[zero + 2])
+    wide = n1 + n2 + 2
+    by, key = _sorted(s0[:n0] * wide + rank1[:n0])
+    zero = 3 * by
+    before = np.searchsorted((s1[:n1] * wide + rank2[:n1])[ones], key)
+    before += np.searchsorted(((s2[:n2] * k + s3[:n2]) * wide + rank1[1 : n2 + 1])[twos], ((s0[:n0] * k + s1[:n0]) * wide + rank2[:n0])[by])
     out = np.empty(n, np.int64)
     # suffixes that no level told apart may come in any order, which the searches need not agree on
     at = np.arange(len(zero)) + np.maximum.accumulate(before)
@@ -96,6 +99,21 @@ def suffix_order(s: np.ndarray, levels: int) -> np.ndarray:
     return out
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of these numbers from 0 and the numbers in it; small ones are sorted together with their places, which is faster."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) < 1 << 63 - bits:
+        both = np.sort(key << bits | np.arange(len(key)))
+        return both & (1 << bits) - 1, both >> bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the triples (a, b, c)."""
+    return _pair(_pair(a, b), c)
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers in the order of the pairs (a, b)."""
     order = np.lexsort((b, a))
@@ -112,7 +130,7 @@ def first_windows(contexts: list[bytes], places: list[tuple[int, int, int]]) ->
     number = {d: i for i, d in enumerate(documents)}
     keys, starts = np.array([number[p[:2]] for p in places], np.int64), np.array([p[2] for p in places], np.int64)
     sizes = np.array([len(c) for c in contexts], np.int64)
-    text = np.frombuffer(b"\0".join(contexts) + b"\0" * 8, np.uint8)
+    text = np.frombuffer(b"\0".join(contexts) + b"\0" * LENGTH, np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     s = text[: begin[-1] + sizes[-1]].astype(np.int64) + 1
     s[(begin[1:] - 1)] = 0  # between contexts; bytes count from 1
@@ -122,14 +140,11 @@ def first_windows(contexts: list[bytes], places: list[tuple[int, int, int]]) ->
     flat = np.repeat(begin - np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows) + np.arange(n_windows.sum())
     owner[flat] = np.repeat(np.arange(len(contexts)), n_windows)
     order = order[owner[order] >= 0]
-    word = np.zeros(len(text) - 7, U)
-    for i in range(8):
-        word |= text[i : len(text) - 7 + i].astype(U) << U(8 * i)
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for o in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        part = word[order + o]
-        new[1:] |= part[1:] != part[:-1]
+    window = np.ndarray(len(s), f"V{LENGTH}", text, strides=(1,))
+    new = np.ones(len(order), bool)
+    for a in range(1, len(order), NEAR):  # so few that their windows stay in the cache
+        part = window[order[a - 1 : a + NEAR]].view(np.uint32).reshape(-1, LENGTH // 4)
+        new[a : a + NEAR] = (part[1:] != part[:-1]).any(axis=1)
     group = np.cumsum(new) - 1
     key, start = keys[owner[order]], (starts - begin)[owner[order]] + order
     by = np.lexsort((start, key, group))

@@ -363,6 +363,31 @@ def test_suffix_order():
             assert suffix_dedup.suffix_order(s, 30).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
+def test_sorted_with_places_and_without():
+    rng = np.random.default_rng(2)
+    for top in (1, 5, 1 << 40, 1 << 62):
+        key = rng.integers(0, top, 1000)
+        order, ranked = suffix_dedup._sorted(key)
+        assert ranked.tolist() == sorted(key.tolist()) == key[order].tolist()
+        assert sorted(order.tolist()) == list(range(1000))
+
+
+def test_windows_are_compared_across_parts(monkeypatch):
+    rng = random.Random(4)
+    contexts = [bytes(rng.choices(b"ab", k=130)) for _ in range(6)]
+    contexts += [c[i : i + 110] for i, c in enumerate(contexts)]
+    seen, want = set(), set()
+    for d, c in enumerate(contexts):
+        for i in range(len(c) - 99):
+            if c[i : i + 100] not in seen:
+                seen.add(c[i : i + 100])
+                want.add((d, i))
+    for near in (1, 2, 7, 4096):
+        monkeypatch.setattr(suffix_dedup, "NEAR", near)
+        got = suffix_dedup.first_windows(contexts, [(d, 0, 0) for d in range(len(contexts))])
+        assert {(d, s + i) for d, _, s, n in got for i in range(n)} == want
+
+
 def test_first_windows_of_contexts_and_of_windows_by_themselves():
     rng = random.Random(1)
     core = bytes(rng.randrange(97, 101) for _ in range(110))
