@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, checkpointed, connected_components, mix, pieces, shingle_sets, stored, texts_of, words_of
+from .common import U, checkpointed, connected_components, mix, pieces, shingle_sets, stored, sweeping, texts_of, words_of
 
 #: Bits of a shingle by which it is counted, parts of their range that are counted apart, shingles that a task packs at once.
 BITS, RANGES, PACKED = 36, 1024, 1 << 20
@@ -332,6 +332,7 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["u", "v"])
 
 
+@sweeping
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", tied: bool = True) -> DataFrame:
     """Return ``(key, a, n_shingles, root, component)`` for each row; documents link when 100 * intersection >= percent * union.
 
@@ -407,6 +408,7 @@ def digests(docs: DataFrame) -> DataFrame:
     return ngram_components(docs).select(F.nullif("key", none).alias("doc_id"), "n_shingles", F.nullif("component", none).alias("component_id"))
 
 
+@sweeping
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, unchanged: that of the smallest doc_id (null last), of several texts the one with the least hash.
 

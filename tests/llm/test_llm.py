@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,32 @@ def test_ngram_join(docs, rows, nothing, monkeypatch, k, percent, held):
         assert ngram_join.digests(nothing).count() == 0
 
 
+def test_ngram_join_lets_the_shuffles_of_finished_steps_go(spark, docs, monkeypatch):
+    """The shingles counted, the prefixes and the texts compared are never on disk together, however rarely the driver collects garbage."""
+    sc = spark.sparkContext._jsc.sc()
+    tracker, before, left = sc.env().mapOutputTracker(), [], []
+
+    def stays(shuffle):
+        return all(tracker.containsShuffle(shuffle) and not time.sleep(0.1) for _ in range(100))
+
+    def watched(step):
+        def run(df):
+            if before and len(left) < 3:
+                left.append(stays(before.pop()))
+            before[:] = [sc.newShuffleId() + 1]
+            out = step(df)
+            assert sc.newShuffleId() > before[0]
+            return out
+
+        return run
+
+    for step in ("stored", "connected_components"):
+        monkeypatch.setattr(ngram_join, step, watched(getattr(ngram_join, step)))
+    docs.count()  # the table itself is cached, and its shuffle stays
+    ngram_join.ngram_components(docs, 5, 80, tied=False)
+    assert left == [False] * 3
+
+
 def test_ngram_join_null_and_repeated_ids(spark):
     ship(spark)
     rng = random.Random(5)
