@@ -1,19 +1,16 @@
-"""Which function a call means: lookups as joins, and a registry for resolving trees."""
+"""Which function a call means: lookups as joins, and the part of their results that a tree asks for."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Modules that a ``use`` brings in besides the used one.
-IMPLIED = {"Phoenix.Component": ["Phoenix.Component"], "Phoenix.LiveView": ["Phoenix.Component", "Phoenix.LiveView"]}
+#: Modules that a ``use`` of a web module brings in besides the used one.
 WEB = ["Phoenix.Component"]
 
 
-def implied(used: str) -> list[str]:
-    return IMPLIED.get(used, WEB if used.endswith("Web") else [])
-
-
 def functions_of(clauses: DataFrame) -> DataFrame:
     """``(module, name, arity, ord, n_clauses, n_heex)``: one row for each function, numbered in the order of the sources."""
     return clauses.groupBy("module", "name", "arity").agg(
@@ -53,54 +50,67 @@ def remote_lookup(calls: DataFrame, modules: DataFrame, functions: DataFrame) ->
     calls = calls.select("caller", "target", "name").distinct()
     aliases = modules.select(F.col("module").alias("caller"), F.explode("aliases").alias("target", "full"))
     named = calls.join(aliases, ["caller", "target"], "left")
+    own = F.struct((F.col("arity") != 1).alias("other"), "ord")
     n = F.size(F.split("module", r"\."))
-    ends = functions.select("module").distinct().select("module", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(F.split("module", r"\."), -k, k), "."))).alias("end"))
+    ends = functions.select("name", "module", "arity", own.alias("own"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(F.split("module", r"\."), -k, k), "."))).alias("target"))
+    ends = ends.groupBy("target", "name").agg(F.min_by(F.struct("module", "arity", "own"), F.struct("module", "own")).alias("f"))  # one for each end, however many modules have it
     ways = [
         named.where("full IS NOT NULL").select("caller", "target", "name", F.col("full").alias("module"), F.lit(0).alias("prio")),
         calls.select("caller", "target", "name", F.col("target").alias("module"), F.lit(1).alias("prio")),
-        calls.join(ends, F.col("target") == F.col("end")).select("caller", "target", "name", "module", F.lit(2).alias("prio")),
     ]
-    every = ways[0].unionByName(ways[1]).unionByName(ways[2])
-    rank = F.struct("prio", "module", (F.col("arity") != 1).alias("other"), "ord")
-    found = every.join(functions, ["module", "name"]).select("caller", "target", "name", "module", "arity", rank.alias("rank"))
-    return _best(found, ["caller", "target", "name"])
+    found = ways[0].unionByName(ways[1]).join(functions, ["module", "name"]).select("caller", "target", "name", "module", "arity", F.struct("prio", "module", own.alias("own")).alias("rank"))
+    last = calls.join(ends, ["target", "name"]).select("caller", "target", "name", "f.module", "f.arity", F.struct(F.lit(2).alias("prio"), "f.module", "f.own").alias("rank"))
+    return _best(found.unionByName(last), ["caller", "target", "name"])
+
+
+def lookups(calls: DataFrame, modules: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(caller, target, name, module, arity)`` for ``calls(caller, target, name)``, local where the target is null; of a module that is defined twice the last counts."""
+    told = F.struct("module", "source_file", "imports", "uses", "aliases")
+    modules = modules.where("module IS NOT NULL").groupBy("module").agg(F.max_by(told, F.struct("source_file", "pos")).alias("m")).select("m.*")
+    near = local_lookup(calls.where("target IS NULL").select("caller", "name"), modules, functions)
+    far = remote_lookup(calls.where("target IS NOT NULL"), modules, functions)
+    return near.select("caller", F.lit(None).cast("string").alias("target"), "name", "module", "arity").unionByName(far.select("caller", "target", "name", "module", "arity"))
+
+
+def is_raw(target: list[str] | None, name: str) -> bool:
+    """Whether a call is that of ``raw`` itself."""
+    return name == "raw" and (target is None or target[-1] == "HTML")
+
+
+class Asked:
+    """Stands for a registry, to tell what a tree asks of it: every function is there and has no clauses."""
+
+    def __init__(self):
+        self.calls: dict[tuple[str | None, str], None] = {}
+        self.clauses: dict[tuple, list[dict]] = defaultdict(list)
+
+    def local(self, caller: str | None, name: str) -> tuple[str, int]:
+        return self.remote(caller, None, name)
+
+    def remote(self, caller: str | None, target: str | None, name: str) -> tuple[str, int]:
+        self.calls[target, name] = None
+        return "", 0
+
+    def find(self, caller: str | None, target: list[str] | None, name: str) -> tuple[str, int]:
+        return self.remote(caller, ".".join(target) if target is not None else None, name)
 
 
-class Registry:
-    """The same lookups in memory, with what functions return, for tasks that resolve trees."""
+class Told:
+    """The part of the registry that one tree asks for: its calls, and each function it comes to with the calls that function makes."""
 
-    def __init__(self, modules: list[dict], clauses: list[dict]):
-        self.modules = {m["module"]: m for m in modules if m["module"]}
-        self.functions: dict[str, dict[str, list[int]]] = {}
+    def __init__(self, caller: str | None, calls: list[dict], functions: list[dict]):
+        self.calls = {(caller, c.get("target"), c["name"]): (c["module"], c["arity"]) for c in calls}
         self.clauses: dict[tuple, list[dict]] = {}
-        self.last: dict[str, tuple[str, int]] = {}
-        for c in sorted(clauses, key=lambda c: (c["source_file"], c["pos"])):
-            arities = self.functions.setdefault(c["module"], {}).setdefault(c["name"], [])
-            if c["arity"] not in arities:
-                arities.append(c["arity"])
-                self.last[c["name"]] = c["module"], c["arity"]
-            self.clauses.setdefault((c["module"], c["name"], c["arity"]), []).append(c)
-        self.ends: dict[str, list[str]] = {}
-        for m in sorted(self.functions):
-            parts = m.split(".")
-            for k in range(1, len(parts) + 1):
-                self.ends.setdefault(".".join(parts[-k:]), []).append(m)
-
-    def inside(self, module: str, name: str) -> tuple[str, int] | None:
-        arities = self.functions.get(module, {}).get(name)
-        return (module, 1 if 1 in arities else arities[0]) if arities else None
+        for f in functions:
+            self.calls |= {(f["module"], c.get("target"), c["name"]): (c["module"], c["arity"]) for c in f["calls"]}
+            tail = '[[null, "raw"]]' if f["raw"] else "[]"
+            self.clauses[f["module"], f["name"], f["arity"]] = [{"heex": "" if i < f["n_heex"] else None, "returns": r.get("returns"), "tail": tail} for i, r in enumerate(f["told"])]
 
     def local(self, caller: str | None, name: str) -> tuple[str, int] | None:
-        info = self.modules.get(caller) or {}
-        near = [caller, *(info.get("imports") or [])]
-        for used in info.get("uses") or []:
-            near += [used, *implied(used)]
-        return next((f for m in near if (f := self.inside(m, name))), self.last.get(name))
+        return self.calls.get((caller, None, name))
 
     def remote(self, caller: str | None, target: str, name: str) -> tuple[str, int] | None:
-        aliases = (self.modules.get(caller) or {}).get("aliases") or {}
-        near = [aliases.get(target, target), target, *self.ends.get(target, [])]
-        return next((f for m in near if (f := self.inside(m, name))), None)
+        return self.calls.get((caller, target, name))
 
     def find(self, caller: str | None, target: list[str] | None, name: str) -> tuple[str, int] | None:
-        return self.local(caller, name) if target is None else self.remote(caller, ".".join(target), name)
+        return self.calls.get((caller, ".".join(target) if target is not None else None, name))

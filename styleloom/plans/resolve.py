@@ -15,10 +15,11 @@ from ..functions.elixir import SyntaxFault, parse
 from ..functions.expressions import analyze, dynamic, facts_of
 from ..sources.markup import Element, Expr, parse_markup
 from ..sources.modules import clauses, embedded, modules, standalone
-from .registry import Registry
+from .persist import dealt, materialized
+from .registry import Asked, Told, functions_of, is_raw, lookups
 
-#: How deep calls of class helpers are followed; the size of a registry that is broadcast.
-MAX_DEPTH, REGISTRY_BYTES = 10, 64 << 20
+#: How deep calls of class helpers are followed.
+MAX_DEPTH = 10
 ARROW = " → "
 
 
@@ -36,7 +37,7 @@ def _variant(v: dict) -> dict:
 class Resolver:
     """Trees of one registry."""
 
-    def __init__(self, registry: Registry):
+    def __init__(self, registry: Asked | Told):
         self.registry = registry
 
     # classes
@@ -104,7 +105,7 @@ class Resolver:
 
     def raw(self, target: list[str] | None, name: str, caller: str | None, visited: frozenset = frozenset()) -> bool:
         """Whether a call gives raw markup: ``raw`` itself, or a helper that ends in such a call."""
-        if name == "raw" and (target is None or target[-1] == "HTML"):
+        if is_raw(target, name):
             return True
         found = self.registry.find(caller, target, name)
         if found is None or (found, name) in visited:
@@ -177,37 +178,107 @@ class Resolver:
         return self.children(parse_markup(heex), assigns, caller, ref, open_), open_
 
 
-def registry_of(found_modules: DataFrame, found_clauses: DataFrame) -> Registry:
-    """The registry on the driver; more than REGISTRY_BYTES of it is an error, since every task holds a copy."""
-    thin = found_clauses.select("module", "source_file", "name", "arity", "clause", F.when(F.col("heex").isNotNull(), F.lit("")).alias("heex"), "returns", "tail", "pos")
-    size = thin.agg(F.sum(F.length("module") + F.length("name") + F.coalesce(F.length("returns"), F.lit(0)) + F.coalesce(F.length("tail"), F.lit(0)))).first()[0] or 0
-    if size > REGISTRY_BYTES:
-        raise ValueError(f"the registry has {size} bytes, over {REGISTRY_BYTES}")
-    return Registry([r.asDict() for r in found_modules.collect()], [r.asDict() for r in thin.collect()])
+def _function_calls(found_clauses: DataFrame) -> DataFrame:
+    """``(module, name, arity, tail, target, callee, is_raw)``: the calls in what functions return, and those that they end in (``tail``)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for c in frame.itertuples(index=False):
+                nested = [(v["module"], v["name"]) for v in json.loads(c.returns) if isinstance(v, dict)] if c.returns is not None else []
+                for tail, calls in ((False, nested), (True, json.loads(c.tail))):
+                    rows += [(c.module, c.name, c.arity, tail, None if t is None else ".".join(t), n, is_raw(t, n)) for t, n in calls]
+            yield pd.DataFrame(rows, columns=["module", "name", "arity", "tail", "target", "callee", "is_raw"])
+
+    thin = found_clauses.select("module", "name", "arity", "returns", "tail")
+    return thin.mapInPandas(run, "module string, name string, arity int, tail boolean, target string, callee string, is_raw boolean").distinct()
+
+
+FUNCTION = ["module", "name", "arity"]
+
+
+def _reached(steps: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """``start(a..., b...)`` with what its ``b`` leads to over ``steps(b..., c...)``, in ``most`` steps if that is given; keys are structs ``a``, ``b`` and ``c``."""
+    found = last = materialized(start.distinct())
+    taken = 0
+    while (most is None or taken < most) and not last.isEmpty():
+        last = materialized(last.join(steps, "b").select("a", F.col("c").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
+        found = found.unionByName(last)
+        taken += 1
+    return found
+
+
+def _functions_told(found_modules: DataFrame, found_clauses: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(f, told)``, what trees must know of each function: its clauses, its calls, whether it ends in raw markup; and ``(a, b)``, the functions that the calls in what it returns lead to."""
+    calls = materialized(_function_calls(found_clauses))
+    meant = lookups(calls.select(F.col("module").alias("caller"), "target", F.col("callee").alias("name")).distinct(), found_modules, functions)
+    meant = meant.select(F.col("caller").alias("module"), "target", F.col("name").alias("callee"), F.struct("module", F.col("name"), "arity").alias("to"))
+    c, m = calls.alias("c"), meant.alias("m")
+    same = (F.col("c.module") == F.col("m.module")) & F.col("c.target").eqNullSafe(F.col("m.target")) & (F.col("c.callee") == F.col("m.callee"))
+    key = F.struct(*[F.col(f"c.{k}").alias(k) for k in FUNCTION])
+    edges = materialized(c.join(m, same).select(key.alias("f"), "c.tail", "c.target", "c.callee", "m.to"))
+    # raw markup: from the functions that end in raw itself back to those that end in them
+    ends = calls.where("tail AND is_raw").select(F.lit(True).alias("a"), F.struct(*FUNCTION).alias("b"))
+    raw = _reached(edges.where("tail").select(F.col("to").alias("b"), F.col("f").alias("c")), ends).select(F.col("b").alias("f"), F.lit(True).alias("raw"))
+    own = edges.where("NOT tail").groupBy("f").agg(F.collect_list(F.struct("target", F.col("callee").alias("name"), F.col("to.module").alias("module"), F.col("to.arity").alias("arity"))).alias("calls"))
+    clause = F.struct("source_file", "pos", "returns")
+    known = found_clauses.groupBy(F.struct(*FUNCTION).alias("f")).agg(F.count("heex").alias("n_heex"), F.transform(F.array_sort(F.collect_list(clause)), lambda x: F.struct(x["returns"].alias("returns"))).alias("told"))
+    known = known.join(own, "f", "left").join(raw, "f", "left")
+    none = F.array().cast("array<struct<target:string,name:string,module:string,arity:int>>")
+    told = known.select("f", F.struct("f.module", "f.name", "f.arity", "n_heex", F.coalesce("raw", F.lit(False)).alias("raw"), F.coalesce("calls", none).alias("calls"), "told").alias("told"))
+    step = edges.where("NOT tail").select(F.col("f").alias("b"), F.col("to").alias("c"))
+    return told, _reached(step, step.select(F.col("b").alias("a"), F.col("c").alias("b")), MAX_DEPTH)
 
 
 def graph_trees(files: DataFrame) -> DataFrame:
-    """``(ref, module, source_file, name, tree, unresolved)`` for every clause and template with markup; tree and unresolved as JSON."""
-    found_modules, found_clauses = modules(files), clauses(files)
-    shared = files.sparkSession.sparkContext.broadcast(registry_of(found_modules, found_clauses))
+    """``(ref, module, source_file, name, tree, unresolved)`` for every clause and template with markup; tree and unresolved as JSON.
+
+    Each tree is resolved with the part of the registry that it asks for: a first reading tells its calls, joins tell what
+    they mean and which functions they lead to. No task and no driver holds more than that.
+    """
+    found_modules, found_clauses = materialized(modules(files)), materialized(clauses(files))
     in_markup = found_clauses.where("heex IS NOT NULL")
     nth = F.row_number().over(Window.partitionBy("module", "name", "arity").orderBy("source_file", "pos")) - 1
-    functions = in_markup.select(F.concat_ws(":", F.lit("fn"), "module", "name", F.col("arity").cast("string"), nth.cast("string")).alias("ref"), "module", "source_file", "name", "heex", "assigns")
+    trees = in_markup.select(F.concat_ws(":", F.lit("fn"), "module", "name", F.col("arity").cast("string"), nth.cast("string")).alias("ref"), "module", "source_file", "name", "heex", "assigns")
     embeds = embedded(files)
     templates = embeds.unionByName(standalone(files, embeds))
     templates = templates.select(F.concat_ws(":", F.lit("tpl"), F.coalesce("module", "source_file"), "name").alias("ref"), "module", "source_file", "name", "heex", F.lit("{}").alias("assigns"))
 
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            asks = []
+            for r in frame.itertuples(index=False):
+                asked = Asked()
+                Resolver(asked).tree(r.heex, json.loads(r.assigns or "{}"), None, r.ref)
+                asks.append([{"target": t, "name": n} for t, n in asked.calls])
+            yield frame.assign(asks=asks)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        resolver = Resolver(shared.value)
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 module = r.module if isinstance(r.module, str) else None
-                tree, open_ = resolver.tree(r.heex, json.loads(r.assigns or "{}"), module, r.ref)
+                told = Told(module, json.loads(r.calls or "[]"), json.loads(r.functions or "[]"))
+                tree, open_ = Resolver(told).tree(r.heex, json.loads(r.assigns or "{}"), module, r.ref)
                 rows.append((r.ref, module, r.source_file, r.name, json.dumps(tree), json.dumps(open_)))
             yield pd.DataFrame(rows, columns=["ref", "module", "source_file", "name", "tree", "unresolved"])
 
-    return functions.unionByName(templates).mapInPandas(run, "ref string, module string, source_file string, name string, tree string, unresolved string")
+    columns = "ref string, module string, source_file string, name string, heex string, assigns string"
+    asked = dealt(trees.unionByName(templates), "ref").mapInPandas(ask, f"{columns}, asks array<struct<target:string,name:string>>")
+    asked = materialized(asked.withColumn("id", F.monotonically_increasing_id()))
+    functions = materialized(functions_of(found_clauses))
+    calls = asked.select("id", F.col("module").alias("caller"), F.explode("asks").alias("a")).select("id", "caller", "a.target", "a.name")
+    meant = lookups(calls.select("caller", "target", "name").distinct(), found_modules, functions)
+    c, m = calls.alias("c"), meant.alias("m")
+    same = F.col("c.caller").eqNullSafe(F.col("m.caller")) & F.col("c.target").eqNullSafe(F.col("m.target")) & (F.col("c.name") == F.col("m.name"))
+    first = materialized(c.join(m, same).select("c.id", "c.target", "c.name", "m.module", "m.arity"))
+    told, reach = _functions_told(found_modules, found_clauses, functions)
+    direct = first.select("id", F.struct(*FUNCTION).alias("f"))
+    needed = direct.unionByName(direct.join(reach.withColumnRenamed("a", "f"), "f").select("id", F.col("b").alias("f"))).distinct()
+    theirs = needed.join(told, "f").groupBy("id").agg(F.to_json(F.collect_list("told")).alias("functions"))
+    own = first.groupBy("id").agg(F.to_json(F.collect_list(F.struct("target", "name", "module", "arity"))).alias("calls"))
+    rows = asked.drop("asks").join(own, "id", "left").join(theirs, "id", "left")
+    return dealt(rows, "id").mapInPandas(run, "ref string, module string, source_file string, name string, tree string, unresolved string")
 
 
 def calls_in(children: list[dict]) -> Iterator[str]:
@@ -220,17 +291,22 @@ def calls_in(children: list[dict]) -> Iterator[str]:
 
 
 def component_cycles(trees: dict[str, list[dict]]) -> list[dict]:
+    """The cycles of trees in their order, see ``call_cycles``."""
+    return call_cycles({ref: list(calls_in(children)) for ref, children in trees.items()})
+
+
+def call_cycles(calls: dict[str, list[str]]) -> list[dict]:
     """The calls that lead back to a tree on their own way, each with the way from the entry that first came there.
 
     A tree is followed once, whatever calls it; it is an entry itself if nothing before it has led there.
     """
     found: dict[tuple, None] = {}
     followed: set[str] = set()
-    for entry in trees:
+    for entry in calls:
         if entry in followed:
             continue
         followed.add(entry)
-        way, open_ = [entry], [iter(calls_in(trees[entry]))]
+        way, open_ = [entry], [iter(calls[entry])]
         while open_:
             ref = next(open_[-1], None)
             if ref is None:
@@ -238,16 +314,33 @@ def component_cycles(trees: dict[str, list[dict]]) -> list[dict]:
                 way.pop()
             elif ref in way:
                 found[*way, ref] = None
-            elif ref in trees and ref not in followed:
+            elif ref in calls and ref not in followed:
                 followed.add(ref)
                 way.append(ref)
-                open_.append(iter(calls_in(trees[ref])))
+                open_.append(iter(calls[ref]))
     return [{"type": "component", "path": list(path)} for path in found]
 
 
+def _document_order(row) -> tuple:
+    return row["ref"].startswith("tpl:"), row["source_file"], row["ref"]
+
+
+def graph_cycles(files: DataFrame) -> list[dict]:
+    """The cycles of the document of a code base, without its trees: the driver holds the refs of those that call something."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            calls = [list(calls_in(json.loads(t))) for t in frame["tree"]]
+            rows = frame[["ref", "source_file"]].assign(calls=calls)
+            yield rows[[bool(c) for c in calls]]
+
+    found = graph_trees(files).select("ref", "source_file", "tree").mapInPandas(run, "ref string, source_file string, calls array<string>")
+    return call_cycles({r["ref"]: r["calls"] for r in sorted(found.collect(), key=_document_order)})
+
+
 def graph_document(files: DataFrame) -> dict:
     """The graph of a code base as one document, entries in the order of source and ref; cycles and unresolved calls once each."""
-    rows = sorted(graph_trees(files).collect(), key=lambda r: (r["ref"].startswith("tpl:"), r["source_file"], r["ref"]))
+    rows = sorted(graph_trees(files).collect(), key=_document_order)
     trees = {r["ref"]: json.loads(r["tree"]) for r in rows}
     unresolved = {json.dumps(u, sort_keys=True): u for r in rows for u in json.loads(r["unresolved"])}
     return {

@@ -4,7 +4,7 @@ from styleloom.functions.expressions import analyze, facts_of
 from styleloom.operators.rewrite import invalidate_keyframes, invalidate_selectors, invalidated_files, remove_keyframes, remove_selectors, restore_keyframes, restore_selectors, restored_files
 from styleloom.plans.graph import load_graph, merged_cycles
 from styleloom.plans.registry import functions_of, local_lookup, remote_lookup
-from styleloom.plans.resolve import component_cycles, graph_document
+from styleloom.plans.resolve import component_cycles, graph_cycles, graph_document, graph_trees
 from styleloom.sources.markup import Expr, build_tree, parse_markup, tokenize
 from styleloom.sources.modules import clauses, modules, parse_modules
 from styleloom.sources.scripts import literals
@@ -170,3 +170,28 @@ def test_component_cycles():
     trees = {"a": [{"children": [calls("b", "gone")]}], "b": [calls("c", inner_block=[calls("a")])], "c": [calls("c"), calls("c")], "d": [calls("b")]}
     assert [c["path"] for c in component_cycles(trees)] == [["a", "b", "c", "c"], ["a", "b", "a"]]
     assert component_cycles({"a": [{"slot_name": "x"}]}) == []
+
+
+def test_trees_without_a_registry_in_each_task(spark, monkeypatch):
+    """Files of one partition are dealt to many tasks; a tree knows nested helpers, raw markup through helpers and cycles, and no registry is broadcast."""
+    ring = '''defmodule MyWeb.Ring do
+  alias MyWeb.Core, as: C
+  def a(assigns), do: ~H"<.b class={far(@x)} />{through(@x)}"
+  def b(assigns), do: ~H"<.a /><.alone />"
+  def far(x), do: C.pick(x)
+  def through(x), do: C.markdown(x)
+  def alone(x), do: ~H"<hr />"
+end
+'''
+    f = files(spark).unionByName(spark.createDataFrame([("lib/my_web/ring.ex", ring)], "path string, content string")).coalesce(1)
+
+    def never(*_):
+        raise AssertionError("a broadcast")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", never)
+    assert clauses(f).rdd.getNumPartitions() >= 8
+    trees = {r["ref"]: json.loads(r["tree"]) for r in graph_trees(f).collect()}
+    wrapper, raw = trees["fn:MyWeb.Ring:a:1:0"]
+    assert wrapper["tag"] == ".b" and wrapper["classes"]["exclusive"] == [[["one"], ["two"], ["three"]]] and raw == {"raw_html": True, "expr": "through(@x)"}
+    a, b = "fn:MyWeb.Ring:a:1:0", "fn:MyWeb.Ring:b:1:0"
+    assert graph_cycles(f) == [{"type": "component", "path": [a, b, a]}]
